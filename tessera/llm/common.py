@@ -7,6 +7,7 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -71,3 +72,58 @@ def small_batches(spark: SparkSession, rows: int = 256) -> None:
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def groups(batches, keys: int):
+    """Runs of rows that agree in the first ``keys`` columns (integers, sorted), as record batches."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        change = np.zeros(b.num_rows, bool)
+        for c in columns:
+            change[1:] |= c[1:] != c[:-1]
+        if held and any(held[-1].column(i)[held[-1].num_rows - 1].as_py() != columns[i][0] for i in range(keys)):
+            yield _joined(held)
+            held = []
+        starts = [0, *np.flatnonzero(change).tolist()]
+        for k, s in enumerate(starts):
+            e = starts[k + 1] if k + 1 < len(starts) else b.num_rows
+            part = b.slice(s, e - s)
+            if e < b.num_rows:
+                if held:
+                    held.append(part)
+                    part, held = _joined(held), []
+                yield part
+            else:
+                held.append(part)
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+
+class Union:
+    """Union-find over 0..n-1; the root of a set is its smallest member."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, a: int) -> int:
+        parent = self.parent
+        while parent[a] != a:
+            parent[a] = a = parent[parent[a]]
+        return a
+
+    def join(self, a: int, b: int) -> bool:
+        a, b = self.find(a), self.find(b)
+        if a == b:
+            return False
+        self.parent[max(a, b)] = min(a, b)
+        return True
+
+    def roots(self) -> np.ndarray:
+        return np.array([self.find(a) for a in range(len(self.parent))], np.int64)

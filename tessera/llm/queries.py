@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, packing, token_counts
+from tessera.llm import decontaminate, embeddings, packing, quality, token_counts, warc
 from tessera.session import read
 
 
@@ -18,10 +18,24 @@ def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.write(read(spark, sf_dir, "pages"), revisit_bytes=1000)
+    return warc.read_records(manifest).withColumnRenamed("id", "page_id")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3, folds=5)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_pack, op9_token_counts)}
+def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98, tables=32, bits=16)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op5_pack, op6_warc, op8_quality, op9_token_counts, op10_embedding_dups)}
 
 ORACLE: dict[str, str] = {}
