@@ -113,7 +113,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return fitted[0].asDict() if fitted else {"feature": [], "weight": [], "bias": 0.0}
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, bits: int = 20, max_rows: int = 12_000, passes: int = 3, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.05, l2: float = 1.0) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, bits: int = 20, max_rows: int = 12_000, passes: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 1.0) -> DataFrame:
     """All columns of docs that do not clash, and held_out, score (that label 1 holds) and predicted (1 if score >= threshold)."""
     spark = docs.sparkSession
     small_batches(spark)
