@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embeddings, packing, quality, substrings, token_counts, warc
+from tessera.llm import decontaminate, embeddings, neardup, packing, quality, substrings, token_counts, warc
 from tessera.session import read
 
 
@@ -19,6 +19,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
+
+
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
 
@@ -41,6 +45,6 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98, tables=32, bits=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op5_pack, op6_warc, op8_quality, op9_token_counts, op10_embedding_dups)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_near_duplicates, op5_pack, op6_warc, op8_quality, op9_token_counts, op10_embedding_dups)}
 
 ORACLE: dict[str, str] = {}
