@@ -20,7 +20,7 @@ Texts are shuffled once, by document. Fingerprints are 64-bit polynomial hashes
 Defined results: null and empty texts have no bytes and lose none; texts shorter than ``length``
 lose none; repeated rows are each other's copies, so long ones lose everything; a null id is kept;
 an empty table gives an empty table; other columns of the input are ignored. Removal cuts bytes: a
-character that straddles a cut is decoded with replacement only where text is asked for.
+rest of a character that straddles a cut is left out of the text.
 """
 
 from __future__ import annotations
@@ -182,14 +182,14 @@ def repeated(data: np.ndarray, place: np.ndarray, n: np.ndarray, anchor: np.ndar
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot_group: int = 10_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null where nothing is removed and
-    nothing is carried), spans,
+    nothing is carried), text (kept without the rests of cut characters), spans,
     and as struct ``rest`` the columns to carry along."""
     if not 32 <= length < BLOCK:
         raise ValueError("length must be from 32 to 131071 bytes")
     gram = length // 4
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.lit(0).alias("_"), *carry).alias("rest"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.col(text_col).isNull().alias("null_text"), *carry).alias("rest"))
     rows = rows.select("id", F.xxhash64("text").alias("text_hash"), "text", "rest")
     found = written(find_anchors(rows.drop("rest"), length, gram), "anchors")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
@@ -256,23 +256,32 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 spans = merged([(r["first"], r["last"] + length) for r in found_ or ()])
                 data = encoded(text)
                 kept = without(data, spans)
-                for column, x in zip(out, (number, size, size - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, [{"start": s, "end": e} for s, e in spans])):
+                for column, x in zip(out, (number, size, size - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore"), [{"start": s, "end": e} for s, e in spans])):
                     column.append(x)
             done = batch(RESULT, **{f.name: x for f, x in zip(RESULT, out)})
             yield pa.RecordBatch.from_arrays([*done.columns, b.column(4)], names=[*RESULT.names, "rest"])
 
     schema = T.StructType([*T._parse_datatype_string(RESULT_DDL).fields, table.schema["rest"]])
     changed = marked.join(runs, ["id", "text_hash"], "left").select("id", "n_bytes", "text", "runs", "rest").mapInArrow(remove, schema)
-    same = table.where("marks is null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.encode("same", "utf-8").alias("kept"), F.expr("cast(array() as array<struct<start: long, end: long>>)").alias("spans"), "rest")
+    same = table.where("marks is null").select("id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha").alias("kept_sha256"), F.encode("same", "utf-8").alias("kept"), F.col("same").alias("text"), F.expr("cast(array() as array<struct<start: long, end: long>>)").alias("spans"), "rest")
     out = changed.unionByName(same)
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot_group: int = 10_000) -> DataFrame:
+    """All columns of docs, the text without its repeated bytes. Documents of which only white space is left go; null texts stay null."""
+    others = [c for c in docs.columns if c != text_col]
+    found = duplicates(docs, id_col, text_col, length, hot_group, tuple(others))
+    found = found.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
+    text = F.when(~F.col("rest.null_text"), F.col("text"))
+    return found.select(*(text.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
 CUT_NAMES = ["gram", "id", "text_hash", "start", "n", "anchor", "content", "hot"]
 CUT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.bool_()]
 CUT_DDL = "gram long, id long, text_hash long, start long, n int, anchor int, content binary, hot boolean"
-RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
-RESULT_DDL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, spans array<struct<start: long, end: long>>"
+RESULT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary()), ("text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+RESULT_DDL = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, text string, spans array<struct<start: long, end: long>>"
 
 
 def contents(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
