@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embeddings, neardup, packing, quality, substrings, token_counts, warc
+from tessera.llm import decontaminate, embeddings, language_model, neardup, packing, quality, substrings, token_counts, warc
 from tessera.session import read
 
 
@@ -32,6 +32,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(manifest).withColumnRenamed("id", "page_id")
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(read(spark, sf_dir, "documents"), folds=10)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.score(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), threshold=0.3, folds=5)
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -45,6 +49,6 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98, tables=32, bits=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_near_duplicates, op5_pack, op6_warc, op8_quality, op9_token_counts, op10_embedding_dups)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_near_duplicates, op5_pack, op6_warc, op7_lm_score, op8_quality, op9_token_counts, op10_embedding_dups)}
 
 ORACLE: dict[str, str] = {}
