@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from tessera.plans import graphs, ranking, tables, texts
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _module in (texts, tables, ranking, graphs):
+    QUERIES |= _module.QUERIES
+    ORACLE |= _module.ORACLE
