@@ -51,4 +51,26 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_near_duplicates, op5_pack, op6_warc, op7_lm_score, op8_quality, op9_token_counts, op10_embedding_dups)}
 
-ORACLE: dict[str, str] = {}
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+ORACLE: dict[str, str] = {
+    "op1_decontaminate": f"""
+with d as (select doc_id, {_WORDS} as w from documents), i as (select item_id, {_WORDS} as w from benchmark),
+n as (select distinct item_id, least(10, len(w)) as k, array_to_string(w[p : p + least(10, len(w)) - 1], ' ') as win from (select *, unnest(range(1, greatest(1, len(w) - 9) + 1)) as p from i where len(w) > 0)),
+s as (select doc_id, p, k, array_to_string(w[p : p + k - 1], ' ') as win from (select *, unnest(range(1, len(w) + 1)) as p from d), (select distinct k from n) where p + k - 1 <= len(w)),
+m as (select doc_id, p, n.k, item_id from s join n on s.win = n.win and s.k = n.k),
+h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + k)) as q from m) group by doc_id),
+t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names from (select distinct doc_id, cast(item_id as varchar) as item_id from m) group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join h using (doc_id) left join t using (doc_id)""",
+    "op6_warc": """
+with p as (select page_id, coalesce(html, '') as h from pages), s as (select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest from p),
+x as (select *, max(page_id) over (partition by payload_digest) as head from s)
+select page_id, payload_bytes::bigint as payload_bytes, payload_digest, case when payload_bytes >= 1000 and head <> page_id then 'revisit' else 'response' end as record_type, case when payload_bytes >= 1000 and head <> page_id then head end as refers_to from x""",
+    "op10_embedding_dups": """
+with recursive v as (select vec_id, label, embedding::double[] as e from embeddings where label is not null and embedding is not null and len([x for x in embedding if x is null or isnan(x) or isinf(x)]) = 0 and len([x for x in embedding if x <> 0]) > 0),
+l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) and list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a),
+c as (select a as vec_id, min(b) as component_id from r group by a), n as (select a as vec_id, count(*) as n_links from l group by a)
+select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, component_id = vec_id as kept from c left join n using (vec_id)""",
+}

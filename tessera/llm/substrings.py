@@ -183,13 +183,13 @@ def repeated(data: np.ndarray, place: np.ndarray, n: np.ndarray, anchor: np.ndar
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot_group: int = 10_000, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null where nothing is removed and
     nothing is carried), text (kept without the rests of cut characters), spans,
-    and as struct ``rest`` the columns to carry along."""
+    and as struct ``rest.row`` the columns to carry along."""
     if not 32 <= length < BLOCK:
         raise ValueError("length must be from 32 to 131071 bytes")
     gram = length // 4
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.col(text_col).isNull().alias("null_text"), *carry).alias("rest"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.col(text_col).isNull().alias("null_text"), (F.struct(*carry) if carry else F.lit(0)).alias("row")).alias("rest"))
     rows = rows.select("id", F.xxhash64("text").alias("text_hash"), "text", "rest")
     found = written(find_anchors(rows.drop("rest"), length, gram), "anchors")
     grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = duplicates(docs, id_col, text_col, length, hot_group, tuple(others))
     found = found.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     text = F.when(~F.col("rest.null_text"), F.col("text"))
-    return found.select(*(text.alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
+    return found.select(*(text.alias(c) if c == text_col else F.col(f"rest.row.`{c}`").alias(c) for c in docs.columns))
 
 
 CUT_NAMES = ["gram", "id", "text_hash", "start", "n", "anchor", "content", "hot"]
