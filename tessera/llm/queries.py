@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embeddings, language_model, neardup, packing, quality, substrings, token_counts, warc
+from tessera.llm import decontaminate, embeddings, language_model, licenses, neardup, packing, quality, substrings, token_counts, warc
 from tessera.session import read
 
 
@@ -19,6 +19,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classes(read(spark, sf_dir, "documents"), shingle=5, threshold=0.8)
 
@@ -49,10 +53,16 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98, tables=32, bits=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op4_near_duplicates, op5_pack, op6_warc, op7_lm_score, op8_quality, op9_token_counts, op10_embedding_dups)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_licenses, op4_near_duplicates, op5_pack, op6_warc, op7_lm_score, op8_quality, op9_token_counts, op10_embedding_dups)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_LINE = f"regexp_replace(lower(x), '{licenses.COPYRIGHT}', '', 'g')"
+for _from, _to in licenses.EQUIVALENT:
+    _LINE = f"regexp_replace({_LINE}, '{_from}', '{_to.replace(chr(39), chr(39) * 2)}', 'g')"
+_CANON = f"[c for c in [trim(regexp_replace({_LINE}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) for x in ls] if c <> '']"
+_KNOWN = ", ".join(f"('{name}', '{text}')" for name, text in [*licenses.STATEMENTS, ("MIT", licenses.MIT), ("MIT", "MIT License\n\n" + licenses.MIT), ("ISC", licenses.ISC), ("ISC", "ISC License\n\n" + licenses.ISC)])
+
 ORACLE: dict[str, str] = {
     "op1_decontaminate": f"""
 with d as (select doc_id, {_WORDS} as w from documents), i as (select item_id, {_WORDS} as w from benchmark),
@@ -63,6 +73,13 @@ h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(rang
 t as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names from (select distinct doc_id, cast(item_id as varchar) as item_id from m) group by doc_id)
 select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join h using (doc_id) left join t using (doc_id)""",
+    "op3_licenses": f"""
+with k(license, text) as (values {_KNOWN}), u as (select 0 as known, license, null as doc_id, 0 as row, text from k union all select 1, null, doc_id, row_number() over (), coalesce(text, '') from documents),
+l as (select *, {_CANON} as lines from (select *, regexp_split_to_array(text, '\\r\\n|\\r|\\n') as ls from u)),
+d as (select *, sha256(array_to_string(lines, ' ')) as digest from l),
+n as (select digest, string_agg(distinct license, ',' order by license) as license from d where known = 0 group by digest),
+s as (select row, string_agg(distinct x.license, ',' order by x.license) as statements, count(distinct x.license) as n from (select row, sha256(unnest(lines)) as digest from d where known = 1) y join (select digest, license from d where known = 0) x using (digest) group by row)
+select doc_id, digest, n.license, coalesce(statements, '') as statements, coalesce(s.n, 0)::bigint as n_statements, n.license is not null or s.n is not null as licensed from d left join n using (digest) left join s using (row) where known = 1""",
     "op6_warc": """
 with p as (select page_id, coalesce(html, '') as h from pages), s as (select page_id, strlen(h) as payload_bytes, sha1(h) as payload_digest from p),
 x as (select *, max(page_id) over (partition by payload_digest) as head from s)
