@@ -43,6 +43,11 @@ def fold(c: Column) -> Column:
     return strip_accents(F.lower(c))
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def squash(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))
@@ -111,7 +116,7 @@ def density(t: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"[.!?\n]"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
+    return F.filter(F.transform(F.split(c, r"[.!?\n]"), strip), lambda s: s != "")
 
 
 def int_like(c: Column) -> Column:

@@ -118,7 +118,7 @@ def sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
 def articles(df: DataFrame, key: str, text: str, heading: str = r"(?i)^\**\s*Điều\s+\d+[a-z]?\.") -> DataFrame:
     """(key, article_no, content): blocks from each heading to before the next one."""
     marked = F.regexp_replace(text, f"(?m)({heading})", "\u0001$1")
-    return df.select(F.col(key), F.posexplode(F.filter(F.split(marked, "\u0001"), lambda b: F.regexp_like(b, F.lit(heading)))).alias("article_no", "content")).select(key, "article_no", F.trim("content").alias("content"))
+    return df.select(F.col(key), F.posexplode(F.filter(F.split(marked, "\u0001"), lambda b: F.regexp_like(b, F.lit(heading)))).alias("article_no", "content")).select(key, "article_no", T.strip(F.col("content")).alias("content"))
 
 
 #: What relates a document to the numbers after it.

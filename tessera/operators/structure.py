@@ -61,7 +61,7 @@ def parse(df: DataFrame, key: str, text: str, levels: tuple[tuple[str, str], ...
     )
     path = F.array_join(F.filter(F.array(*(F.when(F.col("head.lv") > k, F.col(f"o{k}").cast("string")) for k in range(len(levels)))), lambda x: x.isNotNull()), ">")
     names = F.array(*(F.lit(n) for n, _ in levels))
-    content = F.trim(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
+    content = T.strip(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
     return grouped.select(key, F.col("node").alias("node_id"), F.get(names, F.col("head.lv")).alias("level"), F.col("head.number").alias("number"), path.alias("path"), content.alias("content"), "start_char", "end_char").where("content <> ''")
 
 

@@ -131,3 +131,50 @@ def test_stream_equals_batch(spark, tmp_path):
     q = events.merge_batches(stream, merge, f"{tmp_path}/cp")
     q.awaitTermination(120)
     assert rows(spark.read.parquet(out)) == rows(e.select("user_id").distinct())
+
+
+def test_relations(spark):
+    text = "Nghị định này thay thế Nghị định 10/2010/NĐ-CP. Căn cứ Luật 59/2020/QH14, và sửa đổi 5/2019/TT-BTC. " + "x " * 200 + "99/2001/X"
+    df = spark.createDataFrame([(1, "5/2019/TT-BTC", text), (2, None, None)], "doc long, number string, text string")
+    from tessera.operators import legal
+
+    got = [(r["relation"], r["ref"]) for r in legal.relations(df, "doc", "number", "text").orderBy("start").collect()]
+    assert got == [("REPLACES", "10/2010/NĐ-CP"), ("GUIDED_BY", "59/2020/QH14")]
+
+
+def test_articles_and_exact_search(spark):
+    from tessera.operators import legal
+
+    df = spark.createDataFrame([(1, "mở đầu\nĐiều 1. Một\nhai\nĐiều 2. Ba")], "doc long, text string")
+    assert [r["content"] for r in legal.articles(df, "doc", "text").orderBy("article_no").collect()] == ["Điều 1. Một\nhai", "Điều 2. Ba"]
+    docs = spark.createDataFrame([(1, "59/2020/QH14", "5", "luật doanh nghiệp"), (2, "1/2010/X", "5", "khác"), (3, "2/2011/Y", "7", "gì")], "doc long, number string, article string, title string")
+    q = spark.createDataFrame([(1, "Điều 5 của 59/2020/QH14 luật doanh nghiệp"), (2, "điều 7")], "q long, text string")
+    got = {(r["query_id"], r["doc_id"]): r["score"] for r in bm25.exact_search(docs, q, "doc", "q", "number", "article", "title", "text").collect()}
+    assert set(got) == {(1, 1), (2, 3)} and got[1, 1] > 0.8 and got[2, 3] == 0.2
+
+
+def test_confident(spark):
+    df = spark.createDataFrame([(1, 5, 5, 5, 0.9, 0.2, 0.8), (2, 1, 1, 1, 0.2, 0.2, 0.5)], "query_id long, n long, n_distinct long, n_texts long, top double, gap double, confidence double")
+    got = {r["query_id"]: (r["confident"], r["reasons"]) for r in fusion.confident(df).collect()}
+    assert got == {1: (True, ""), 2: (False, "few_results,low_top_score")}
+
+
+def test_upsert_and_limits(spark):
+    from tessera.operators import legal, vectors
+
+    old = spark.createDataFrame([(1, 1, "a"), (2, 1, "b")], "k long, v long, t string")
+    new = spark.createDataFrame([(2, 2, "c"), (3, 1, "d")], "k long, v long, t string")
+    assert [r["t"] for r in vectors.upsert(old, new, "k", "v").orderBy("k").collect()] == ["a", "c", "d"]
+    s = spark.createDataFrame([("x", 5), ("y", 50)], "route string, n int").select("route", legal.limits(F.col("route"), {"y": 1}, [F.col("n") > 10], [{"docs": 1}, {"docs": 2}, {"docs": 3}]).alias("s")).collect()
+    assert {r["route"]: r["s"]["docs"] for r in s} == {"x": 1, "y": 3}
+
+
+def test_hash_embeddings(spark):
+    from tessera.operators import vectors
+
+    df = spark.createDataFrame([(1, "alpha beta"), (2, "alpha gamma"), (3, ""), (4, "alpha beta")], "id long, text string")
+    v = {r["id"]: r["vector"] for r in vectors.hash_embedding(df, "id", "text").collect()}
+    product = lambda a, b: sum(x * y for x, y in zip(v[a], v[b]))
+    assert abs(product(1, 4) - 1) < 1e-9 and 0 < product(1, 2) < 1 and not any(v[3])
+    w = {r["id"]: r["vector"] for r in vectors.hash_embedding(df, "id", "text", whole_text="passage: ").collect()}
+    assert w[1] == w[4] and w[1] != v[1]
