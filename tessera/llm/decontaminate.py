@@ -14,7 +14,6 @@ one block, and then only their hits are.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 from itertools import repeat
 
@@ -27,8 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import batch, encoded, small_batches, words
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
-DDL = "id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
+OUT = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("block", pa.int32()), ("n_words", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
+DDL = "id long, text_hash long, block int, n_words long, spans array<struct<start: long, end: long>>, items array<string>"
 CUT = pa.schema([("row", pa.int64()), ("text", pa.string())])
 WORD = regex.compile(rb"[0-9A-Za-z\x80-\xff]+")
 BITS = 1 << 22
@@ -183,36 +182,38 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """One row per document: id, n_words, spans (hit words, from and to), items (ids as sorted strings).
 
     At most block_words words of items are in an automaton, which is what a task holds; more
-    items make more passes over the documents. Ids of documents must be unique when there are several.
+    items make more passes over the documents, whose hits are merged by document.
     """
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     context = docs.sparkSession.sparkContext
     passes = []
     for block in blocks(items, item_id, item_text, block_words) if window > 0 else ():
         shared = context.broadcast(block)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, block=len(passes)) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value, window)
             for b in batches:
                 found = [(len(w := words(t)), *automaton.scan(w)) for t in b.column(1).to_pylist()]
-                yield batch(OUT, id=b.column(0), n_words=[n for n, _, _ in found], spans=[[{"start": s, "end": e} for s, e in x] for _, x, _ in found], items=[sorted(x) for _, _, x in found])
+                yield batch(OUT, id=b.column(0), text_hash=b.column(2), block=[block] * b.num_rows, n_words=[n for n, _, _ in found], spans=[[{"start": s, "end": e} for s, e in x] for _, x, _ in found], items=[sorted(x) for _, _, x in found])
 
         passes.append(rows.mapInArrow(run, DDL))
     if not passes:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 n = [len(words(t)) for t in b.column(1).to_pylist()]
-                yield batch(OUT, id=b.column(0), n_words=n, spans=[[]] * len(n), items=[[]] * len(n))
+                yield batch(OUT, id=b.column(0), text_hash=b.column(2), block=[0] * b.num_rows, n_words=n, spans=[[]] * len(n), items=[[]] * len(n))
 
-        return rows.mapInArrow(count, DDL)
+        return rows.mapInArrow(count, DDL).drop("text_hash", "block")
     if len(passes) == 1:
-        return passes[0]
-    # hits of several blocks: the lists of a document are bounded by its own words and the blocks
+        return passes[0].drop("text_hash", "block")
+    # hits of several blocks: the lists of a text are bounded by its own words and the blocks; copies of a row are counted
     every = passes[0]
     for x in passes[1:]:
         every = every.unionByName(x)
-    merged = every.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    found = F.collect_set(F.struct("block", "spans", "items"))
+    merged = every.groupBy("id", "text_hash").agg(F.max("n_words").alias("n_words"), found.alias("found"), (F.count(F.lit(1)) / len(passes)).cast("int").alias("rows"))
+    merged = merged.select("id", "n_words", F.array_sort(F.flatten("found.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten("found.items"))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows"))))
     grown = F.aggregate(
         "spans", F.expr("cast(array() as array<struct<start: long, end: long>>)"),
         lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
@@ -240,10 +241,6 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def empty_digest() -> str:
-    return hashlib.sha256(b"").hexdigest()
-
-
 def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, min_span: int = 1, max_coverage: float = 0.5) -> DataFrame:
     """Documents without what is contaminated: hit spans of at least min_span words are cut out of the text, and a
     document of which more than max_coverage of the words are hit goes. All columns of docs stay. One pass, one block of

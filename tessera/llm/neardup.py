@@ -173,7 +173,7 @@ def verify(bags: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray | None, t
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block_words: int = 1_000_000) -> DataFrame:
-    """One row per distinct id: id, class_id (smallest id that links reach, itself included), copies (documents in the class)."""
+    """One row per distinct id: id, class_id (smallest id that links reach, itself included)."""
     spark = docs.sparkSession
     small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
