@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import bm25, fusion, legal, reports
+from tessera.operators import bm25, corpus, fusion, legal, reports
 from tessera.plans import ranking
 from tessera.plans.ranking import LISTS, MERGED, PAIRED
 from tessera.plans.registry import registrar, sql_tokens
@@ -226,3 +226,62 @@ def evaluate_predictions(spark, d):
     both = F.count_if((F.col("p") == 1) & (F.col("g") == 1))
     return g.join(p, "doc_id", "left").agg(F.count(F.lit(1)).alias("n"), F.round(both / F.nullif(F.count_if(F.col("p") == 1), F.lit(0)), 6).alias("precision"), F.round(both / F.nullif(F.count_if(F.col("g") == 1), F.lit(0)), 6).alias("recall"))
 
+
+
+@query("select page_id, coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')), ''), nullif(trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g')), '')) as title from pages")
+def page_metadata(spark, d):
+    return corpus.html_metadata(read(spark, d, "pages"), "page_id", "html", {}).select("page_id", "title")
+
+
+@query("select p_partkey as id, coalesce(nullif(trim(p_brand), ''), p_type) as name, coalesce(case when p_size > 25 then p_type end, p_name) as label from part")
+def document_record(spark, d):
+    p = read(spark, d, "part")
+    a = p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name"), F.when(F.col("p_size") > 25, F.col("p_type")).alias("label"))
+    b = p.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("name"), F.col("p_name").alias("label"))
+    return corpus.record([a, b], "id", ["name", "label"])
+
+
+@query("select page_id as id, substr(html, 1, 1000) as html, length(url) as n from pages")
+def copy_projection(spark, d):
+    return corpus.projected(read(spark, d, "pages"), {"id": F.col("page_id"), "n": F.length("url").cast("long")}, "html", 1000)
+
+
+@query("with i as (select doc_id, md5(text) as digest, true as is_active from documents where source <> 'src5'), f as (select doc_id, case when lang = 'de' then md5(text || 'x') else md5(text) end as digest from documents where source <> 'src6'), o as (select i.doc_id, i.digest, (f.doc_id is not null and f.digest = i.digest) as is_active from i left join f on f.doc_id = i.doc_id), n as (select f.doc_id, f.digest, true from f left join i on f.doc_id = i.doc_id where i.doc_id is null or i.digest <> f.digest) select * from o union all select * from n")
+def incremental_update(spark, d):
+    docs = read(spark, d, "documents")
+    index = docs.where("source <> 'src5'").select("doc_id", F.md5("text").alias("digest"), F.lit(True).alias("is_active"))
+    files = docs.where("source <> 'src6'").select("doc_id", F.md5(F.when(F.col("lang") == "de", F.concat("text", F.lit("x"))).otherwise(F.col("text"))).alias("digest"))
+    return corpus.incremental(index, files, "doc_id", "digest")
+
+
+@query(f"with {PAIRED} select conv_id || '-' || turn as key, array_to_string([s for s in ['.', ','] if not contains(answer, s)], ',') as missing, contains(lower(answer), 'sorry') as forbidden, contains(answer, '.') and contains(answer, ',') and not contains(lower(answer), 'sorry') as valid from p")
+def answer_validate(spark, d):
+    return ranking._paired(spark, d).select("key", *corpus.answer_flags(F.col("answer"), [".", ","], ["sorry"]))
+
+
+@query(f"{LISTS}, x as (select b.query_id, b.rank, '[' || b.rank || '] ' || d.source || ': ' || substr(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), 1, 200) as line from b join documents d using (doc_id) where b.rank <= 3) select query_id, string_agg(line, chr(10) order by rank) as answer from x group by query_id")
+def template_answer(spark, d):
+    top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    return corpus.template_answer(top, "query_id", "source", "text", "rank")
+
+
+@query(f"""{LISTS}, x as (select b.query_id, b.doc_id, b.score, length(d.text) % 11 as model, length(d.text) // 8 as cost from b join documents d using (doc_id)),
+y as (select *, round(0.15 * score + (1 - 0.15) * case when max(model) over w = min(model) over w then 0.5 else (model - min(model) over w) / (max(model) over w - min(model) over w) end, 6) as blend from x window w as (partition by query_id)),
+z as (select *, row_number() over (partition by query_id order by blend desc, doc_id) as rank, max(blend) over (partition by query_id) as top from y), k as (select * from z where (blend >= 0.55 and blend >= 0.8 * top) or rank <= 1),
+u as (select *, sum(cost) over (partition by query_id order by rank rows unbounded preceding) as used from k) select query_id, doc_id, blend, rank, used::bigint as used from u where used <= 1200 or rank <= 1""")
+def adaptive_context_select(spark, d):
+    top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", (F.length("text") % 11).alias("model"), F.expr("length(text) div 8").alias("cost")), "doc_id")
+    return corpus.adaptive_contexts(top.drop("rank"), "model", "cost").select("query_id", "doc_id", "blend", "rank", "used")
+
+
+@query("select item_id as question_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as question from benchmark where trim(text) <> ''")
+def question_prepare(spark, d):
+    return corpus.questions(read(spark, d, "benchmark"), ["text"], ["item_id"])
+
+
+@query("with c as (select user_id, max(ts) as at from events group by user_id), q as (select event_id, user_id, ts from events where event_type = 'error') select event_id as question_id, c.at - q.ts <= interval 1 hour as recent from q join c using (user_id)")
+def error_recency(spark, d):
+    e = read(spark, d, "events")
+    last = e.groupBy("user_id").agg(F.max("ts").alias("at"))
+    q = e.where("event_type = 'error'").join(last, "user_id")
+    return q.select(F.col("event_id").alias("question_id"), (F.col("at") - F.col("ts") <= F.expr("interval 1 hour")).alias("recent"))
