@@ -21,7 +21,7 @@ def test_document_id(spark):
     rows = [("1/2020/X", "Luật A", "https://h/p/q?x"), (None, "Luật A", "u"), (None, " ", "https://h/p/q?x")]
     df = spark.createDataFrame(rows, "n string, t string, u string")
     got = [r["i"] for r in df.select(corpus.document_id(F.col("n"), F.col("t"), F.col("u")).alias("i")).collect()]
-    assert got[0] == "1_2020_x_luat_a" and got[1] == "luat_a" and got[2].startswith("p_q_") and len(got[2]) == 12
+    assert got[0] == "luat_a_1_2020_x" and got[1] == "luat_a" and got[2].startswith("p_q_") and len(got[2]) == 12
 
 
 def test_incremental(spark):
