@@ -120,7 +120,7 @@ def citation_threshold(spark, d):
     return selection.citations(top).select("query_id", "doc_id", "score")
 
 
-@query(f"{LISTS}, {MERGED}, f as (select *, round(greatest(0.35 * coalesce(bm25 / 100, 0) + 0.18 * coalesce(lexical, 0), 0), 6) as final from m), r as (select *, row_number() over (partition by query_id order by final desc, doc_id) as rank from f) select query_id, doc_id, final, rank from r where not (coalesce(bm25 / 100, 0) < 0.06 and coalesce(lexical, 0) < 0.4) or rank = 1")
+@query(f"{LISTS}, {MERGED}, f as (select *, round(greatest(0.35 * coalesce(bm25 / 100, 0) + 0.18 * coalesce(lexical, 0), 0), 6) as final from m), r as (select *, cast(row_number() over (partition by query_id order by final desc, doc_id) as int) as rank from f) select query_id, doc_id, final, rank from r where not (coalesce(bm25 / 100, 0) < 0.06 and coalesce(lexical, 0) < 0.4) or rank = 1")
 def heuristic_rerank(spark, d):
     m = ranking.merge_candidates(spark, d).withColumn("bm25", F.col("bm25") / 100)
     return fusion.heuristic(m, {"bm25": 0.35, "lexical": 0.18}, {"bm25": 0.06, "lexical": 0.4}).select("query_id", "doc_id", "final", "rank")
@@ -202,7 +202,7 @@ def regression_report(spark, d):
     return p.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.length("answer")), 6).alias("mean_length"), F.count_if(F.length(F.trim("answer")) == 0).alias("empty"), F.round(F.count_if(F.contains("question", F.lit("?"))) / F.count(F.lit(1)), 6).alias("asked"))
 
 
-@query(f"{LISTS} select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 6) as score from (select query_id, doc_id, rank from a union all select query_id, doc_id, rank from b) group by all)) where rank <= 20")
+@query(f"{LISTS} select query_id, doc_id, score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 6) as score from (select query_id, doc_id, rank from a union all select query_id, doc_id, rank from b) group by all)) where rank <= 20")
 def multi_query_hybrid(spark, d):
     return bm25.top(fusion.rrf(list(ranking._lists(spark, d))), 20)
 
@@ -267,7 +267,7 @@ def template_answer(spark, d):
 
 @query(f"""{LISTS}, x as (select b.query_id, b.doc_id, b.score, length(d.text) % 11 as model, length(d.text) // 8 as cost from b join documents d using (doc_id)),
 y as (select *, round(0.15 * score + (1 - 0.15) * case when max(model) over w = min(model) over w then 0.5 else (model - min(model) over w) / (max(model) over w - min(model) over w) end, 6) as blend from x window w as (partition by query_id)),
-z as (select *, row_number() over (partition by query_id order by blend desc, doc_id) as rank, max(blend) over (partition by query_id) as top from y), k as (select * from z where (blend >= 0.55 and blend >= 0.8 * top) or rank <= 1),
+z as (select *, cast(row_number() over (partition by query_id order by blend desc, doc_id) as int) as rank, max(blend) over (partition by query_id) as top from y), k as (select * from z where (blend >= 0.55 and blend >= 0.8 * top) or rank <= 1),
 u as (select *, sum(cost) over (partition by query_id order by rank rows unbounded preceding) as used from k) select query_id, doc_id, blend, rank, used::bigint as used from u where used <= 1200 or rank <= 1""")
 def adaptive_context_select(spark, d):
     top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", (F.length("text") % 11).alias("model"), F.expr("length(text) div 8").alias("cost")), "doc_id")

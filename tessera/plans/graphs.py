@@ -41,7 +41,7 @@ def parent_children(spark, d):
     return graph.children(e).join(graph.parents(e), "node", "left").select("node", "child", "parent")
 
 
-@query("with l as (select distinct page_id as src, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"/([A-Za-z]+)\"', 1)) as ref from pages), k as (select regexp_extract(url, '://[^/]*/([^/?#]*)', 1) as ref, max(page_id) as dst from pages group by 1) select src, ref, dst, case when dst is null then 0.4 else 1.0 end as confidence from l left join k using (ref) where dst is null or dst <> src")
+@query("with l as (select distinct page_id as src, unnest(regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"/([A-Za-z]+)\"', 1)) as ref from pages), k as (select regexp_extract(url, '://[^/]*/([^/?#]*)', 1) as ref, max(page_id) as dst from pages group by 1) select src, ref, dst, case when dst is null then 0.4::double else 1.0 end as confidence from l left join k using (ref) where dst is null or dst <> src")
 def explicit_refs(spark, d):
     p = read(spark, d, "pages")
     target = p.select("page_id", F.regexp_extract("url", "://[^/]*/([^/?#]*)", 1).alias("name"))

@@ -22,13 +22,13 @@ q as (select item_id as query_id, token, count(*) as times from (select item_id,
 tf as (select doc_id, token, count(*) as tf, max(dl) as dl from (select doc_id, len(t) as dl, unnest(t) as token from dt) where token in (select token from q) group by all),
 df as (select token, count(*) as df from tf group by token),
 sc as (select query_id, doc_id, round(sum(times * ln(1 + (n_docs - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score from tf join q using (token) join df using (token), st group by all),
-rk as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc)"""
+rk as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from sc)"""
 
 OVERLAP_SQL = f"""
 ql as (select item_id, list_distinct({sql_tokens('text')}) as t from benchmark), dl as (select doc_id, list_distinct({sql_tokens('text')}) as t from documents),
 ov as (select item_id as query_id, doc_id, count(*) as shared, max(nq) as nq, max(nd) as nd from (select item_id, len(t) as nq, unnest(t) as token from ql) a join (select doc_id, len(t) as nd, unnest(t) as token from dl) b using (token) group by all),
 ovs as (select query_id, doc_id, round(shared / nq, 6) as score from ov),
-ovr as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from ovs)"""
+ovr as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from ovs)"""
 
 
 def _bm25(spark, d):
@@ -59,7 +59,7 @@ def bm25_minmax(spark, d):
     return bm25.normalised(_bm25(spark, d), 10)
 
 
-@query(f"select token, count(*) as df, sum(tf) as total from (select doc_id, token, count(*) as tf from (select doc_id, unnest({sql_tokens('text')}) as token from documents) group by all) group by token")
+@query(f"select token, count(*) as df, cast(sum(tf) as bigint) as total from (select doc_id, token, count(*) as tf from (select doc_id, unnest({sql_tokens('text')}) as token from documents) group by all) group by token")
 def bm25_index(spark, d):
     tf, _, _ = bm25.index(read(spark, d, "documents"), "doc_id", T.tokens(F.col("text")))
     return tf.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("total"))
@@ -87,7 +87,7 @@ TITLE_SQL = "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</t
 
 @query(f"""with q as (select item_id, list_distinct({sql_tokens('text')}) as t from benchmark), p as (select page_id, list_distinct({sql_tokens(TITLE_SQL)}) as a, list_distinct({sql_tokens('html')}) as b from pages),
 s as (select item_id as query_id, page_id as doc_id, round(2.5 * (len(list_intersect(q.t, p.a)) / len(q.t)) + 0.75 * (len(list_intersect(q.t, p.b)) / len(q.t)), 6) as score from q, p where len(q.t) > 0)
-select query_id, doc_id, score, rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s where score > 0) where rank <= 10""")
+select query_id, doc_id, score, rank from (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from s where score > 0) where rank <= 10""")
 def keyword_title_body_score(spark, d):
     pages = read(spark, d, "pages")
     s = bm25.field_score(pages, read(spark, d, "benchmark"), "page_id", "item_id", T.tokens(web.title(F.col("html"))), T.tokens(F.col("html")), T.tokens(F.col("text")))
@@ -102,7 +102,7 @@ def _asked(e):
     return e.where("vec_id % 20 = 0")
 
 
-@query(f"with {KNN}, r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from p) select query_id, vec_id, score, rank from r where rank <= 10")
+@query(f"with {KNN}, r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from p) select query_id, vec_id, score, rank from r where rank <= 10")
 def knn_cosine_topk(spark, d):
     e = read(spark, d, "embeddings")
     return vectors.compare(e, _asked(e), "vec_id", "vec_id", "embedding", 10, None)
@@ -156,7 +156,7 @@ def linear_fuse(spark, d):
     return fusion.linear(m, {"bm25": 0.25, "lexical": 0.08}, F.col("n_sources")).select("query_id", "doc_id", "score")
 
 
-@query(f"{LISTS}, {MERGED}, c as (select query_id, doc_id, round(0.6 * coalesce(lexical, 0) + 0.4 * n_sources / 3, 6) as consensus from m) select query_id, doc_id, consensus, rank from (select *, row_number() over (partition by query_id order by consensus desc, doc_id) as rank from c) where rank <= 10")
+@query(f"{LISTS}, {MERGED}, c as (select query_id, doc_id, round(0.6 * coalesce(lexical, 0) + 0.4 * n_sources / 3, 6) as consensus from m) select query_id, doc_id, consensus, rank from (select *, cast(row_number() over (partition by query_id order by consensus desc, doc_id) as int) as rank from c) where rank <= 10")
 def consensus_prefilter(spark, d):
     m = merge_candidates(spark, d).select("query_id", "doc_id", F.coalesce("lexical", F.lit(0.0)).alias("score"), "n_sources")
     return fusion.consensus(m, 10).select("query_id", "doc_id", "consensus", "rank")
@@ -213,8 +213,8 @@ def relative_select(spark, d):
 
 
 @query(f"""{LISTS}, x as (select *, length(text) % 7 as model from b join documents using (doc_id) where rank <= 10),
-y as (select query_id, doc_id, score, row_number() over (partition by query_id order by score desc, doc_id) as retrieval_rank, round(0.15 * score + (1 - 0.15) * case when max(model) over w = min(model) over w then 0.5 else (model - min(model) over w) / (max(model) over w - min(model) over w) end, 6) as final from x window w as (partition by query_id)),
-z as (select *, row_number() over (partition by query_id order by final desc, doc_id) as rerank_rank from y) select query_id, doc_id, final, retrieval_rank, rerank_rank, retrieval_rank - rerank_rank as rank_delta from z""")
+y as (select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as retrieval_rank, round(0.15 * score + (1 - 0.15) * case when max(model) over w = min(model) over w then 0.5 else (model - min(model) over w) / (max(model) over w - min(model) over w) end, 6) as final from x window w as (partition by query_id)),
+z as (select *, cast(row_number() over (partition by query_id order by final desc, doc_id) as int) as rerank_rank from y) select query_id, doc_id, final, retrieval_rank, rerank_rank, retrieval_rank - rerank_rank as rank_delta from z""")
 def rerank_blend(spark, d):
     top = bm25.top(_overlap(spark, d), 10).drop("rank").join(read(spark, d, "documents").select("doc_id", (F.length("text") % 7).alias("model")), "doc_id")
     return fusion.rerank(top, "model", 0.15).select("query_id", "doc_id", "final", "retrieval_rank", "rerank_rank", "rank_delta")

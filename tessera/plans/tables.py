@@ -71,7 +71,7 @@ def union_first_wins(spark, d):
     return dedupe.union_first([r, n], ["k"], ["name"])
 
 
-@query("select o_orderpriority, o_orderkey, o_totalprice, rank from (select *, row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as rank from orders) where rank <= 50")
+@query("select o_orderpriority, o_orderkey, o_totalprice, rank from (select *, cast(row_number() over (partition by o_orderpriority order by o_totalprice desc, o_orderkey) as int) as rank from orders) where rank <= 50")
 def topk_per_group(spark, d):
     o = read(spark, d, "orders").select("o_orderpriority", "o_orderkey", "o_totalprice")
     return dedupe.top_per_group(o, ["o_orderpriority"], [F.col("o_totalprice").desc(), F.col("o_orderkey")], 50)

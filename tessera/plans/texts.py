@@ -169,7 +169,7 @@ def domain_detect(spark, d):
 _W = f"case when {SQUASH.format('text')} = '' then 0 else len(string_split({SQUASH.format('text')}, ' ')) end"
 
 
-@query(f"select item_id, case when {_sql_any('lower(text)', ['ción', ' los '])} then 'spanish' when {_sql_any('lower(text)', [' und ', ' der '])} then 'german' when {_W} > 30 then 'complex' else 'simple' end as route, case when regexp_matches(text, '\\d') then 0.3 when {_W} >= 12 then 0.8 else 0.5 end as alpha, case when {_W} >= 12 then 8 when regexp_matches(text, '\\d') then 6 else 5 end as top_k from benchmark")
+@query(f"select item_id, case when {_sql_any('lower(text)', ['ción', ' los '])} then 'spanish' when {_sql_any('lower(text)', [' und ', ' der '])} then 'german' when {_W} > 30 then 'complex' else 'simple' end as route, case when regexp_matches(text, '\\d') then 0.3::double when {_W} >= 12 then 0.8 else 0.5 end as alpha, case when {_W} >= 12 then 8 when regexp_matches(text, '\\d') then 6 else 5 end as top_k from benchmark")
 def route_query(spark, d):
     b = read(spark, d, "benchmark")
     n = T.word_count(F.col("text"))
