@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 #: Settings that results depend on, or that keep plans adaptive.
@@ -25,3 +31,21 @@ def build(master: str = "local[8]", shuffle_partitions: int = 8, **conf: str) ->
 def read(spark: SparkSession, sf_dir: str, table: str):
     """One of the Parquet tables below ``sf_dir``; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python workers, once per application, wherever they were started."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="tessera-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/tessera.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(f"{folder}/tessera.zip")
+    _shipped.add(context.applicationId)
