@@ -192,9 +192,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.col(text_col).isNull().alias("null_text"), (F.struct(*carry) if carry else F.lit(0)).alias("row")).alias("rest"))
     rows = rows.select("id", F.xxhash64("text").alias("text_hash"), "text", "rest")
     found = written(find_anchors(rows.drop("rest"), length, gram), "anchors")
-    grams = found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    # counts are tables of their own: joins then read both sides from exchanges that can be split where a gram is hot
+    grams = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "grams")
     repeats = written(found.join(grams, "gram"), "repeats")
-    slices = repeats.groupBy("gram", "slice").agg(F.count(F.lit(1)).alias("whole"), F.min(F.struct("id", "text_hash", "start")).alias("one"))
+    slices = written(repeats.groupBy("gram", "slice").agg(F.count(F.lit(1)).alias("whole"), F.min(F.struct("id", "text_hash", "start")).alias("one")), "wholes")
     hot = written(slices.groupBy("gram").agg(F.count(F.lit(1)).alias("slices")).where(F.col("slices") > hot_group), "hot")
     # a slice that occurs once needs a closer look; of one that occurs more often, one goes along for the others
     looked = repeats.join(slices, ["gram", "slice"]).join(F.broadcast(hot) if hot.count() < 10_000 else hot, "gram", "left")
