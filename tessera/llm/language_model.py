@@ -9,9 +9,10 @@ Probabilities are interpolated with absolute discounting: p(w | c) = (n(cw) - d)
 plus g(c) p(w | shorter c), where g(c) is the mass that kept n-grams leave; words are smoothed by
 adding 0.1, with a share for unknown ones.
 
-The trie is memory-mapped from the shared folder, in shards of sorted keys that many tasks write. In a
+Texts are read twice, to count words and to number them; later passes read numbers. The
+trie is memory-mapped from the shared folder, in shards of sorted keys that many tasks write. In a
 level, a context's children are a range that an Elias-Fano sequence of monotone pointers gives; word
-numbers are bit-packed, and a child is found by successor search within its context's range. Level 1
+numbers are 32-bit, and a child is found by successor search within its context's range. Level 1
 maps word hashes to numbers. Logarithms of smoothed probabilities and of g are quantised to 1/4096.
 
 Defined results: null and empty texts are one end token; a null id is held out; without training
@@ -21,7 +22,7 @@ other columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,19 +30,24 @@ import pyarrow as pa
 import xxhash
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, encoded, fresh_dir, groups, small_batches, written
+from tessera.llm.common import batch, delete_dir, encoded, fresh_dir, groups, small_batches, write_to, written
 from tessera.llm.quality import held_out
-from tessera.llm.succinct import access, elias_fano, load, pack, save, unpack
+from tessera.llm.succinct import access, elias_fano, load, save
 
 END, START = xxhash.xxh3_64_intdigest(b"\n"), xxhash.xxh3_64_intdigest(b"\r")  # no word holds a line break
 STEP = 1 / 4096
 SEGMENT, FLUSH = 200_000, 1_500_000
 
+#: Rows in an Arrow batch where rows are numbers, and where a row holds the numbers of many texts.
+SMALL, LARGE = 10_000, 1
+
 COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.binary())])
+NUMBERS = pa.schema([("numbers", pa.binary()), ("lengths", pa.binary()), ("docs", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("pairs", pa.binary())])
+NUMBERS_DDL = "numbers binary, lengths binary, docs array<long>, held_out array<boolean>, pairs binary"
 SHARDS = pa.schema([("path", pa.string()), ("first", pa.int64()), ("rows", pa.int64())])
 SHARDS_DDL = "path string, first long, rows long"
 SCORES = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
@@ -49,9 +55,9 @@ SCORES_DDL = "id long, held_out boolean, n_tokens long, n_known long, base_score
 
 
 def hashes(text: str | None) -> np.ndarray:
-    """Word hashes of a text, A-Z in lower case, and the end."""
+    """The start mark, word hashes of a text, A-Z in lower case, and the end."""
     w = encoded(text).lower().split()
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, [*w, b"\n"]), np.uint64, len(w) + 1).view(np.int64)
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, [b"\r", *w, b"\n"]), np.uint64, len(w) + 2).view(np.int64)
 
 
 @dataclass
@@ -65,8 +71,8 @@ class Stretch:
     text: np.ndarray
 
 
-def stretches(texts: list[str | None]) -> Iterator[Stretch]:
-    """All texts in stretches of bounded length; long texts are parted, with two tokens of context."""
+def stretches(texts: Iterable[np.ndarray]) -> Iterator[Stretch]:
+    """Token arrays, each led by a start mark, in stretches of bounded length; long ones are parted, with two tokens of context."""
     held: list[tuple[np.ndarray, int, int]] = []
     size = 0
 
@@ -77,11 +83,10 @@ def stretches(texts: list[str | None]) -> Iterator[Stretch]:
         skip = np.repeat([s for _, s, _ in held], lengths)
         return Stretch(tokens, begin, np.arange(len(tokens)) - begin >= skip, np.repeat([k for _, _, k in held], lengths))
 
-    for k, text in enumerate(texts):
-        h = np.concatenate((np.array([START], np.uint64).view(np.int64), hashes(text)))
-        for a in range(1, len(h), SEGMENT):
+    for k, tokens in enumerate(texts):
+        for a in range(1, len(tokens), SEGMENT):
             context = max(0, a - 2)
-            piece = h[context : a + SEGMENT]
+            piece = tokens[context : a + SEGMENT]
             held.append((piece, a - context, k))
             size += len(piece)
             if size >= SEGMENT:
@@ -91,6 +96,29 @@ def stretches(texts: list[str | None]) -> Iterator[Stretch]:
         yield flush()
 
 
+@dataclass
+class Row:
+    """Texts of one row of the table of numbers: word numbers of all of them one after another, each led by the start mark and
+    closed by the end, where each begins, and for each token the row of the pair that ends there."""
+
+    numbers: np.ndarray
+    edges: np.ndarray
+    docs: list
+    held_out: np.ndarray
+    pairs: np.ndarray | None
+
+    def stretches(self) -> Iterator[Stretch]:
+        """Stretches whose tokens are places in numbers and pairs."""
+        return stretches(np.arange(a, b) for a, b in zip(self.edges, self.edges[1:]))
+
+
+def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
+    for b in batches:
+        for k in range(b.num_rows):
+            numbers, lengths, pairs = (np.frombuffer(x, t) if (x := b.column(c)[k].as_py()) is not None else None for c, t in ((0, "<i4"), (1, "<i8"), (4, "<i8")))
+            yield Row(numbers.astype(np.int64), np.concatenate(([0], np.cumsum(lengths))), b.column(2)[k].as_py(), np.array(b.column(3)[k].as_py(), bool), pairs)
+
+
 class Tally:
     """Counts of integer keys in sorted arrays; what it holds is emitted when it gets too large."""
 
@@ -181,16 +209,16 @@ class Shards:
             lo, hi = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
             lo[inside], hi[inside] = access(pointers, some[inside] - base), access(pointers, some[inside] - base + 1)
             lo, hi = lo[which], hi[which]
-            end, width = hi.copy(), int(shard["width"][0])
+            end, words = hi.copy(), shard["word"]
             live = np.flatnonzero(lo < hi)
             while len(live):
                 mid = (lo[live] + hi[live]) >> 1
-                less = unpack(shard["word"], width, mid) < w[live]
+                less = words[mid] < w[live]
                 lo[live] = np.where(less, mid + 1, lo[live])
                 hi[live] = np.where(less, hi[live], mid)
                 live = live[lo[live] < hi[live]]
             hit = np.flatnonzero(lo < end)
-            hit = hit[unpack(shard["word"], width, lo[hit]) == w[hit]]
+            hit = hit[words[lo[hit]] == w[hit]]
             rows = np.full(len(lo), -1)
             rows[hit] = lo[hit] + offset
             out[at] = rows
@@ -201,8 +229,7 @@ class Shards:
         rows, back = np.unique(rows, return_inverse=True)
         out = np.zeros(len(rows), np.int64)
         for shard, at, offset in self.parts(rows, self.offset[:-1]):
-            local = rows[at] - offset
-            out[at] = unpack(shard["word"], int(shard["width"][0]), local) if name == "word" else shard[name][local]
+            out[at] = shard[name][rows[at] - offset]
         return out[back]
 
 
@@ -258,12 +285,10 @@ class Model:
         out[row >= 0] = -STEP * rest.get(row[row >= 0], "log")
         return out
 
-    def log_probs(self, s: Stretch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def log_probs(self, s: Stretch, numbers: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token its count, log10 of its own probability, and log10 of its probability after its context."""
-        numbers = self.numbers(s.tokens)
         counts = self.word_counts(numbers)
         base = self.base(counts)
-        pair = self.pair_rows(s, numbers)
         place = np.arange(len(numbers))
         second = np.flatnonzero(place > s.begin)
         out = base.copy()
@@ -281,8 +306,8 @@ def quantised(log: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(-log / STEP), 65535).astype(np.uint16)
 
 
-def counted(texts: DataFrame, keys, parts: int, least: int) -> DataFrame:
-    """(key, n) for keys that occur at least so often, where keys(stretch) gives the integer keys of a stretch of texts."""
+def counted(table: DataFrame, keys, parts: int, least: int) -> DataFrame:
+    """(key, n) for keys that occur at least so often, where keys(batches) gives arrays of integer keys."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
 
@@ -294,10 +319,9 @@ def counted(texts: DataFrame, keys, parts: int, least: int) -> DataFrame:
             there = [p for p in range(parts) if edges[p] < edges[p + 1]]
             return batch(BLOCKS, part=there, block=[to_block(k[x], n[x]) for p in there for x in [by[edges[p] : edges[p + 1]]]])
 
-        for b in batches:
-            for s in stretches(b.column(0).to_pylist()):
-                if tally.add(keys(s)):
-                    yield out()
+        for some in keys(batches):
+            if tally.add(some):
+                yield out()
         yield out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +329,7 @@ def counted(texts: DataFrame, keys, parts: int, least: int) -> DataFrame:
             k, n = summed(*(np.concatenate(x) for x in zip(*map(from_block, g.column(1).to_pylist()))))
             yield batch(COUNTS, key=k[n >= least], n=n[n >= least])
 
-    blocks = texts.mapInArrow(run, "part int, block binary")
+    blocks = table.mapInArrow(run, "part int, block binary")
     return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key long, n long")
 
 
@@ -329,36 +353,91 @@ def sharded(rows: DataFrame, name: str, arrays) -> Shards:
 
 
 def level(keys: np.ndarray, size: int, **more: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of a level's shard: pointers to the children of each context from the first to the last one, and packed word numbers."""
+    """Arrays of a level's shard: pointers to the children of each context from the first to the last one, and word numbers."""
     context, word = np.divmod(keys, size)
     base, contexts = int(context[0]), int(context[-1] - context[0]) + 1
     pointers = np.searchsorted(context, np.arange(base, base + contexts + 1))
-    width = max(1, int(size).bit_length())
     packed = {f"ptr_{k}": x for k, x in elias_fano(pointers, len(keys) + 1).items()}
-    return packed | {"word": pack(word, width), "width": np.array([width]), "base": np.array([base]), "contexts": np.array([contexts])} | more
+    return packed | {"word": word.astype(np.uint32), "base": np.array([base]), "contexts": np.array([contexts])} | more
+
+
+def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Words of training texts: (id, text, held_out) rows."""
+    for b in batches:
+        for text, out in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            if not out:
+                yield hashes(text)[1:]
+
+
+def numbers_table(texts: DataFrame, model: Model) -> str:
+    """Path of a table of word numbers of all texts (-1 for unknown words), some texts in a row, so that later passes need not read texts again."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, docs, out, size = [], [], [], 0
+
+        def row() -> pa.RecordBatch:
+            flat = np.concatenate(h)
+            found = np.concatenate([model.numbers(flat[a : a + SEGMENT]) for a in range(0, len(flat), SEGMENT)])
+            return batch(NUMBERS, numbers=[found.astype("<i4").tobytes()], lengths=[np.array([len(x) for x in h], "<i8").tobytes()], docs=[docs], held_out=[out], pairs=[None])
+
+        for b in batches:
+            for number, text, held in zip(*(c.to_pylist() for c in b.columns)):
+                h.append(hashes(text))
+                docs.append(number)
+                out.append(held)
+                size += len(h[-1])
+                if size >= SEGMENT:
+                    yield row()
+                    h, docs, out, size = [], [], [], 0
+        if h:
+            yield row()
+
+    return write_to(texts.mapInArrow(run, NUMBERS_DDL), "numbers")
+
+
+def pairs_table(path: str, spark: SparkSession, model: Model) -> DataFrame:
+    """The same rows with the row of the pair that ends at each token; they take the place of the table at the path."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, row in enumerate(numbered(iter([b]))):
+                pairs = np.full(len(row.numbers), -1, "<i8")
+                for s in row.stretches():
+                    pairs[s.tokens[s.new]] = model.pair_rows(s, row.numbers[s.tokens])[s.new]
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in b.columns[:4]), pa.array([pairs.tobytes()], pa.binary())], names=NUMBERS.names)
+
+    out = written(spark.read.schema(NUMBERS_DDL).parquet(path).mapInArrow(run, NUMBERS_DDL), "pair-rows")
+    delete_dir(spark, path)
+    return out
 
 
-def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> Model:
-    """A model of the texts in the frame's one column."""
+def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Model, DataFrame]:
+    """A model of the texts that are not held out, from (id, text, held_out) rows, and the table of numbers and pairs of all of them."""
     spark = texts.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = Model(discount=discount)
-    words = written(counted(texts, lambda s: s.tokens[s.new], parts, 1), "words")
+    words = written(counted(texts, word_keys, parts, 1), "words")
     found = words.agg(F.sum("n"), F.max(F.when(F.col("key") == F.lit(int(np.array([END], np.uint64).view(np.int64)[0])), F.col("n")))).first()
     if not found[0]:
-        return model
+        return model, pairs_table(numbers_table(texts, model), spark, model)
     model.total, model.texts = int(found[0]), int(found[1])
+    small_batches(spark, SMALL)
     model.words = sharded(words, "level1", lambda key, n: {"key": key, "count": n})
     size = model.size
     if size >= 1 << 31:
         raise ValueError("more than 2**31 distinct words")
-
-    def pair_keys(s: Stretch) -> np.ndarray:
-        numbers = model.numbers(s.tokens)
-        at = np.flatnonzero(s.new & (np.arange(len(numbers)) > s.begin))
-        return numbers[at - 1] * size + numbers[at]
-
-    pairs = written(counted(texts, pair_keys, parts, least), "pairs")
+    small_batches(spark)
+    path = numbers_table(texts, model)
+    small_batches(spark, LARGE)
+    first = spark.read.schema(NUMBERS_DDL).parquet(path)
+
+    def pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for row in numbered(batches):
+            for s in row.stretches():
+                numbers = row.numbers[s.tokens]
+                at = np.flatnonzero(s.new & (np.arange(len(numbers)) > s.begin) & ~row.held_out[s.text])
+                yield numbers[at - 1] * size + numbers[at]
+
+    pairs = written(counted(first, pair_keys, parts, least), "pairs")
+    small_batches(spark, SMALL)
     masses = pairs.groupBy((F.expr(f"key div {size}")).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
 
     def rest1(key, n, kinds):
@@ -372,15 +451,19 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> Model:
         return level(key, size, log=quantised(np.log10(p)), count=n)
 
     model.pairs = sharded(pairs, "level2", level2)
-
-    def triple_keys(s: Stretch) -> np.ndarray:
-        numbers = model.numbers(s.tokens)
-        pair = model.pair_rows(s, numbers)
-        at = np.flatnonzero(s.new & (np.arange(len(numbers)) > s.begin + 1) & (pair >= 0))
-        at = at[pair[at - 1] >= 0]
-        return pair[at - 1] * size + numbers[at]
-
-    triples = written(counted(texts, triple_keys, parts, least), "triples")
+    small_batches(spark, LARGE)
+    table = pairs_table(path, spark, model)
+
+    def triple_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        for row in numbered(batches):
+            for s in row.stretches():
+                numbers, pair = row.numbers[s.tokens], row.pairs[s.tokens]
+                at = np.flatnonzero(s.new & (np.arange(len(numbers)) > s.begin + 1) & (pair >= 0) & ~row.held_out[s.text])
+                at = at[pair[at - 1] >= 0]
+                yield pair[at - 1] * size + numbers[at]
+
+    triples = written(counted(table, triple_keys, parts, least), "triples")
+    small_batches(spark, SMALL)
     masses = triples.groupBy((F.expr(f"key div {size}")).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
 
     def rest2(key, n, kinds):
@@ -395,7 +478,8 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> Model:
         return level(key, size, log=quantised(np.log10(p)))
 
     model.triples = sharded(triples, "level3", level3)
-    return model
+    small_batches(spark, LARGE)
+    return model, table
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, least: int = 2, discount: float = 0.75) -> DataFrame:
@@ -404,20 +488,20 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col, folds).alias("held_out"))
-    model = train(rows.where("not held_out").select("text"), least, discount)
+    model, table = train(rows, least, discount)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = b.num_rows
+        for row in numbered(batches):
+            n = len(row.docs)
             tokens, known, base, full = (np.zeros(n) for _ in range(4))
-            for s in stretches(b.column(1).to_pylist()):
-                counts, own, after = model.log_probs(s)
+            for s in row.stretches():
+                counts, own, after = model.log_probs(s, row.numbers[s.tokens], row.pairs[s.tokens])
                 text = s.text[s.new]
                 tokens += np.bincount(text, minlength=n)
                 known += np.bincount(text, counts[s.new] > 0, n)
                 base += np.bincount(text, own[s.new], n)
                 full += np.bincount(text, after[s.new], n)
-            yield batch(SCORES, id=b.column(0), held_out=b.column(2), n_tokens=tokens.astype(np.int64), n_known=known.astype(np.int64), base_score=base, score=full)
+            yield batch(SCORES, id=row.docs, held_out=row.held_out, n_tokens=tokens.astype(np.int64), n_known=known.astype(np.int64), base_score=base, score=full)
 
-    out = rows.select("id", "text", "held_out").mapInArrow(run, SCORES_DDL)
+    out = table.mapInArrow(run, SCORES_DDL)
     return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

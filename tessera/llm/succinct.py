@@ -13,6 +13,7 @@ import numpy as np
 from pyarrow import fs
 
 U = np.uint64
+BYTE, TOPS = U(0x0101010101010101), U(0x8080808080808080)
 SELECT = np.full((256, 8), 8, np.uint8)
 for _b in range(256):
     for _r, _p in enumerate(p for p in range(8) if _b >> p & 1):
@@ -57,22 +58,21 @@ def access(ef: dict[str, np.ndarray], i: np.ndarray) -> np.ndarray:
     """The i-th values of an Elias-Fano sequence."""
     before, width = ef["before"], int(ef["width"][0])
     word = np.searchsorted(before, i, "right") - 1
-    rank, bits = i - before[word], ef["high"][word]
     place = word << 6
-    byte = np.zeros(len(i), np.int64)
-    found = np.zeros(len(i), bool)
-    for k in range(8):
-        b = (bits >> U(8 * k) & U(255)).astype(np.int64)
-        ones = np.bitwise_count(b).astype(np.int64)
-        here = ~found & (rank < ones)
-        byte[here] = b[here]
-        place[here] += 8 * k
-        found |= here
-        rank = np.where(found, rank, rank - ones)
-    place += SELECT[byte, rank]
+    place += select(ef["high"][word], (i - before[word]).astype(U))
     return (place - i << width) | unpack(ef["low"], width, i)
 
 
+def select(x: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Place of the rank-th one in each 64-bit word: sums of ones by byte side by side, the byte by comparing them with the rank."""
+    sums = x - (x >> U(1) & U(0x5555555555555555))
+    sums = (sums & U(0x3333333333333333)) + (sums >> U(2) & U(0x3333333333333333))
+    sums = (sums + (sums >> U(4)) & U(0x0F0F0F0F0F0F0F0F)) * BYTE
+    byte = np.bitwise_count(((rank * BYTE | TOPS) - sums) & TOPS).astype(U) << U(3)
+    rest = rank - (sums << U(8) >> byte & U(255))
+    return (byte + SELECT[(x >> byte & U(255)).astype(np.int64), rest.astype(np.int64)]).astype(np.int64)
+
+
 def save(path: str, arrays: dict[str, np.ndarray]) -> None:
     """One file: the arrays 8-byte aligned, then their names, types, places and lengths, then the length of that."""
     where, inner = fs.FileSystem.from_uri(path)
