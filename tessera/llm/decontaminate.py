@@ -15,6 +15,7 @@ one block, and then only their hits are.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -24,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import batch, encoded, small_batches, words
+from tessera.llm.substrings import merged
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 OUT = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("block", pa.int32()), ("n_words", pa.int64()), ("spans", SPANS), ("items", pa.list_(pa.string()))])
@@ -212,13 +214,13 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     for x in passes[1:]:
         every = every.unionByName(x)
     found = F.collect_set(F.struct("block", "spans", "items"))
-    merged = every.groupBy("id", "text_hash").agg(F.max("n_words").alias("n_words"), found.alias("found"), (F.count(F.lit(1)) / len(passes)).cast("int").alias("rows"))
-    merged = merged.select("id", "n_words", F.array_sort(F.flatten("found.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten("found.items"))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows"))))
+    by_text = every.groupBy("id", "text_hash").agg(F.max("n_words").alias("n_words"), found.alias("found"), (F.count(F.lit(1)) / len(passes)).cast("int").alias("rows"))
+    by_text = by_text.select("id", "n_words", F.array_sort(F.flatten("found.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten("found.items"))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows"))))
     grown = F.aggregate(
         "spans", F.expr("cast(array() as array<struct<start: long, end: long>>)"),
         lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
     )
-    return merged.select("id", "n_words", grown.alias("spans"), "items")
+    return by_text.select("id", "n_words", grown.alias("spans"), "items")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -241,29 +243,57 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
 
 
-def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, min_span: int = 1, max_coverage: float = 0.5) -> DataFrame:
+def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, min_span: int = 1, max_coverage: float = 0.5, block_words: int = 100_000) -> DataFrame:
     """Documents without what is contaminated: hit spans of at least min_span words are cut out of the text, and a
-    document of which more than max_coverage of the words are hit goes. All columns of docs stay. One pass, one block of
-    items at a time: with several blocks the spans of each are cut one after another, and coverage is judged by block."""
+    document of which more than max_coverage of the words are hit goes. All columns of docs stay. One pass where items are
+    one block; more blocks are each scanned against the whole text, and their hits are merged before anything is judged or cut."""
     small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     at = docs.columns.index(text_col)
-    for block in blocks(items, item_id, item_text, 100_000):
-        shared = context.broadcast(block)
+    shared = [context.broadcast(block) for block in blocks(items, item_id, item_text, block_words)]
+    if not shared:
+        return docs
+
+    def cleaned(columns: list[pa.Array], schema: pa.Schema, found: Iterable[list[tuple[int, int]]]) -> pa.RecordBatch:
+        texts, keep = columns[at].to_pylist(), []
+        for k, spans in enumerate(found):
+            spans = [s for s in spans if s[1] - s[0] >= min_span]
+            keep.append(not spans or sum(e - s for s, e in spans) <= max_coverage * len(words(texts[k])))
+            if spans and keep[-1]:
+                texts[k] = cut_words(texts[k], spans)
+        columns = [pa.array(texts, c.type) if i == at else c for i, c in enumerate(columns)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema).filter(pa.array(keep, pa.bool_()))
+
+    if len(shared) == 1:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = Automaton(shared[0].value, window)
+            for b in batches:
+                yield cleaned(b.columns, b.schema, [automaton.scan(words(t))[0] for t in b.column(at).to_pylist()])
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(shared.value, window)
+        return docs.mapInArrow(run, docs.schema)
+    text = F.col(f"`{text_col}`").cast("string")
+    keyed = docs.select(F.sha2(text, 256).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    rows = docs.select(F.sha2(text, 256).alias("key"), text.alias("text")).where("text is not null")
+
+    def scans(block) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = Automaton(block.value, window)
             for b in batches:
-                texts, keep = b.column(at).to_pylist(), []
-                for k, text in enumerate(texts):
-                    w = words(text)
-                    spans, _ = automaton.scan(w)
-                    spans = [s for s in spans if s[1] - s[0] >= min_span]
-                    keep.append(not spans or sum(e - s for s, e in spans) <= max_coverage * len(w))
-                    if spans and keep[-1]:
-                        texts[k] = cut_words(text, spans)
-                columns = [pa.array(texts, f.type) if i == at else b.column(i) for i, f in enumerate(b.schema)]
-                yield pa.RecordBatch.from_arrays(columns, schema=b.schema).filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+                found = [automaton.scan(words(t))[0] for t in b.column(1).to_pylist()]
+                spans = pa.array([[{"start": s, "end": e} for s, e in x] for x in found], SPANS)
+                yield pa.RecordBatch.from_arrays([b.column(0), spans], names=["key", "spans"]).filter(pa.array([bool(x) for x in found], pa.bool_()))
+
+        return rows.mapInArrow(run, "key string, spans array<struct<start: long, end: long>>")
+
+    hits = reduce(DataFrame.unionByName, map(scans, shared))
+    # equal texts have equal hits, so a text's lists are bounded by its own words and the blocks
+    hits = hits.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+
+    def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [merged([(s["start"], s["end"]) for s in x or ()]) for x in b.column(1).to_pylist()]
+            columns = b.column(0).flatten()
+            yield cleaned(columns, pa.schema([pa.field(f.name, f.type, f.nullable) for f in b.column(0).type]), found)
+
+    return keyed.join(hits, "key", "left").select("row", "spans").mapInArrow(run_merged, docs.schema)

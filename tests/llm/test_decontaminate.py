@@ -54,6 +54,33 @@ def test_removal_keeps_clean_documents(spark, documents, nothing):
     assert decontaminate.digest(decontaminate.find(nothing, bench)).count() == 0
 
 
+@pytest.mark.parametrize("turn", [1, -1])
+@pytest.mark.parametrize("block", [100_000, 12, 1])
+def test_removal_whatever_the_blocks(spark, block, turn):
+    w = [f"w{i}" for i in range(60)]
+    items = [(1, " ".join(w[:12])), (2, " ".join(w[20:32])), (3, " ".join(w[6:18])), (4, " ".join(w[40:46] + w[48:54]))][::turn]
+    rest = [f"r{i}" for i in range(40)]
+    docs = {
+        1: w[:12] + rest[:6] + w[20:32] + rest[6:12],  # each item hits a third, both hit more than half
+        2: rest[:20] + w[:18] + rest[20:],  # overlapping windows of two items
+        3: rest[:20] + w[40:46] + w[:12] + w[48:54] + rest[20:],  # words around a cut are no window
+        4: rest[:30],
+        5: rest[:20] + w[:12] + w[20:32] + rest[20:],
+    }
+    rows = [(i, "x", " ".join(t)) for i, t in docs.items()] + [(2, "y", " ".join(docs[2])), (None, "x", " ".join(docs[5])), (6, "x", None), (7, "x", "")]
+    want = []
+    for i, spans, text in rows:
+        t = (text or "").split()
+        hit, _ = brute([(str(k), x.split()) for k, x in items], t, 10)
+        if len(hit) <= 0.5 * len(t):
+            want.append((i or -1, spans, text and " ".join(x for k, x in enumerate(t) if k not in hit)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.remove(spark.createDataFrame(rows, "doc_id long, spans string, text string"), bench, block_words=block)
+    assert out.columns == ["doc_id", "spans", "text"]
+    assert sorted((r["doc_id"] or -1, r["spans"], r["text"] and " ".join(r["text"].split())) for r in out.collect()) == sorted(want)
+    assert {1} == {i for i in docs if i not in {x for x, _, _ in want}}
+
+
 def test_query_matches_sql(spark):
     sf = "/root/testdata/sf0.001"
     oracle.same(queries.op1_decontaminate(spark, sf), queries.ORACLE["op1_decontaminate"], oracle.connect(sf))
