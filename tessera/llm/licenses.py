@@ -1,6 +1,6 @@
 """Licence scans by canonical digest.
 
-A text is canonicalised line by line: lower case, copyright lines dropped, equivalent spellings made
+A text is canonicalised line by line: lower case, copyright statements dropped, equivalent spellings made
 one, everything but letters and digits made a space. SHA-256 digests of the result, of the whole text and of its
 single lines, are hash-joined to the digests of known licence texts and statements. All of it is
 DataFrame expressions; a document's lines meet the known digests only if they are no longer than the
@@ -18,8 +18,21 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import written
 
-#: Lines that only say whose the copyright is.
+#: Lines that begin with a copyright mark.
 COPYRIGHT = r"^\W*(copyright|copr\.|©|\(c\)).*$"
+#: Words that follow "copyright" in licence texts and are nobody's name.
+_NO_OWNER = (
+    r"(?!(?i:notices?|holders?|owners?|ownership|licen[cs]es?|licensors?|licensed|laws?|statements?|interests?|disclaimers?|permissions?|treat(?:y|ies)|conventions?|acts?|protections?|protected|rights?|patents?|trademarks?|information|messages?|attributions?"
+    r"|assign\w*|claims?|infring\w*|material|works?|terms?|files?|lines?|headers?|status|legends?|policy|exceptions?|doctrines?|registration|legislation|subsists|relinquish\w*|dedication|related|the\s+(?:software|program|library|works?|document)"
+    r"|and|or|in|on|is|to|of|for|from|with|without|that|which|this|these|those|as|at|if|under|over|are|was|were|has|have|had|may|must|shall|will|can|cannot|does|not|nor|but|it|its|any|than|then|your?|we|our|they|their|such|applies|resulting|where|when)(?![\p{L}\p{N}]))"
+)
+_GAP = r"[^\p{L}\p{N}©<\[{]*"
+_OWNED = rf"(?i:copyright(?![\p{{L}}_])|copr\.){_GAP}(?:©|\d\d|[<\[{{]|{_NO_OWNER}\p{{L}})"
+_NAME = r"(?:[\p{Lu}\p{N}\"'&<(\[]\S*|(?i:and|of|the|by|for|at|de|der|van|von|et|al|all|rights|reserved|others|contributors|authors)[.,;]?)"
+_NAMES = rf"(?=\p{{Lu}}|by\s)(?!.*\b(?i:your?|must|shall|may|will|is|are|be|not|any|this|that|if|it|to|or|with|without|such)\b){_NAME}(?:\s+{_NAME}){{0,11}}\s*$"
+#: Of those, the lines that only say whose the copyright is, by a year, a second mark, a place for a name, or a name.
+#: Others are licence text that a line break has put there: "copyright notice and ...", "(c) You must ...".
+OWNERSHIP = rf"^\W*(?:©|{_OWNED}|(?i:\(c\)){_GAP}(?:(?:19|20)\d\d|©|[<\[{{]|{_OWNED}|{_NAMES}))"
 #: Spellings that licence matching holds to be equal, and what they become.
 EQUIVALENT = (
     ("https://", "http://"), ("sub-licen[cs]e", "sublicense"), ("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("wilful", "willful"), ("fulfilment", "fulfillment"),
@@ -50,7 +63,7 @@ def known_licenses(spark: SparkSession) -> DataFrame:
 
 def canonical_line(line: Column) -> Column:
     low = F.lower(line)
-    c = F.regexp_replace(low, COPYRIGHT, "")
+    c = F.when(low.rlike(COPYRIGHT) & line.rlike(OWNERSHIP), F.lit("")).otherwise(low)
     for pattern, to in EQUIVALENT:
         c = F.regexp_replace(c, pattern, to)
     return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))

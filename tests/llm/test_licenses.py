@@ -1,3 +1,8 @@
+import textwrap
+
+import pytest
+from pyspark.sql import functions as F
+
 from tessera.llm import licenses, queries
 from tests import oracle
 
@@ -16,6 +21,34 @@ def test_equivalent_texts(spark, nothing):
     assert licenses.scan(docs, licenses.known_licenses(spark).limit(0)).where("licensed").count() == 0
 
 
+def wrapped(text, width):
+    return "\n\n".join("\n".join(textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in text.split("\n\n"))
+
+
+def test_wrapping_loses_nothing(spark):
+    isc = wrapped(licenses.ISC, 74).replace("the above copyright", "the above\ncopyright")
+    assert "\ncopyright notice" in isc
+    rows = [("ISC", "Copyright (c) 2020 Someone <a@b.c>\n\n" + isc)]
+    rows += [(name, case(wrapped(text, width))) for name, text in (("MIT", licenses.MIT), ("ISC", licenses.ISC)) for width in range(8, 121) for case in (str, str.upper)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(rows)}
+
+
+@pytest.mark.parametrize(
+    "kept,lines",
+    [
+        (False, ["Copyright 2020", "Copyright (c) 2020 X", "(c) 1999 X", "(C) 1999-2003 by X", "# Copyright (C) The Authors", "© X", "Copr. 1999 X", "copyright someone", "Copyright: John Smith", "Copyright <YEAR> <OWNER>", "Copyright [yyyy] [name of copyright owner]"]),
+        (False, ["(c) Copyright 2001 X", "(c) Microsoft Corporation. All rights reserved.", "Copyright (c) <year> <holders>", "Copyright, 1998, X", "Copyright &copy; 2020 X", "Copyright by X", "COPYRIGHT (C) 2020 X", " * Copyright The libuv project contributors"]),
+        (True, ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "copyright owner or by an individual", "copyright license to reproduce, prepare", "copyright, patent, trademark, and", "copyright law.", "copyright", "copyrighted by the Free Software Foundation"]),
+        (True, ["(c) You must retain, in the Source form", "(C) YOU MUST RETAIN, IN THE SOURCE FORM", "(c) Accompany it with the information", "(c) copyright notices must stay", "copyright the software, and", "(c) in any way"]),
+    ],
+)
+def test_copyright_lines(spark, kept, lines):
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", (licenses.canonical_line(F.col("x")) != "").alias("kept")).collect()
+    assert [r["x"] for r in got if r["kept"] != kept] == []
+
+
 def test_query_matches_sql(spark):
     sf = "/root/testdata/sf0.001"
     oracle.same(queries.op3_licenses(spark, sf), queries.ORACLE["op3_licenses"], oracle.connect(sf))
