@@ -13,6 +13,9 @@ table gives an empty table; other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,10 +27,10 @@ COPYRIGHT = r"^\W*(copyright|copr\.|©|\(c\)).*$"
 _NO_OWNER = (
     r"(?!(?i:notices?|holders?|owners?|ownership|licen[cs]es?|licensors?|licensed|laws?|statements?|interests?|disclaimers?|permissions?|treat(?:y|ies)|conventions?|acts?|protections?|protected|rights?|patents?|trademarks?|information|messages?|attributions?"
     r"|assign\w*|claims?|infring\w*|material|works?|terms?|files?|lines?|headers?|status|legends?|policy|exceptions?|doctrines?|registration|legislation|subsists|relinquish\w*|dedication|related|the\s+(?:software|program|library|works?|document)"
-    r"|and|or|in|on|is|to|of|for|from|with|without|that|which|this|these|those|as|at|if|under|over|are|was|were|has|have|had|may|must|shall|will|can|cannot|does|not|nor|but|it|its|any|than|then|your?|we|our|they|their|such|applies|resulting|where|when)(?![\p{L}\p{N}]))"
+    r"|also|means?|and|or|in|on|is|to|of|for|from|with|without|that|which|this|these|those|as|at|if|under|over|are|was|were|has|have|had|may|must|shall|will|can|cannot|does|not|nor|but|it|its|any|than|then|your?|we|our|they|their|such|applies|resulting|where|when)(?![\p{L}\p{N}]))"
 )
 _GAP = r"[^\p{L}\p{N}©<\[{]*"
-_OWNED = rf"(?i:copyright(?![\p{{L}}_])|copr\.){_GAP}(?:©|\d\d|[<\[{{]|{_NO_OWNER}\p{{L}})"
+_OWNED = rf"(?i:copyright(?![\p{{L}}_\"”])|copr\.){_GAP}(?:©|\d\d|[<\[{{]|{_NO_OWNER}\p{{L}})"
 _NAME = r"(?:[\p{Lu}\p{N}\"'&<(\[]\S*|(?i:and|of|the|by|for|at|de|der|van|von|et|al|all|rights|reserved|others|contributors|authors)[.,;]?)"
 _NAMES = rf"(?=\p{{Lu}}|by\s)(?!.*\b(?i:your?|must|shall|may|will|is|are|be|not|any|this|that|if|it|to|or|with|without|such)\b){_NAME}(?:\s+{_NAME}){{0,11}}\s*$"
 #: Of those, the lines that only say whose the copyright is, by a year, a second mark, a place for a name, or a name.
@@ -55,9 +58,35 @@ ISC = """Permission to use, copy, modify, and/or distribute this software for an
 THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
 
+#: Whole licence texts, by name, without the title and the copyright lines of their own that copies differ in.
+TEXTS = Path(__file__).parent / "license_texts"
+#: Titles that copies of a text have or lack.
+TITLES = {
+    "BSD-2-Clause": ("BSD 2-Clause License", "BSD 2-Clause \"Simplified\" License", "BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "BSD 3-Clause \"New\" or \"Revised\" License", "BSD License"),
+    "Zlib": ("zlib License", "The zlib License"), "Unlicense": ("The Unlicense",),
+}
+
+
+def editions(name: str, text: str) -> list[str]:
+    """The forms in which a text is commonly distributed."""
+    forms = [text]
+    if "END OF TERMS AND CONDITIONS" in text:
+        # what follows tells how to apply the licence; copies end with the terms, with that line or without
+        before = text.partition("END OF TERMS AND CONDITIONS")[0]
+        forms += [before, before + "END OF TERMS AND CONDITIONS"]
+    if name == "Unlicense":
+        forms.append(text.partition("For more information")[0])
+    if name.startswith("BSD"):
+        forms += [x.replace("COPYRIGHT\nHOLDER OR", "COPYRIGHT OWNER OR") for x in forms]
+        forms += [re.sub(r"(?m)^\d\. ", "* ", x) for x in forms]
+        forms += ["All rights reserved.\n\n" + x for x in forms]
+    return forms + [f"{title}\n\n{x}" for title in TITLES.get(name, ()) for x in forms]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    """(license_id, text) of short statements and two whole texts, with and without their title."""
+    """(license_id, text) of short statements and whole texts, in their common editions."""
     rows = [*STATEMENTS, ("MIT", MIT), ("MIT", "MIT License\n\n" + MIT), ("ISC", ISC), ("ISC", "ISC License\n\n" + ISC)]
+    rows += [(file.stem, x) for file in sorted(TEXTS.glob("*.txt")) for x in editions(file.stem, file.read_text())]
     return spark.createDataFrame(rows, "license_id string, text string")
 
 

@@ -1,3 +1,4 @@
+import re
 import textwrap
 
 import pytest
@@ -22,7 +23,8 @@ def test_equivalent_texts(spark, nothing):
 
 
 def wrapped(text, width):
-    return "\n\n".join("\n".join(textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in text.split("\n\n"))
+    """The text with its paragraphs in lines of this width, but for those with a line that states a copyright."""
+    return "\n\n".join(p if re.search(r"(?mi)^\W*copyright (\(c\)|\[)", p) else "\n".join(textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False)) for p in text.split("\n\n"))
 
 
 def test_wrapping_loses_nothing(spark):
@@ -41,7 +43,7 @@ def test_wrapping_loses_nothing(spark):
         (False, ["Copyright 2020", "Copyright (c) 2020 X", "(c) 1999 X", "(C) 1999-2003 by X", "# Copyright (C) The Authors", "© X", "Copr. 1999 X", "copyright someone", "Copyright: John Smith", "Copyright <YEAR> <OWNER>", "Copyright [yyyy] [name of copyright owner]"]),
         (False, ["(c) Copyright 2001 X", "(c) Microsoft Corporation. All rights reserved.", "Copyright (c) <year> <holders>", "Copyright, 1998, X", "Copyright &copy; 2020 X", "Copyright by X", "COPYRIGHT (C) 2020 X", " * Copyright The libuv project contributors"]),
         (True, ["copyright notice and this permission notice", "COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM", "copyright owner or by an individual", "copyright license to reproduce, prepare", "copyright, patent, trademark, and", "copyright law.", "copyright", "copyrighted by the Free Software Foundation"]),
-        (True, ["(c) You must retain, in the Source form", "(C) YOU MUST RETAIN, IN THE SOURCE FORM", "(c) Accompany it with the information", "(c) copyright notices must stay", "copyright the software, and", "(c) in any way"]),
+        (True, ["(c) You must retain, in the Source form", "(C) YOU MUST RETAIN, IN THE SOURCE FORM", "(c) Accompany it with the information", "(c) copyright notices must stay", "\"Copyright\" also means copyright-like laws", "copyright the software, and", "(c) in any way"]),
     ],
 )
 def test_copyright_lines(spark, kept, lines):
@@ -49,6 +51,22 @@ def test_copyright_lines(spark, kept, lines):
     assert [r["x"] for r in got if r["kept"] != kept] == []
 
 
+def test_common_licenses(spark):
+    text = {f.stem: f.read_text() for f in licenses.TEXTS.glob("*.txt")}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "Zlib"} <= set(text)
+    rows = [(name, x) for name, t in text.items() for x in (t, t.replace("\n", "\r\n"), *(wrapped(t, w) for w in (40, 60, 72, 80, 100)))]
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        rows.append((name, f"{name[:5].replace('-', ' ')}-Clause License\n\nCopyright (c) 2020, Someone\nAll rights reserved.\n\n{text[name]}"))
+        rows.append((name, "Copyright 2020 Someone. All rights reserved.\n\n" + text[name].replace("1. ", " * ").replace("2. ", " * ").replace("3. ", " * ").replace("HOLDER OR", "OWNER OR")))
+    rows.append(("Apache-2.0", text["Apache-2.0"].partition("   APPENDIX")[0]))
+    rows.append(("Apache-2.0", text["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2020 Someone")))
+    rows.append(("Zlib", "Copyright (c) 2019 X\n\n" + text["Zlib"]))
+    rows.append((None, text["GPL-3.0"].replace("freedom", "liberty")))
+    docs = spark.createDataFrame(list(enumerate(x for _, x in rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in licenses.scan(docs, licenses.known_licenses(spark)).collect()}
+    assert [(rows[i][0], got[i], rows[i][1][:60]) for i in got if got[i] != rows[i][0]] == []
+
+
 def test_query_matches_sql(spark):
     sf = "/root/testdata/sf0.001"
     oracle.same(queries.op3_licenses(spark, sf), queries.ORACLE["op3_licenses"], oracle.connect(sf))
