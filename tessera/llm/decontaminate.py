@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, encoded, small_batches, words
+from tessera.llm.common import batch, encoded, sliced, words
 from tessera.llm.substrings import merged
 
 SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
@@ -186,7 +186,6 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     At most block_words words of items are in an automaton, which is what a task holds; more
     items make more passes over the documents, whose hits are merged by document.
     """
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     context = docs.sparkSession.sparkContext
     passes = []
@@ -195,14 +194,14 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared, block=len(passes)) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared.value, window)
-            for b in batches:
+            for b in sliced(batches):
                 found = [(len(w := words(t)), *automaton.scan(w)) for t in b.column(1).to_pylist()]
                 yield batch(OUT, id=b.column(0), text_hash=b.column(2), block=[block] * b.num_rows, n_words=[n for n, _, _ in found], spans=[[{"start": s, "end": e} for s, e in x] for _, x, _ in found], items=[sorted(x) for _, _, x in found])
 
         passes.append(rows.mapInArrow(run, DDL))
     if not passes:
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in sliced(batches):
                 n = [len(words(t)) for t in b.column(1).to_pylist()]
                 yield batch(OUT, id=b.column(0), text_hash=b.column(2), block=[0] * b.num_rows, n_words=n, spans=[[]] * len(n), items=[[]] * len(n))
 
@@ -247,7 +246,6 @@ def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     """Documents without what is contaminated: hit spans of at least min_span words are cut out of the text, and a
     document of which more than max_coverage of the words are hit goes. All columns of docs stay. One pass where items are
     one block; more blocks are each scanned against the whole text, and their hits are merged before anything is judged or cut."""
-    small_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     at = docs.columns.index(text_col)
     shared = [context.broadcast(block) for block in blocks(items, item_id, item_text, block_words)]
@@ -268,7 +266,7 @@ def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(shared[0].value, window)
-            for b in batches:
+            for b in sliced(batches):
                 yield cleaned(b.columns, b.schema, [automaton.scan(words(t))[0] for t in b.column(at).to_pylist()])
 
         return docs.mapInArrow(run, docs.schema)
@@ -279,7 +277,7 @@ def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     def scans(block) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = Automaton(block.value, window)
-            for b in batches:
+            for b in sliced(batches):
                 found = [automaton.scan(words(t))[0] for t in b.column(1).to_pylist()]
                 spans = pa.array([[{"start": s, "end": e} for s, e in x] for x in found], SPANS)
                 yield pa.RecordBatch.from_arrays([b.column(0), spans], names=["key", "spans"]).filter(pa.array([bool(x) for x in found], pa.bool_()))
@@ -291,7 +289,7 @@ def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
     hits = hits.groupBy("key").agg(F.flatten(F.collect_set("spans")).alias("spans"))
 
     def run_merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [merged([(s["start"], s["end"]) for s in x or ()]) for x in b.column(1).to_pylist()]
             columns = b.column(0).flatten()
             yield cleaned(columns, pa.schema([pa.field(f.name, f.type, f.nullable) for f in b.column(0).type]), found)

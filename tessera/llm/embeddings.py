@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Union, batch, groups, small_batches, written
+from tessera.llm.common import Union, batch, groups, sliced, written
 from tessera.llm.components import components
 
 FOUND = pa.schema([("class", pa.int64()), ("rep", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
@@ -43,7 +43,6 @@ def matrix(column: pa.Array) -> np.ndarray:
 def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", threshold: float = 0.98, tables: int = 32, bits: int = 16, block: int = 2048, seed: int = 7) -> DataFrame:
     """One row per vector: id, n_links (vectors linked directly), component_id, kept."""
     spark = rows.sparkSession
-    small_batches(spark, 4096)
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     valid = F.coalesce(F.col("label").isNotNull() & F.col("id").isNotNull() & F.forall("v", finite) & F.exists("v", lambda x: x != 0), F.lit(False))
@@ -53,7 +52,7 @@ def near_duplicates(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     classes = written(classes.withColumn("class", F.xxhash64("label", "v")), "classes")
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 4096):
             lengths = b.column(4).value_lengths().to_numpy()
             for dim in np.unique(lengths):
                 some = b.filter(pa.array(lengths == dim))

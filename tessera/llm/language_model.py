@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, delete_dir, encoded, fresh_dir, groups, small_batches, write_to, written
+from tessera.llm.common import batch, delete_dir, encoded, fresh_dir, groups, sliced, write_to, written
 from tessera.llm.quality import held_out
 from tessera.llm.succinct import access, elias_fano, load, save
 
@@ -41,9 +41,6 @@ END, START = xxhash.xxh3_64_intdigest(b"\n"), xxhash.xxh3_64_intdigest(b"\r")  #
 STEP = 1 / 4096
 SEGMENT, FLUSH = 200_000, 1_500_000
 
-#: Rows in an Arrow batch where rows are numbers, and where a row holds the numbers of many texts.
-SMALL, LARGE = 10_000, 1
-
 COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.binary())])
 NUMBERS = pa.schema([("numbers", pa.binary()), ("lengths", pa.binary()), ("docs", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("pairs", pa.binary())])
@@ -363,7 +360,7 @@ def level(keys: np.ndarray, size: int, **more: np.ndarray) -> dict[str, np.ndarr
 
 def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
     """Words of training texts: (id, text, held_out) rows."""
-    for b in batches:
+    for b in sliced(batches):
         for text, out in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
             if not out:
                 yield hashes(text)[1:]
@@ -379,7 +376,7 @@ def numbers_table(texts: DataFrame, model: Model) -> str:
             found = np.concatenate([model.numbers(flat[a : a + SEGMENT]) for a in range(0, len(flat), SEGMENT)])
             return batch(NUMBERS, numbers=[found.astype("<i4").tobytes()], lengths=[np.array([len(x) for x in h], "<i8").tobytes()], docs=[docs], held_out=[out], pairs=[None])
 
-        for b in batches:
+        for b in sliced(batches):
             for number, text, held in zip(*(c.to_pylist() for c in b.columns)):
                 h.append(hashes(text))
                 docs.append(number)
@@ -419,14 +416,11 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Mod
     if not found[0]:
         return model, pairs_table(numbers_table(texts, model), spark, model)
     model.total, model.texts = int(found[0]), int(found[1])
-    small_batches(spark, SMALL)
     model.words = sharded(words, "level1", lambda key, n: {"key": key, "count": n})
     size = model.size
     if size >= 1 << 31:
         raise ValueError("more than 2**31 distinct words")
-    small_batches(spark)
     path = numbers_table(texts, model)
-    small_batches(spark, LARGE)
     first = spark.read.schema(NUMBERS_DDL).parquet(path)
 
     def pair_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -437,7 +431,6 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Mod
                 yield numbers[at - 1] * size + numbers[at]
 
     pairs = written(counted(first, pair_keys, parts, least), "pairs")
-    small_batches(spark, SMALL)
     masses = pairs.groupBy((F.expr(f"key div {size}")).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
 
     def rest1(key, n, kinds):
@@ -451,7 +444,6 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Mod
         return level(key, size, log=quantised(np.log10(p)), count=n)
 
     model.pairs = sharded(pairs, "level2", level2)
-    small_batches(spark, LARGE)
     table = pairs_table(path, spark, model)
 
     def triple_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -463,7 +455,6 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Mod
                 yield pair[at - 1] * size + numbers[at]
 
     triples = written(counted(table, triple_keys, parts, least), "triples")
-    small_batches(spark, SMALL)
     masses = triples.groupBy((F.expr(f"key div {size}")).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
 
     def rest2(key, n, kinds):
@@ -478,7 +469,6 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Mod
         return level(key, size, log=quantised(np.log10(p)))
 
     model.triples = sharded(triples, "level3", level3)
-    small_batches(spark, LARGE)
     return model, table
 
 
@@ -486,7 +476,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text).
     Documents whose id's crc32 is divisible by folds are held out of training."""
     spark = docs.sparkSession
-    small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col, folds).alias("held_out"))
     model, table = train(rows, least, discount)
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Union, batch, groups, small_batches, words, written
+from tessera.llm.common import Union, batch, groups, sliced, words, written
 from tessera.llm.components import components
 
 U = np.uint64
@@ -114,7 +114,7 @@ def signatures(bags: list[tuple[np.ndarray, np.ndarray]], m: int) -> np.ndarray:
 def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     """For each document with words: its bag's digest and size, and a 64-bit key of each band."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             found = [(number, x) for number, text in zip(*(c.to_pylist() for c in b.columns)) if number is not None and len((x := bag(text, shingle))[0])]
             if not found:
                 continue
@@ -174,8 +174,6 @@ def verify(bags: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray | None, t
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block_words: int = 1_000_000) -> DataFrame:
     """One row per distinct id: id, class_id (smallest id that links reach, itself included)."""
-    spark = docs.sparkSession
-    small_batches(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = written(signed(texts, shingle, bands, rows), "signatures")
     bags = written(marks.groupBy("bag").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")), "bags")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import batch, encoded, small_batches
+from tessera.llm.common import batch, encoded, sliced
 
 TOKEN = regex.compile(rb"[0-9A-Za-z\x80-\xff]+|[^0-9A-Za-z\x80-\xff\s]+")
 MODEL = pa.schema([("feature", pa.list_(pa.int32())), ("weight", pa.list_(pa.float64())), ("bias", pa.float64())])
@@ -95,7 +95,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = []
-        for b in batches:
+        for b in sliced(batches):
             for number, text, label in zip(*(c.to_pylist() for c in b.columns)):
                 at, count = np.unique(features(text, bits), return_counts=True)
                 x = count / np.sqrt(max(1, count.sum()))
@@ -116,7 +116,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, bits: int = 20, max_rows: int = 12_000, passes: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 1.0) -> DataFrame:
     """All columns of docs that do not clash, and held_out, score (that label 1 holds) and predicted (1 if score >= threshold)."""
     spark = docs.sparkSession
-    small_batches(spark)
     model = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, folds, bits, max_rows, passes, alpha, beta, l1, l2))
     docs = docs.select(*(c for c in docs.columns if c not in ("held_out", "score", "predicted")))
     at = docs.columns.index(text_col)
@@ -124,7 +123,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(1 << bits)
         w[model.value["feature"]] = model.value["weight"]
-        for b in batches:
+        for b in sliced(batches):
             sums = []
             for t in b.column(at).to_pylist():
                 f = features(t, bits)

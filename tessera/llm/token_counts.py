@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, encoded, small_batches
+from tessera.llm.common import batch, encoded, sliced
 
 #: The Unicode White_Space characters, and separators that str.split takes besides them.
 WHITE = regex.compile(r"[\t-\r \x85\xa0  -     　]+")
@@ -147,7 +147,6 @@ def counter(path: str) -> Counter:
 
 def count_tokens(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:
     """One row per document: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary).count

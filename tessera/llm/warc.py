@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, fresh_dir, small_batches, written
+from tessera.llm.common import batch, fresh_dir, sliced, written
 
 #: Fixed values of the seekable format.
 SKIPPABLE_INDEX, SKIPPABLE_TABLE, SEEKABLE = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1
@@ -148,7 +148,6 @@ def opened(path: str):
 def write(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", revisit_bytes: int = 1000, bundle_bytes: int = 256 << 20, frame_bytes: int = 1 << 18, date: str = "1970-01-01T00:00:00Z") -> DataFrame:
     """Archives every row; gives the manifest: path, records, frames, bytes of each bundle."""
     spark = pages.sparkSession
-    small_batches(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string"), F.lit("")).alias("payload"))
     rows = rows.select("id", "url", "payload", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
     # payloads that several rows share, by digest: counted before anything meets
