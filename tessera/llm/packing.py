@@ -16,34 +16,39 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, small_batches, written
+from tessera.llm.common import batch, sliced, written
 
 PIECES = pa.schema([("id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("part", pa.int32()), ("nth", pa.int64())])
 PIECES_DDL = "id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
 PLACED_DDL = "id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-CACHE_ENTRIES, CACHE_CHARS = 200_000, 48
-
-#: Single spaces between other characters: the pre-tokeniser never joins what they part.
-SPLIT = regex.compile(r"(?<=\S) (?=\S)")
 #: The byte-level pre-tokeniser's pattern, a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ADJACENT = regex.compile(r"\s\s|^\s|\s$")
+#: The same where no two white spaces are adjacent; without the look-ahead it is searched faster.
+SINGLE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"
+ADJACENT = re.compile(r"\s\s")
+#: Characters beyond these two planes go to the library untested.
+PLANES = 0x20000
 
 
 class Encoder:
-    """Token ids of whole texts as little-endian 32-bit bytes, by the tokenizers library, with chunks cached."""
+    """Token ids of whole texts as little-endian 32-bit bytes, as the tokenizers library gives them.
+
+    Where the vocabulary allows it, texts are encoded by the same vocabulary as ranks, several times faster. Both engines
+    split by letters, numbers and white space; when the encoder is built, the characters on whose class they do not agree
+    are found by asking both about every character of two planes. Texts with such a character, with a later one or with
+    a special token go to the library itself, and the encoder refuses ranks that do not give the library's ids on a probe."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,81 +57,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-        self.twin, self.newline = self.ranked(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        #: what a chunk must not hold to be encoded as a line
-        self.hard = regex.compile("|".join([r"\s|^$", *map(regex.escape, special)]))
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks = self.ranks(path)
+        self.twin = self.any = None
+        if ranks:
+            self.twin, self.any = (tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens={}) for name, pattern in (("single", SINGLE), ("any", PATTERN)))
+            odd = "".join(f"\\U{c:08x}" for c in disputed())
+            self.hard = re.compile(f"[{odd}\U00020000-\U0010ffff\ud800-\udfff]")
+            if any(self.raw([x])[0] != self.ids(x) for x in PROBES):
+                self.twin = self.any = None
 
     @staticmethod
-    def ranked(path: str):
-        """The same vocabulary as ranks, where ids are merge ranks and nothing is normalised: it encodes new chunks
-        several times faster. None where the file is of another kind."""
+    def ranks(path: str) -> dict[bytes, int] | None:
+        """The vocabulary as ranks, where ids are merge ranks and nothing is normalised; None where the file is of another kind."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, before = spec["model"], spec["pre_tokenizer"] or {}
         if model["type"] != "BPE" or spec["normalizer"] or before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space") or model.get("end_of_word_suffix") or model.get("continuing_subword_prefix"):
-            return None, -1
+            return None
         own = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in own]
         byte = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
         special = {t["content"] for t in spec["added_tokens"]}
         ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
         merged = [ranks[bytes(byte[c] for c in "".join(m if isinstance(m, list) else m.split(" ")))] for m in model["merges"]]
-        if merged != sorted(merged) or b"\n" not in ranks:
-            return None, -1
-        return tiktoken.Encoding("ranked", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), ranks[b"\n"]
-
-    def plain(self, chunks: list[str]) -> list[bytes]:
-        """Ids of chunks without white space, each after a space: encoded as lines of one text. A line break stands
-        between a chunk and a space, so it is a token by itself."""
-        ids = np.array(self.twin.encode_ordinary("".join([f" {c}\n" for c in chunks])), "<u4")
-        ends = np.flatnonzero(ids == self.newline) * 4
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip([0, *(ends[:-1] + 4).tolist()], ends.tolist())]
+        return ranks if merged == sorted(merged) else None
 
     def raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, chunks: set[str]) -> None:
-        """Puts chunks that stand after a space into the cache."""
-        missing = []
-        for c in chunks:
-            if (ids := self.old.get(c)) is not None:
-                self.young[c] = ids
-            else:
-                missing.append(c)
-        if self.twin:
-            easy = [c for c in missing if len(c) <= CACHE_CHARS and not self.hard.search(c)]
-            if easy:
-                self.young.update(zip(easy, self.plain(easy)))
-                missing = [c for c in missing if c not in self.young]
-        if missing:
-            self.young.update(zip(missing, self.raw([" " + c for c in missing])))
+    def ids(self, text: str) -> bytes:
+        """Ids of a text that holds nothing hard."""
+        return np.array((self.any if ADJACENT.search(text) else self.twin).encode_ordinary(text), "<u4").tobytes()
 
     def texts(self, texts: list[str | None]) -> Iterator[bytes]:
-        """For each text its ids; the chunks that a few texts need are encoded together."""
-        for k in range(0, len(texts), 64):
-            some = []
-            for t in texts[k : k + 64]:
-                some.append([] if not t else t.split(" ") if not ADJACENT.search(t) else SPLIT.split(t))
-            if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
-            get, new, rows = self.young.get, set(), []
-            for chunks in some:
-                ids = list(map(get, chunks[1:]))
-                if None in ids:
-                    new.update(c for c, x in zip(chunks[1:], ids) if x is None)
-                rows.append(ids)
-            self.learn(new)
-            heads = self.raw([c[0] for c in some if c])[::-1]
-            for chunks, ids in zip(some, rows):
-                if None in ids:
-                    ids = [self.young[c] if x is None else x for c, x in zip(chunks[1:], ids)]
-                yield b"".join([heads.pop(), *ids]) if chunks else b""
-            for c in [c for c in new if len(c) > CACHE_CHARS]:
-                del self.young[c]
+        """For each text its ids; null is empty."""
+        for t in texts:
+            if not t:
+                yield b""
+            elif self.twin is None or any(x in t for x in self.special) or not t.isascii() and self.hard.search(t):
+                yield self.raw([t])[0]
+            else:
+                yield self.ids(t)
+
+
+#: Texts on which ranks and library must agree before ranks are used.
+PROBES = ("It's 12:30, don't  wait!\n\n\tWe'll   \r\n go", " lead and trail ", "naïve Ünïcode ½ ٣ 日本語 \u00a0\u3000x\u2028y", "a1b2 c--d ...'re 'S 's", "\x00\x1c\x85 \u200b\ufeffz", "aaaa" * 60)
+
+
+def disputed() -> list[int]:
+    """Code points of two planes that the two engines do not class alike as letter, number or white space."""
+    from tokenizers import Regex, pre_tokenizers
+
+    every = "".join(chr(c) for c in range(PLANES) if not 0xD800 <= c < 0xE000)
+    bytes_only = {bytes([b]): b for b in range(256)}
+    odd: set[str] = set()
+    for kind, other in ((r"\p{L}", r"\P{L}"), (r"\p{N}", r"\P{N}"), (r"\s", r"\S")):
+        mine = bytes(tiktoken.Encoding("kind", pat_str=f"{kind}+", mergeable_ranks=bytes_only, special_tokens={}).encode_ordinary(every)).decode()
+        theirs = pre_tokenizers.Split(Regex(f"{other}+"), "removed").pre_tokenize_str(every)
+        odd |= set(mine) ^ set("".join(x for x, _ in theirs))
+    return sorted(map(ord, odd))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -141,13 +131,12 @@ def encoder(path: str) -> Encoder:
 def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, id_col: str, text_col: str) -> DataFrame:
     """Pieces of at most capacity tokens. Only longer documents are cut, and only their first piece may be shorter.
     part and nth: the task that made the piece, and its number among the task's pieces of its length."""
-    small_batches(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = encoder(vocabulary), TaskContext.get().partitionId()
         seen = [0] * (capacity + 1)
-        for b in batches:
+        for b in sliced(batches):
             out: list[list] = [[] for _ in PIECES]
             for doc, ids in zip(b.column(0).to_pylist(), encode.texts(b.column(1).to_pylist())):
                 ids += end

@@ -1,4 +1,6 @@
 import collections
+import random
+import re
 import zlib
 
 import numpy as np
@@ -56,5 +58,17 @@ def test_new_chunks_encode_as_the_library_does():
     assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_odd_texts_encode_as_the_library_does():
+    """Ids of invented texts of awkward characters, and of the test table's own, equal the library's."""
+    tokenizer, encoder = Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    rng = random.Random(4)
+    pool = ["a", "é", " ", "\n", "  ", "'s", "'", "1", "½", "日", "\x85", "\x1c", "\u180e", "\u2028", "<|endoftext|>", "<|end", "!", "..", "Z", "\U0001f600", "\U00020001", "\U0001e030", "ß", "\u0378", "\t", "\r\n", "'LL", "\u0301"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(4000)]
+    texts += ["".join(chr(rng.choice([rng.randrange(0x20, 0x250), rng.randrange(0x250, 0xD7FF), rng.randrange(0xE000, 0x1FFFF)])) for _ in range(20)) for _ in range(1000)]
+    assert list(encoder.texts(texts)) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    encoder.hard = re.compile(".")  # as if no character's class were agreed on
+    assert list(encoder.texts(texts[:500])) == encoder.raw(texts[:500])
+
+
 def test_nothing(nothing):
     assert packing.pack(nothing, PATH).count() == 0
