@@ -64,13 +64,6 @@ def write_to(df: DataFrame, name: str) -> str:
     return path
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Arrow batches of few rows, so that a batch of very long texts fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) != rows:
-        spark.conf.set(key, str(rows))
-
-
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, for what is made of each row is larger than the row. Spark bounds the batches
     themselves in bytes (spark.sql.execution.arrow.maxBytesPerBatch), so very long texts come few at a time."""

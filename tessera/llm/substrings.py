@@ -6,16 +6,19 @@ is owned by the smallest quarter-length gram's hash inside its string (winnowing
 by equal anchors at equal distance, and one anchor owns up to three quarters of that many neighbouring starts, its slice:
 
 1. anchors are counted by gram; a gram that occurs once owns no repeated string, and ends here;
-2. slices that occur twice as a whole are repeated throughout, by their count alone;
+2. slices that occur twice as a whole are repeated throughout, by the count of a 128-bit digest of their bytes, whose seed
+   each run draws anew. Equal slices that follow one another in a text (runs of one character, tables) are one row;
 3. the other slices of repeated grams are range-partitioned by their anchor suffix's leading bytes,
    with Spark's sampled splitters; buckets sort the suffixes by multikey quicksort over 8-byte words,
-   neighbours' common prefixes bound the starts that can be repeated at all, and those are compared
-   by their whole strings. As a slice owns fewer starts than a string is long, what its repeated
-   starts cover is one run, from the first to the last of them;
+   neighbours' common prefixes bound the starts that can be repeated at all, fingerprints of their whole strings
+   propose equals, and their bytes are compared before any start counts as repeated. As a slice owns fewer starts than a
+   string is long, what its repeated starts cover is one run, from the first to the last of them;
 4. suffixes of grams with more than ``hot_group`` slices are never gathered in one bucket: their
-   starts are compared across buckets, counted by fingerprint with map-side combine.
+   starts are compared across buckets, counted by fingerprint with map-side combine. Fingerprints are polynomials modulo
+   2**31-1 at two bases drawn anew by each run, beside the gram's hash and the anchor's distance: two different strings
+   of n bytes agree with probability (n / 2**31)**2 at most, whatever the texts are.
 
-Texts are shuffled once, by document. Fingerprints are 64-bit polynomial hashes beside the gram's.
+Texts are shuffled once, by document.
 
 Defined results: null and empty texts have no bytes and lose none; texts shorter than ``length``
 lose none; repeated rows are each other's copies, so long ones lose everything; a null id is kept;
@@ -26,29 +29,34 @@ rest of a character that straddles a cut is left out of the text.
 from __future__ import annotations
 
 import hashlib
+import secrets
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import batch, encoded, small_batches, written
+from tessera.llm.common import WORD_TABLE, batch, encoded, sliced, written
 
 BLOCK, PLACES = 1 << 17, 1 << 18
 U = np.uint64
 BASE, MIX, SALT = 0x9E3779B97F4A7C15, U(0xD6E8FEB86659FD93), U(0xBF58476D1CE4E5B9)
+PRIME = U((1 << 31) - 1)
 NO_ID = -(2**63)
 
-ANCHORS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int32()), ("gram", pa.int64()), ("slice", pa.int64())])
-ANCHORS_DDL = "id long, text_hash long, start long, n int, anchor int, gram long, slice long"
+ANCHORS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("anchor", pa.int32()), ("gram", pa.int64()), ("slice", pa.binary()), ("times", pa.int64())])
+ANCHORS_DDL = "id long, text_hash long, start long, n int, anchor int, gram long, slice binary, times long"
 RUNS = pa.schema([("id", pa.int64()), ("text_hash", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
 RUNS_DDL = "id long, text_hash long, first long, last long"
 
 
-@lru_cache(maxsize=3)
+@lru_cache(maxsize=2)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64."""
     up, down = np.full(n + 1, BASE, U), np.full(n + 1, pow(BASE, -1, 1 << 64), U)
@@ -70,8 +78,54 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(29))
 
 
-def anchors(data: bytes, length: int, gram: int) -> list[tuple[np.ndarray, ...]]:
-    """For blocks of starts: start of each slice, starts in it, offset of its anchor, gram hash, slice hash."""
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31-1, for x below 2**62."""
+    x = (x & PRIME) + (x >> U(31))
+    x = (x & PRIME) + (x >> U(31))
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+@dataclass
+class Secret:
+    """What a run draws anew, so that no text can be made to collide: the seed of digests, and two bases and byte values of fingerprints."""
+
+    seed: int
+    bases: tuple[int, int]
+    values: int
+
+    @classmethod
+    def drawn(cls) -> Secret:
+        return cls(secrets.randbits(64), (secrets.randbelow(1 << 30) + (1 << 29), secrets.randbelow(1 << 30) + (1 << 29)), secrets.randbits(64))
+
+    def tables(self, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each base the byte values, its powers and those of its inverse modulo 2**31-1."""
+        return _tables(self.bases, self.values, n)
+
+    def fingerprints(self, data: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+        """62-bit fingerprints of the strings of this length that start at these places of the data, which has at most 2 * BLOCK bytes."""
+        out = np.zeros(len(at), U)
+        for values, up, down in self.tables(2 * BLOCK):
+            h = np.zeros(len(data) + 1, U)
+            np.cumsum(reduced(values[data] * up[: len(data)]), out=h[1:])
+            out = out << U(31) | reduced(reduced(h[at + length] - h[at]) * down[at])
+        return out
+
+
+@lru_cache(maxsize=1)
+def _tables(bases: tuple[int, int], values: int, n: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def grown(base: int) -> np.ndarray:
+        out = np.ones(1, U)
+        while len(out) < n:
+            out = np.concatenate((out, reduced(out * U(pow(base, len(out), int(PRIME))))))
+        return out[:n]
+
+    rng = np.random.default_rng(values)
+    return [(rng.integers(1, int(PRIME), 256).astype(U), grown(b), grown(pow(b, -1, int(PRIME)))) for b in bases]
+
+
+def anchors(data: bytes, length: int, gram: int, seed: int = 0) -> list[tuple]:
+    """For blocks of starts: start of each slice, starts in it, offset of its anchor, gram hash, digest of the slice's bytes, how many
+    equal slices follow one another from there."""
     up, down = powers(BLOCK + 2 * length)
     out = []
     for at in range(0, len(data) - length + 1, BLOCK):
@@ -90,25 +144,27 @@ def anchors(data: bytes, length: int, gram: int) -> list[tuple[np.ndarray, ...]]
         first = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         n = np.diff(np.append(first, starts))
         where = (least[first] & U(PLACES - 1)).astype(np.int64)
-        end = first + n - 1 + length
-        whole = mixed((h[end] - h[first]) * down[first]) + n.astype(U) * SALT + (where - first).astype(U) * MIX
-        out.append((first + at, n, where - first, grams[where], whole))
+        begin = (first + at).tolist()
+        digests = np.array([xxhash.xxh3_128_digest(data[s:e], seed) for s, e in zip(begin, (first + at + n + length - 1).tolist())], "V16")
+        same = (digests[1:] == digests[:-1]) & (n[1:] == n[:-1])
+        head = np.flatnonzero(np.concatenate(([True], ~same)))
+        out.append((first[head] + at, n[head], (where - first)[head], grams[where[head]], digests[head], np.diff(np.append(head, len(first)))))
     return out
 
 
-def find_anchors(docs: DataFrame, length: int, gram: int) -> DataFrame:
+def find_anchors(docs: DataFrame, length: int, gram: int, secret: Secret) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             columns: list[list] = [[] for _ in ANCHORS]
             for number, text_hash, text in zip(*(c.to_pylist() for c in b.columns)):
                 if text and len(data := encoded(text)) >= length:
-                    for found in anchors(data, length, gram):
+                    for found in anchors(data, length, gram, secret.seed):
                         k = len(found[0])
                         for column, x in zip(columns, (np.full(k, number), np.full(k, text_hash), *found)):
                             column.append(x)
             if columns[0]:
                 parts = [np.concatenate(c) for c in columns]
-                yield batch(ANCHORS, **{f.name: x.view(np.int64) if x.dtype == U else x for f, x in zip(ANCHORS, parts)})
+                yield batch(ANCHORS, **{f.name: x.view(np.int64) if x.dtype == U else x.tolist() if x.dtype.kind == "V" else x for f, x in zip(ANCHORS, parts)})
 
     return docs.mapInArrow(run, ANCHORS_DDL)
 
@@ -149,30 +205,59 @@ def suffix_sort(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[n
     return order, common
 
 
-def window_keys(data: np.ndarray, place: np.ndarray, n: np.ndarray, anchor: np.ndarray, gram: np.ndarray, length: int, from_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(slice, start in it, key) of each start from from_ on in every slice: the key is of the gram, the anchor's offset and the whole string."""
-    up, down = powers(1 << max(20, int(len(data)).bit_length()))
-    h = prefix_hashes(data, up)
-    count = np.maximum(n - from_, 0)
-    which = np.repeat(np.arange(len(n)), count)
-    within = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + from_[which]
+def window_keys(data: np.ndarray, place: np.ndarray, n: np.ndarray, length: int, secret: Secret) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slice, start in it, fingerprint of the string there) of the first n starts of every slice; slices lie one after another in the data."""
+    which = np.repeat(np.arange(len(n)), n)
+    within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     at = place[which] + within
-    key = mixed((h[at + length] - h[at]) * down[at])
-    return which, within, mixed(key + gram[which].view(U) * SALT + (anchor[which] - within).astype(U) * MIX)
-
-
-def repeated(data: np.ndarray, place: np.ndarray, n: np.ndarray, anchor: np.ndarray, gram: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    out = np.zeros(len(which), U)
+    k = 0
+    while k < len(n):
+        # slices that fit a block; one has fewer than 2 * length bytes
+        end = max(k + 1, int(np.searchsorted(place, place[k] + BLOCK, "right")) - 1) if place[-1] > place[k] + BLOCK else len(n)
+        lo, hi = np.searchsorted(which, [k, end])
+        base = int(place[k])
+        part = data[base : int(place[end]) if end < len(n) else len(data)]
+        out[lo:hi] = secret.fingerprints(part, at[lo:hi] - base, length)
+        k = end
+    return which, within, out
+
+
+def equals(data: np.ndarray, at: np.ndarray, key: np.ndarray, length: int) -> np.ndarray:
+    """Whether the string at each place stands at another place with its key too: keys propose, bytes decide."""
+    dup = np.zeros(len(key), bool)
+    if not len(key):
+        return dup
+    by = np.argsort(key, kind="stable")
+    new = np.concatenate(([True], key[by][1:] != key[by][:-1]))
+    head = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]  # the first place of each key
+    member, of = by[~new], head[~new]
+    order = np.argsort(at[member], kind="stable")
+    member, of = member[order], of[order]
+    p, q = at[member], at[of]
+    # neighbours whose firsts are neighbours too are compared at once
+    edge = np.flatnonzero(np.concatenate((np.ones(min(1, len(p)), bool), (p[1:] != p[:-1] + 1) | (q[1:] != q[:-1] + 1))))
+    size = np.diff(np.append(edge, len(p)))
+    text = data.tobytes()
+    wrong = [k for k, (a, b, m) in enumerate(zip(p[edge].tolist(), q[edge].tolist(), (size + length - 1).tolist())) if text[a : a + m] != text[b : b + m]]
+    dup[member] = dup[of] = True
+    if wrong:  # different strings of one key
+        bad = np.isin(key, np.unique(key[member[np.concatenate([np.arange(edge[k], edge[k] + size[k]) for k in wrong])]]))
+        strings = [(k, text[a : a + length]) for k, a in zip(key[bad].tolist(), at[bad].tolist())]
+        count = Counter(strings)
+        dup[bad] = [count[x] > 1 for x in strings]
+    return dup
+
+
+def repeated(data: np.ndarray, place: np.ndarray, n: np.ndarray, anchor: np.ndarray, gram: np.ndarray, length: int, secret: Secret) -> tuple[np.ndarray, np.ndarray]:
     """First and last repeated start of each slice of whole groups; the first is -1 where there is none."""
     padded = np.concatenate((data, np.zeros(16, np.uint8)))
     _, common = suffix_sort(padded, place + anchor, place + n + length - 1)
     # a repeated string that starts s bytes into the slice reaches length - (anchor - s) bytes beyond the anchor
-    most = np.minimum(n, np.where(np.isinf(common), n, common - length + anchor + 1)).astype(np.int64)
-    which, within, key = window_keys(data, place, np.maximum(most, 0), anchor, gram, length, np.zeros(len(n), np.int64))
-    by = np.argsort(key, kind="stable")
-    same = key[by][1:] == key[by][:-1]
-    dup = np.zeros(len(key), bool)
-    dup[by[1:][same]] = True
-    dup[by[:-1][same]] = True
+    most = np.maximum(np.minimum(n, np.where(np.isinf(common), n, common - length + anchor + 1)), 0).astype(np.int64)
+    which, within, print_ = window_keys(data, place, most, length, secret)
+    key = mixed(print_ + gram[which].view(U) * SALT + (anchor[which] - within).astype(U) * MIX)
+    dup = equals(data, place[which] + within, key, length)
     first, last = np.full(len(n), -1), np.full(len(n), -1)
     at, s = which[dup], within[dup]
     last[at] = s  # ascending, so the last one stays
@@ -180,27 +265,26 @@ def repeated(data: np.ndarray, place: np.ndarray, n: np.ndarray, anchor: np.ndar
     return first, last
 
 
-def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot_group: int = 10_000, carry: tuple[str, ...] = ()) -> DataFrame:
+def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot_group: int = 2_000, min_words: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null where nothing is removed and
     nothing is carried), text (kept without the rests of cut characters), spans,
-    and as struct ``rest.row`` the columns to carry along."""
-    if not 32 <= length < BLOCK:
-        raise ValueError("length must be from 32 to 131071 bytes")
+    and as struct ``rest.row`` the columns to carry along. Runs that hold fewer than min_words whole words stay."""
+    if not 32 <= length < BLOCK // 2:
+        raise ValueError("length must be from 32 to 65535 bytes")
     gram = length // 4
-    spark = docs.sparkSession
-    small_batches(spark)
+    secret = Secret.drawn()
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.col(text_col).isNull().alias("null_text"), (F.struct(*carry) if carry else F.lit(0)).alias("row")).alias("rest"))
     rows = rows.select("id", F.xxhash64("text").alias("text_hash"), "text", "rest")
-    found = written(find_anchors(rows.drop("rest"), length, gram), "anchors")
+    found = written(find_anchors(rows.drop("rest"), length, gram, secret), "anchors")
     # counts are tables of their own: joins then read both sides from exchanges that can be split where a gram is hot
-    grams = written(found.groupBy("gram").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "grams")
+    grams = written(found.groupBy("gram").agg(F.sum("times").alias("all")).where("all > 1").select("gram"), "grams")
     repeats = written(found.join(grams, "gram"), "repeats")
-    slices = written(repeats.groupBy("gram", "slice").agg(F.count(F.lit(1)).alias("whole"), F.min(F.struct("id", "text_hash", "start")).alias("one")), "wholes")
+    slices = written(repeats.groupBy("gram", "slice").agg(F.sum("times").alias("whole"), F.min(F.struct("id", "text_hash", "start")).alias("one")), "wholes")
     hot = written(slices.groupBy("gram").agg(F.count(F.lit(1)).alias("slices")).where(F.col("slices") > hot_group), "hot")
     # a slice that occurs once needs a closer look; of one that occurs more often, one goes along for the others
     looked = repeats.join(slices, ["gram", "slice"]).join(F.broadcast(hot) if hot.count() < 10_000 else hot, "gram", "left")
-    looked = looked.select("id", "text_hash", "start", "n", "anchor", "gram", (F.col("whole") > 1).alias("full"), (F.struct("id", "text_hash", "start") == F.col("one")).alias("one"), F.col("slices").isNotNull().alias("hot"))
-    marks = looked.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "n", "anchor", "gram", "full", "one", "hot")).alias("marks"))
+    looked = looked.select("id", "text_hash", "start", "n", "anchor", "gram", "times", (F.col("whole") > 1).alias("full"), (F.struct("id", "text_hash", "start") == F.col("one")).alias("one"), F.col("slices").isNotNull().alias("hot"))
+    marks = looked.groupBy("id", "text_hash").agg(F.collect_set(F.struct("start", "n", "anchor", "gram", "times", "full", "one", "hot")).alias("marks"))
     # the only shuffle of texts; copies of a row have one row here and are counted
     joined = rows.join(marks, ["id", "text_hash"], "left")
     n_bytes = F.octet_length("text").cast("long")
@@ -209,8 +293,13 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = table.where("marks is not null")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[] for _ in range(8)]
+        out: list[list] = [[] for _ in CUT_NAMES]
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, CUT_TYPES)], names=CUT_NAMES)
+
+        for b in sliced(batches, 64):
             for number, text_hash, text, marks_ in zip(*(c.to_pylist() for c in b.columns)):
                 data = encoded(text)
                 for m in marks_:
@@ -218,7 +307,11 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                         s, e = m["start"], m["start"] + m["n"] + length - 1
                         for column, x in zip(out, (m["gram"], number, text_hash, s, m["n"], m["anchor"], data[s:e], m["hot"])):
                             column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, CUT_TYPES)], names=CUT_NAMES)
+                        size += e - s
+                        if size > 2 << 20:
+                            yield made()
+                            out, size = [[] for _ in CUT_NAMES], 0
+        yield made()
 
     cuts = marked.select("id", "text_hash", "text", "marks").mapInArrow(cut, CUT_DDL)
     cuts = written(cuts, "slices")
@@ -226,36 +319,37 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = cuts.where("not hot").repartitionByRange(lead, F.col("gram")).sortWithinPartitions(lead, F.col("gram"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in chunks(batches, 4 << 20):
+        for t in chunks(batches, 1 << 20):
             gram, number, text_hash, start, n, anchor = (t.column(i).to_numpy() for i in range(6))
             data, place = contents(t.column(6))
-            first, last = repeated(data, place, n, anchor, gram, length)
+            first, last = repeated(data, place, n, anchor, gram, length, secret)
             there = first >= 0
             yield batch(RUNS, id=number[there], text_hash=text_hash[there], first=(start + first)[there], last=(start + last)[there])
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(0, b.num_rows, 1024):
-                part = b.slice(k, 1024)
-                gram, number, text_hash, start, n, anchor = (part.column(i).to_numpy() for i in range(6))
-                data, place = contents(part.column(6))
-                which, within, key = window_keys(data, place, n, anchor, gram, length, np.zeros(len(n), np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), number[which], text_hash[which], start[which], (start[which] + within))], names=["key", "id", "text_hash", "start", "at"])
-
-    full = marked.select("id", "text_hash", F.explode("marks").alias("m")).where("m.full").select("id", "text_hash", F.col("m.start").alias("first"), (F.col("m.start") + F.col("m.n") - 1).alias("last"))
+        for part in sliced(batches, 512):
+            gram, number, text_hash, start, n, anchor = (part.column(i).to_numpy() for i in range(6))
+            data, place = contents(part.column(6))
+            which, within, key = window_keys(data, place, n, length, secret)
+            owner = mixed(gram[which].view(U) * SALT + (anchor[which] - within).astype(U) * MIX)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key.view(np.int64), owner.view(np.int64), number[which], text_hash[which], start[which], (start[which] + within))], names=["key", "owner", "id", "text_hash", "start", "at"])
+
+    full = marked.select("id", "text_hash", F.explode("marks").alias("m")).where("m.full").select("id", "text_hash", F.col("m.start").alias("first"), (F.col("m.start") + F.col("m.n") * F.col("m.times") - 1).alias("last"))
     runs = full.unionByName(buckets.mapInArrow(compare, RUNS_DDL))
     if hot.take(1):
-        prints = written(cuts.where("hot").mapInArrow(fingerprints, "key long, id long, text_hash long, start long, at long"), "fingerprints")
-        twice = prints.groupBy("key").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key")
-        runs = runs.unionByName(prints.join(twice, "key").groupBy("id", "text_hash", "start").agg(F.min("at").alias("first"), F.max("at").alias("last")).drop("start"))
+        prints = written(cuts.where("hot").mapInArrow(fingerprints, "key long, owner long, id long, text_hash long, start long, at long"), "fingerprints")
+        twice = prints.groupBy("key", "owner").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "owner")
+        runs = runs.unionByName(prints.join(twice, ["key", "owner"]).groupBy("id", "text_hash", "start").agg(F.min("at").alias("first"), F.max("at").alias("last")).drop("start"))
     runs = runs.groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 64):
             out: list[list] = [[] for _ in RESULT]
             for number, size, text, found_ in zip(*(c.to_pylist() for c in b.columns[:4])):
                 spans = merged([(r["first"], r["last"] + length) for r in found_ or ()])
                 data = encoded(text)
+                if min_words:
+                    spans = [s for s in spans if whole_words(data, *s) >= min_words]
                 kept = without(data, spans)
                 for column, x in zip(out, (number, size, size - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore"), [{"start": s, "end": e} for s, e in spans])):
                     column.append(x)
@@ -269,10 +363,10 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.withColumn("id", F.when(F.col("id") != NO_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot_group: int = 10_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot_group: int = 2_000, min_words: int = 0) -> DataFrame:
     """All columns of docs, the text without its repeated bytes. Documents of which only white space is left go; null texts stay null."""
     others = [c for c in docs.columns if c != text_col]
-    found = duplicates(docs, id_col, text_col, length, hot_group, tuple(others))
+    found = duplicates(docs, id_col, text_col, length, hot_group, min_words, tuple(others))
     found = found.where((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("text", r"\s+", " ")) != ""))
     text = F.when(~F.col("rest.null_text"), F.col("text"))
     return found.select(*(text.alias(c) if c == text_col else F.col(f"rest.row.`{c}`").alias(c) for c in docs.columns))
@@ -329,6 +423,12 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def whole_words(data: bytes, start: int, end: int) -> int:
+    """Words of the run that do not go on before or after it."""
+    around = data[max(0, start - 1) : end + 1].translate(WORD_TABLE)
+    return max(0, len(around.split()) - (start > 0 and around[0] != 32) - (end < len(data) and around[-1] != 32))
+
+
 def without(data: bytes, spans: list[tuple[int, int]]) -> bytes:
     kept, at = [], 0
     for s, e in spans:

@@ -36,6 +36,38 @@ def test_rows_stay_whole(documents, nothing, messy):
     assert substrings.remove_repeats(nothing, length=60).count() == 0
 
 
+def test_runs_of_few_words_stay(spark):
+    """Only runs of at least min_words whole words are removed; the shorter passage is longer in bytes."""
+    many, few = " ".join(f"w{i}" for i in range(60)), " ".join(f"longerword{i:03d}" for i in range(30))
+    texts = [f"first one {many} then {few} end", f"second {few} and {many} over", "nothing here repeats " * 1]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = {r["doc_id"]: r["text"] for r in substrings.remove_repeats(docs, length=100, min_words=51).collect()}
+    assert left[2] == texts[2]
+    assert all(few in left[i] and many[10:-10] not in left[i] for i in (0, 1))
+
+
+def test_whole_words():
+    data = b"one two three four"
+    assert substrings.whole_words(data, 0, 18) == 4 and substrings.whole_words(data, 1, 18) == 3
+    assert substrings.whole_words(data, 3, 9) == 1 and substrings.whole_words(data, 4, 7) == 1 and substrings.whole_words(data, 5, 6) == 0
+
+
+def test_bytes_decide_where_keys_collide():
+    import numpy as np
+
+    data = np.frombuffer(b"abcdefghabcdxyz!", np.uint8)
+    at = np.array([0, 8, 4, 12])
+    assert substrings.equals(data, at, np.zeros(4, np.uint64), 4).tolist() == [True, True, False, False]
+    assert substrings.equals(data, at, np.array([7, 7, 9, 9], np.uint64), 4).tolist() == [True, True, False, False]
+
+
+def test_runs_of_one_character(spark):
+    """A constant or periodic text is a few rows of anchors, not one for each byte."""
+    found = substrings.anchors(b"a" * 20_000 + b"xyz" * 5_000, 60, 15, 1)
+    assert sum(len(f[0]) for f in found) < 200
+    assert sum(int((f[1] * f[5]).sum()) for f in found) == 35_000 - 59
+
+
 def test_long_texts_are_parted(spark, monkeypatch):
     monkeypatch.setattr(substrings, "BLOCK", 128)
     import random
