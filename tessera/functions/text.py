@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 STOPWORDS = ("và", "là", "của", "cho", "với", "the", "is", "are", "of", "to", "a", "an")
 WORD = r"[\p{L}\p{N}_]+"
 #: Whole numbers of legal documents are one token.
-LEGAL_REF = r"(?i)\d+(?:/\d+)*(?:-[A-Z]+)*/[A-Z0-9À-ỴĂÂĐÊÔƠƯ\-]+"
+LEGAL_REF = r"(?iu)\d+(?:/\d+)*(?:-[A-Z]+)*/[A-Z0-9À-ỴĂÂĐÊÔƠƯ\-]+"
 
 
 @lru_cache
@@ -125,13 +125,15 @@ def int_like(c: Column) -> Column:
 
 
 def stable_id(c: Column) -> Column:
-    """A non-negative 63-bit number from the first 15 hex digits of the text's SHA-256."""
-    return F.conv(F.substring(F.sha2(c, 256), 1, 15), 16, 10).cast("long")
+    """A non-negative number of 63 bits: the first 8 bytes of the text's SHA-256 without their highest bit."""
+    digest = F.sha2(c, 256)
+    first = F.conv(F.substring(digest, 1, 1), 16, 10).cast("int") % 8
+    return F.conv(F.concat(first.cast("string"), F.substring(digest, 2, 15)), 16, 10).cast("long")
 
 
 def article_number(c: Column) -> Column:
     """The number of an article heading, without its word."""
-    return F.nullif(F.regexp_extract(c, r"(?i)(?:điều\s+)?(\d+[a-zđ]?)", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(c, r"(?iu)(?:điều\s+)?(\d+[a-zđ]?)", 1), F.lit(""))
 
 
 def legal_code(*columns: Column) -> Column:

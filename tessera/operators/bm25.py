@@ -81,11 +81,19 @@ def token_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return l.join(r, "token").groupBy("left_id", "right_id").agg(F.count(F.lit(1)).alias("shared"), F.max("n_left").alias("n_left"), F.max("n_right").alias("n_right"))
 
 
-def field_score(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, title: Column, body: Column, query: Column) -> DataFrame:
-    """(query_id, doc_id, score): 2.5 for the share of query tokens in the title, 0.75 for those in the body, per pair that shares any."""
+def field_score(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, title: Column, body: Column, query: Column, title_text: Column | None = None, query_text: Column | None = None, numbered: Column | None = None) -> DataFrame:
+    """(query_id, doc_id, score): 2.5 for the share of query tokens in the title, 0.75 for those in the body, per pair that shares any;
+    2 more where the query's text holds the title's, 0.5 more for documents whose article number stands in their text (numbered)."""
     pair = lambda c: token_pairs(queries, docs, query_id, doc_id, query, c).select(F.col("left_id").alias("query_id"), F.col("right_id").alias("doc_id"), (F.col("shared") / F.col("n_left")).alias("share"))
     both = pair(title).withColumnRenamed("share", "in_title").join(pair(body).withColumnRenamed("share", "in_body"), ["query_id", "doc_id"], "full_outer")
-    return both.select("query_id", "doc_id", F.round(2.5 * F.coalesce("in_title", F.lit(0.0)) + 0.75 * F.coalesce("in_body", F.lit(0.0)), 6).alias("score"))
+    value = 2.5 * F.coalesce("in_title", F.lit(0.0)) + 0.75 * F.coalesce("in_body", F.lit(0.0))
+    if title_text is not None and query_text is not None:
+        both = both.join(docs.select(F.col(doc_id).alias("doc_id"), F.lower(title_text).alias("_t")), "doc_id").join(queries.select(F.col(query_id).alias("query_id"), F.lower(query_text).alias("_q")), "query_id")
+        value = value + F.when((F.coalesce("_t", F.lit("")) != "") & F.contains("_q", F.col("_t")), 2.0).otherwise(0.0)
+    if numbered is not None:
+        both = both.join(docs.select(F.col(doc_id).alias("doc_id"), numbered.alias("_n")), "doc_id")
+        value = value + F.when(F.col("_n"), 0.5).otherwise(0.0)
+    return both.select("query_id", "doc_id", F.round(value, 6).alias("score"))
 
 
 def exact_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, number: str, article: str, title: str, query_text: str) -> DataFrame:

@@ -96,13 +96,24 @@ def template_answer(df: DataFrame, query: str, title: str, text: str, rank: str,
     return df.where(F.col(rank) <= most).groupBy(query).agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("answer"))
 
 
-def adaptive_contexts(df: DataFrame, model: str, cost: str, alpha: float = 0.15, least: float = 0.55, share: float = 0.8, budget: int = 1200, at_least: int = 1) -> DataFrame:
-    """Best row of each document by a blend of retrieval and model scores; at or above the least score and a share of the best one (but
-    at_least rows), while the running cost stays within the budget."""
+def adaptive_contexts(df: DataFrame, model: str, cost: str, alpha: float = 0.15, least: float = 0.55, share: float = 0.8, budget: int = 1200, at_least: int = 1, most: int = 8) -> DataFrame:
+    """Best row of each document by a blend of retrieval and model scores; of those at or above the query's threshold and a share of its best
+    one, in order, every row that still fits the budget (one that does not is skipped), most rows at most; where fewer than at_least are
+    taken, the first at_least instead. used: what is spent up to and including a row."""
     w = Window.partitionBy("query_id")
     blend = alpha * F.col("score") + (1 - alpha) * minmax(F.col(model), ["query_id"], 0.5)
     b = df.withColumn("blend", F.round(blend, 6)).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("blend")))).where("_r = 1").drop("_r")
     b = b.withColumn("rank", F.row_number().over(w.orderBy(F.desc("blend"), "doc_id"))).withColumn("_top", F.max("blend").over(w))
-    kept = b.where(((F.col("blend") >= least) & (F.col("blend") >= share * F.col("_top"))) | (F.col("rank") <= at_least))
-    run = F.sum(cost).over(w.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return kept.withColumn("used", run).where((F.col("used") <= budget) | (F.col("rank") <= at_least)).drop("_top")
+    mean, sd = F.avg("blend").over(w), F.stddev_pop("blend").over(w)
+    limit = F.when(F.col("_top") >= 0.9, F.greatest(F.lit(0.75), F.col("_top") - 0.5 * sd)).when(F.col("_top") >= 0.8, F.greatest(F.lit(0.65), mean + 0.3 * sd)).otherwise(F.greatest(F.lit(least), mean))
+    b = b.withColumn("_ok", (F.col("blend") >= F.round(limit, 6)) & (F.col("blend") >= share * F.col("_top"))).where(F.col("_ok") | (F.col("rank") <= at_least))
+    row = F.struct("rank", F.col("doc_id").cast("long").alias("doc_id"), "blend", F.col(cost).cast("long").alias("cost"), F.col("_ok").alias("ok"), F.lit(0).cast("long").alias("used"))
+    lists = b.groupBy("query_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    # what is taken depends on what was taken before: a fold within the row, over one query's short list
+    spent = lambda s: F.coalesce(F.get(s, F.size(s) - 1)["used"], F.lit(0).cast("long"))
+    put = lambda s, r: F.concat(s, F.array(F.struct(r["rank"].alias("rank"), r["doc_id"].alias("doc_id"), r["blend"].alias("blend"), r["cost"].alias("cost"), r["ok"].alias("ok"), (spent(s) + r["cost"]).alias("used"))))
+    fits = lambda s, r: r["ok"] & (spent(s) + r["cost"] <= budget) & (F.size(s) < most)
+    none = F.expr("cast(array() as array<struct<rank: int, doc_id: bigint, blend: double, cost: bigint, ok: boolean, used: bigint>>)")
+    taken = F.aggregate("rows", none, lambda s, r: F.when(fits(s, r), put(s, r)).otherwise(s))
+    first = F.aggregate(F.filter("rows", lambda r: r["rank"] <= at_least), none, put)
+    return lists.select("query_id", F.explode(F.when(F.size(taken) < at_least, first).otherwise(taken)).alias("r")).select("query_id", "r.doc_id", "r.blend", "r.rank", "r.used")

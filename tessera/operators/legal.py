@@ -115,14 +115,14 @@ def sample(df: DataFrame, key: str, seed: int, n: int) -> DataFrame:
     return df.orderBy(F.md5(F.concat_ws("-", F.lit(str(seed)), key)), key).limit(n)
 
 
-def articles(df: DataFrame, key: str, text: str, heading: str = r"(?i)^\**\s*Điều\s+\d+[a-z]?\.") -> DataFrame:
+def articles(df: DataFrame, key: str, text: str, heading: str = r"(?iu)^\**\s*Điều\s+\d+[a-z]?\.") -> DataFrame:
     """(key, article_no, content): blocks from each heading to before the next one."""
     marked = F.regexp_replace(text, f"(?m)({heading})", "\u0001$1")
     return df.select(F.col(key), F.posexplode(F.filter(F.split(marked, "\u0001"), lambda b: F.regexp_like(b, F.lit(heading)))).alias("article_no", "content")).select(key, "article_no", T.strip(F.col("content")).alias("content"))
 
 
 #: What relates a document to the numbers after it.
-RELATIONS = (("REPLACES", r"(?i)thay thế|bãi bỏ|hết hiệu lực"), ("AMENDS", r"(?i)sửa đổi|bổ sung"), ("GUIDED_BY", r"(?i)hướng dẫn|quy định chi tiết|căn cứ"))
+RELATIONS = (("REPLACES", r"(?iu)thay thế|bãi bỏ|hết hiệu lực"), ("AMENDS", r"(?iu)sửa đổi|bổ sung"), ("GUIDED_BY", r"(?iu)hướng dẫn|quy định chi tiết|căn cứ"))
 
 
 def relations(df: DataFrame, key: str, number: str, text: str, pattern: str = r"\d+/\d{4}/[A-ZĐ\-0-9]+", within: int = 300) -> DataFrame:

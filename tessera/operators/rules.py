@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import contained
+from tessera.functions.text import contained, density, squash
 
 
 @dataclass(frozen=True)
@@ -84,3 +84,68 @@ def edge_confidence(text: Column) -> Column:
 
 def triage(confidence: Column, least: float = 0.95) -> Column:
     return F.when(confidence >= least, "auto_pass").otherwise("flagged")
+
+
+#: Phrases by which a question's features are told.
+EXACT_WORDS = ("điều", "khoản", "mục", "chương", "thông tư", "nghị định", "luật", "quyết định", "article", "section")
+DEPENDS = ("vậy", "thế", "còn", "nó", "đó")
+ASKS = ("là gì", "bao nhiêu", "ở đâu", "khi nào", "như thế nào", "ra sao")
+TECHNICAL = ("rag", "llm", "faiss", "bm25", "api", "gpu", "cpu", "sql", "bert")
+
+
+def query_features(c: Column) -> Column:
+    """Features of a question as a struct: length, numbers, legal words, acronyms, dependence, question form, technical words, density of words."""
+    q = F.lower(squash(c))
+    t = F.regexp_extract_all(q, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    has = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(q, w))
+    return F.struct(
+        F.size(t).alias("query_length"), (F.size(t) <= 5).alias("is_short"), (F.size(t) >= 12).alias("is_long"), F.regexp_like(c, F.lit(r"\d")).alias("has_numbers"), has(EXACT_WORDS).alias("has_exact_pattern"),
+        F.regexp_like(c, F.lit(r"(?<![\p{L}\p{N}_])[A-Z0-9]{2,10}(?![\p{L}\p{N}_])")).alias("has_acronym"), has(DEPENDS).alias("is_follow_up"), has(ASKS).alias("is_question"), has(TECHNICAL).alias("has_technical_terms"), density(t).alias("keyword_density"),
+    )
+
+
+def prefers_sparse(f: Column) -> Column:
+    """Whether keyword search suits a question of these features better."""
+    return f["has_numbers"] | f["has_exact_pattern"] | f["has_acronym"] | f["has_technical_terms"] | (f["keyword_density"] > 0.9)
+
+
+def adaptive_policy(f: Column) -> Column:
+    """alpha, top_k, candidate_k and fusion of a question of these features, as a struct; what comes later decides."""
+    exact = f["has_exact_pattern"] | f["has_numbers"] | f["has_acronym"]
+    alpha = F.when(f["query_length"] >= 12, 0.8).when(f["is_follow_up"], 0.8).when(exact, 0.3).otherwise(0.7)
+    return F.struct(alpha.alias("alpha"), F.when(f["is_follow_up"], 8).otherwise(5).alias("top_k"), F.when(f["is_follow_up"], 20).otherwise(15).alias("candidate_k"), F.lit("rrf").alias("fusion_type"))
+
+
+@dataclass(frozen=True)
+class Topic:
+    """A topic rule: what a question says, what a text must and a title may hold, its weight, and what its absence costs."""
+
+    keywords: tuple[str, ...]
+    required: tuple[str, ...]
+    titles: tuple[str, ...]
+    boost: float
+    missing: float = 0.0
+
+
+def context_scores(question: Column, text: Column, title: Column, base: Column, lexical: Column, title_match: Column, citation: Column, domain: Column, topics: list[Topic]) -> Column:
+    """Signals and final score of a context as a struct. Every topic that a question (folded) names weighs the phrases of the folded text and title:
+    boost for phrases that occur, less where they are missing. final: .18 base .22 lexical .18 title .06 citation .14 domain and the topics, not below 0."""
+    topic, more_title, more_lexical = F.lit(0.0), F.lit(0.0), F.lit(0.0)
+    count = lambda c, words: F.size(contained(c, list(words)))
+    named = F.lit(False)
+    for t in topics:
+        asked = count(question, t.keywords) > 0
+        required, words = count(text, t.required), count(text, t.keywords)
+        titles = F.size(F.filter(F.array(*map(F.lit, t.titles)), lambda p: F.contains(title, p) | F.contains(text, p))) if t.titles else F.lit(0)
+        found = required + titles > 0
+        add = F.when(found, t.boost * F.least(F.lit(3.0), required + 0.6 * titles)).when(words > 0, F.lit(0.2 * t.boost)).otherwise(-t.missing)
+        add = add + F.least(F.lit(0.12), 0.03 * words) + F.least(F.lit(0.18), 0.04 * required) - F.when(found, 0.0).otherwise(max(0.75, t.missing))
+        topic = topic + F.when(asked, add).otherwise(0.0)
+        more_title = more_title + F.when(asked & found, F.least(F.lit(0.45), 0.12 * titles)).otherwise(0.0)
+        more_lexical = more_lexical + F.when(asked & found, F.least(F.lit(0.15), 0.03 * required)).otherwise(0.0)
+        named = named | asked
+    lex, tit = lexical + more_lexical, title_match + more_title
+    topic = topic - F.when(named & (domain == 0) & (lex < 0.12) & (tit < 0.12), 0.12).otherwise(0.0)
+    lex, tit = F.least(F.lit(1.0), lex), F.least(F.lit(1.0), tit)
+    final = F.greatest(F.lit(0.0), 0.18 * base + 0.22 * lex + 0.18 * tit + 0.06 * citation + 0.14 * domain + topic)
+    return F.struct(F.round(lex + 1e-9, 4).alias("lexical_overlap"), F.round(tit + 1e-9, 4).alias("title_match"), F.round(topic + 1e-9, 4).alias("topic_boost"), F.round(final + 1e-9, 6).alias("final_score"))

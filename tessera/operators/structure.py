@@ -12,11 +12,11 @@ from tessera.functions import text as T
 
 #: Headings of legal texts, outermost first.
 LEVELS = (
-    ("chapter", r"(?i)^\**\s*Chương\s+([IVXLCDM0-9]+)\b.*$"),
-    ("section", r"(?i)^\**\s*Mục\s+(\d+)\b.*$"),
-    ("article", r"(?i)^\**\s*Điều\s+(\d+[A-Za-z]?)\.\s*(.*)$"),
+    ("chapter", r"(?iu)^\**\s*Chương\s+([IVXLCDM0-9]+)\b.*$"),
+    ("section", r"(?iu)^\**\s*Mục\s+(\d+)\b.*$"),
+    ("article", r"(?iu)^\**\s*Điều\s+(\d+[A-Za-z]?)\.\s*(.*)$"),
     ("clause", r"^\s*(\d+)\.\s+(.*)$"),
-    ("point", r"(?i)^\s*([a-zđ])\)\s+(.*)$"),
+    ("point", r"(?iu)^\s*([a-zđ])\)\s+(.*)$"),
 )
 
 
@@ -100,11 +100,37 @@ def split_text(text: str, size: int, overlap: int, separators: tuple[str, ...] =
     return [packed[i] if i == 0 else packed[i - 1][-overlap:] + packed[i] if overlap else packed[i] for i in range(len(packed))]
 
 
-def recursive_chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """(key, chunk_no, content): packing is sequential, so it runs in Python on Arrow batches, document by document."""
+def split_stripped(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")) -> list[str]:
+    """Pieces as above, but without their separators and blanks, packed with a blank between, each led by the end of the one before it, lead included."""
+    overlap = max(0, min(overlap, size - 1))
+
+    def parted(t: str, k: int) -> list[str]:
+        if len(t) <= size:
+            return [t]
+        if k == len(separators) or separators[k] == "":
+            return [t[i : i + size] for i in range(0, len(t), size)]
+        bits = [b for b in map(str.strip, t.split(separators[k])) if b]
+        return parted(t, k + 1) if len(bits) <= 1 else [p for b in bits for p in parted(b, k + 1)]
+
+    packed: list[str] = []
+    for bit in filter(None, map(str.strip, parted(text.strip(), 0))):
+        if packed and len(packed[-1]) + 1 + len(bit) <= size:
+            packed[-1] += " " + bit
+        else:
+            packed.append(bit)
+    for i in range(1, len(packed) if overlap else 0):
+        packed[i] = f"{packed[i - 1][-overlap:].strip()} {packed[i]}".strip()
+    return packed
+
+
+def recursive_chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int = 200, lossless: bool = False) -> DataFrame:
+    """(key, chunk_no, content): packing is sequential, so it runs in Python on Arrow batches, document by document.
+    Lossless chunks keep separators and blanks and join to the text."""
+    split_ = split_text if lossless else split_stripped
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(k, n, c) for k, t in zip(f["k"], f["t"]) for n, c in enumerate(split_text(t or "", size, overlap))]
+            rows = [(k, n, c) for k, t in zip(f["k"], f["t"]) for n, c in enumerate(split_(t or "", size, overlap))]
             yield pd.DataFrame(rows, columns=[key, "chunk_no", "content"])
 
     return df.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, chunk_no int, content string")

@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
@@ -68,3 +68,57 @@ def upsert(table: DataFrame, new: DataFrame, key: str, version: str) -> DataFram
     """The latest version of each point."""
     w = Window.partitionBy(key).orderBy(F.col(version).desc())
     return table.unionByName(new).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def points(rows: DataFrame, collection: str, id_col: str, vector_col: str, model: Column | None = None) -> DataFrame:
+    """Rows as points of a collection: id of collection and row id, vector (the given one, else that of a model's column), and the rest as
+    payload. Rows without id or vector go; of rows of one id, the last by content stays."""
+    key = F.trim(F.col(id_col).cast("string"))
+    vector = F.when(F.size(vector_col) > 0, F.col(vector_col))
+    vector = vector if model is None else F.coalesce(vector, F.when(F.size(model) > 0, model))
+    rest = [F.col(c) for c in rows.columns if c != vector_col]
+    made = rows.select(T.stable_id(F.concat(F.lit(f"{collection}:"), key)).alias("point_id"), vector.alias("vector"), F.struct(*rest).alias("payload")).where((key != "") & vector.isNotNull())
+    w = Window.partitionBy("point_id").orderBy(F.xxhash64("payload", "vector"))
+    return made.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+
+
+def collection_size(points_: DataFrame) -> int:
+    """The one length of a collection's vectors; an error where there are several, 0 without points."""
+    sizes = [r[0] for r in points_.select(F.size("vector")).distinct().limit(2).collect()]
+    if len(sizes) > 1:
+        raise ValueError("vectors of a collection differ in length")
+    return sizes[0] if sizes else 0
+
+
+def write_collection(points_: DataFrame, path: str, recreate: bool = False) -> int:
+    """Writes points as a table: anew, or merged into what is there, new points in place of old ones; how many vectors' components there are.
+    A merge is written beside the table and then takes its place."""
+    size = collection_size(points_)
+    spark = points_.sparkSession
+    jvm = spark.sparkContext._jvm
+    where, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if recreate or not system.exists(where):
+        points_.write.mode("overwrite").parquet(path)
+        return size
+    old = spark.read.parquet(path)
+    if size and (had := collection_size(old)) not in (0, size):
+        raise ValueError(f"the collection's vectors have {had} components, new ones {size}")
+    old.join(points_.select("point_id"), "point_id", "left_anti").unionByName(points_).write.mode("overwrite").parquet(f"{path}.new")
+    system.delete(where, True)
+    system.rename(fresh, where)
+    return size
+
+
+#: Fields of a text to embed, by level; a chunk's own embedding text goes first.
+LEVEL_FIELDS = {
+    "document": ("doc_title", "doc_number", "doc_type", "issuer", "domain", "cleaned_text"),
+    "article": ("title", "doc_id", "article", "article_title", "clause", "point", "content", "domain"),
+    "chunk": ("doc_title", "article", "clause", "citation", "content", "domain"),
+}
+
+
+def level_text(df: DataFrame, level: str) -> Column:
+    """The text of a row of this level that is embedded: its fields that are given, by line."""
+    text = T.joined_text(*(F.trim(F.col(c).cast("string")) for c in LEVEL_FIELDS[level] if c in df.columns))
+    return F.coalesce(F.nullif(F.trim("embedding_text"), F.lit("")), text) if level == "chunk" and "embedding_text" in df.columns else text

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from tessera.plans import extras, graphs, ranking, tables, texts
+from tessera.plans import extras, graphs, legal, ranking, tables, texts
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _module in (texts, tables, ranking, graphs, extras):
+for _module in (texts, tables, ranking, graphs, extras, legal):
     QUERIES |= _module.QUERIES
     ORACLE |= _module.ORACLE

@@ -66,7 +66,7 @@ def alias_containment(spark, d):
     return read(spark, d, "pages").select("page_id", legal.first_contained(F.col("url"), ALIASES, "other").alias("name"))
 
 
-@query("select page_id, ('0x' || substr(sha256(url), 1, 15))::bigint as stable_id from pages")
+@query("select page_id, (('0x' || substr(sha256(url), 1, 16))::ubigint & 9223372036854775807::ubigint)::bigint as stable_id from pages")
 def stable_ids(spark, d):
     return read(spark, d, "pages").select("page_id", T.stable_id(F.col("url")).alias("stable_id"))
 
@@ -265,10 +265,13 @@ def template_answer(spark, d):
     return corpus.template_answer(top, "query_id", "source", "text", "rank")
 
 
-@query(f"""{LISTS}, x as (select b.query_id, b.doc_id, b.score, length(d.text) % 11 as model, length(d.text) // 8 as cost from b join documents d using (doc_id)),
+@query(f"""{LISTS.replace("with ", "with recursive ", 1)}, x as (select b.query_id, b.doc_id, b.score, length(d.text) % 11 as model, length(d.text) // 8 as cost from b join documents d using (doc_id)),
 y as (select *, round(0.15 * score + (1 - 0.15) * case when max(model) over w = min(model) over w then 0.5 else (model - min(model) over w) / (max(model) over w - min(model) over w) end, 6) as blend from x window w as (partition by query_id)),
-z as (select *, cast(row_number() over (partition by query_id order by blend desc, doc_id) as int) as rank, max(blend) over (partition by query_id) as top from y), k as (select * from z where (blend >= 0.55 and blend >= 0.8 * top) or rank <= 1),
-u as (select *, sum(cost) over (partition by query_id order by rank rows unbounded preceding) as used from k) select query_id, doc_id, blend, rank, used::bigint as used from u where used <= 1200 or rank <= 1""")
+z as (select *, cast(row_number() over (partition by query_id order by blend desc, doc_id) as int) as rank, max(blend) over (partition by query_id) as top, avg(blend) over (partition by query_id) as mu, stddev_pop(blend) over (partition by query_id) as sd from y),
+k as (select *, cast(row_number() over (partition by query_id order by rank) as int) as i from z where blend >= 0.8 * top and blend >= round(case when top >= 0.9 then greatest(0.75, top - 0.5 * sd) when top >= 0.8 then greatest(0.65, mu + 0.3 * sd) else greatest(0.55, mu) end, 6)),
+f as (select query_id, 0 as i, 0::bigint as used, 0 as n, null::bigint as doc_id, null::double as blend, null::int as rank, false as taken from (select distinct query_id from z)
+union all select f.query_id, f.i + 1, f.used + case when f.used + k.cost <= 1200 and f.n < 8 then k.cost else 0 end, f.n + case when f.used + k.cost <= 1200 and f.n < 8 then 1 else 0 end, k.doc_id, k.blend, k.rank, f.used + k.cost <= 1200 and f.n < 8 from f join k on k.query_id = f.query_id and k.i = f.i + 1)
+select query_id, doc_id, blend, rank, used from f where taken union all select query_id, doc_id, blend, rank, cost::bigint from z where rank = 1 and query_id not in (select query_id from f where taken)""")
 def adaptive_context_select(spark, d):
     top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", (F.length("text") % 11).alias("model"), F.expr("length(text) div 8").alias("cost")), "doc_id")
     return corpus.adaptive_contexts(top.drop("rank"), "model", "cost").select("query_id", "doc_id", "blend", "rank", "used")

@@ -213,7 +213,7 @@ def relative_select(spark, d):
 
 
 @query(f"""{LISTS}, x as (select *, length(text) % 7 as model from b join documents using (doc_id) where rank <= 10),
-y as (select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as retrieval_rank, round(0.15 * score + (1 - 0.15) * case when max(model) over w = min(model) over w then 0.5 else (model - min(model) over w) / (max(model) over w - min(model) over w) end, 6) as final from x window w as (partition by query_id)),
+y as (select query_id, doc_id, score, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as retrieval_rank, round(0.15 * score + (1 - 0.15) * case when max(model) over w = min(model) over w then 0.5 else (model - min(model) over w) / (max(model) over w - min(model) over w) end + 1e-9, 6) as final from x window w as (partition by query_id)),
 z as (select *, cast(row_number() over (partition by query_id order by final desc, doc_id) as int) as rerank_rank from y) select query_id, doc_id, final, retrieval_rank, rerank_rank, retrieval_rank - rerank_rank as rank_delta from z""")
 def rerank_blend(spark, d):
     top = bm25.top(_overlap(spark, d), 10).drop("rank").join(read(spark, d, "documents").select("doc_id", (F.length("text") % 7).alias("model")), "doc_id")
