@@ -9,7 +9,8 @@ from tessera.functions import text as T
 from tessera.functions import web
 from tessera.operators import bm25, evaluation, fusion, selection, vectors
 from tessera.plans.registry import registrar, sql_tokens
-from tessera.session import read
+from tessera.session import read, shared_dir
+from tessera.sources import files
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -31,14 +32,21 @@ ovs as (select query_id, doc_id, round(shared / nq, 6) as score from ov),
 ovr as (select *, cast(row_number() over (partition by query_id order by score desc, doc_id) as int) as rank from ovs)"""
 
 
+def _index(spark, d):
+    """The keyword index of the documents: written once for their fingerprint, read by every query that searches them."""
+    docs = read(spark, d, "documents")
+    name = files.fingerprint(docs, "doc_id", "text")
+    paths = files.persist_index(bm25.postings(docs, "doc_id", T.tokens(F.col("text"))), f"{shared_dir(spark)}/tessera-index", f"documents-{name}")
+    return {table: spark.read.parquet(path) for table, path in paths.items()}
+
+
 def _bm25(spark, d):
-    docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
-    return bm25.score(docs, items, "doc_id", "item_id", T.tokens(F.col("text")), T.tokens(F.col("text")))
+    return bm25.score_index(_index(spark, d), read(spark, d, "benchmark"), "item_id", T.tokens(F.col("text")))
 
 
 def _overlap(spark, d):
-    p = bm25.token_pairs(read(spark, d, "benchmark"), read(spark, d, "documents"), "item_id", "doc_id", T.tokens(F.col("text")), T.tokens(F.col("text")))
-    return p.select(F.col("left_id").alias("query_id"), F.col("right_id").alias("doc_id"), F.round(F.col("shared") / F.col("n_left"), 6).alias("score"))
+    p = bm25.shared_tokens(_index(spark, d), read(spark, d, "benchmark"), "item_id", T.tokens(F.col("text")))
+    return p.select("query_id", "doc_id", F.round(F.col("shared") / F.col("n_query"), 6).alias("score"))
 
 
 def _lists(spark, d, k=50):

@@ -33,6 +33,23 @@ def read(spark: SparkSession, sf_dir: str, table: str):
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, a temporary one, but only if the master is
+    local, for other executors would not see it."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir", None) or _own.get(context.applicationId)
+    if not base:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="tessera-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        base = _own[context.applicationId] = f"file://{path}"
+    return base.rstrip("/")
+
+
 _shipped: set[str] = set()
 
 

@@ -66,9 +66,12 @@ def fingerprint(df: DataFrame, *columns: str) -> str:
 
 
 def persist_index(tables: dict[str, DataFrame], folder: str, name: str) -> dict[str, str]:
-    """Writes tables of an index under its corpus's fingerprint, unless they are there."""
+    """Writes tables of an index under its corpus's fingerprint, unless they are there whole."""
     paths = {}
     for table, df in tables.items():
-        paths[table] = f"{folder}/{name}/{table}"
-        df.write.mode("ignore").parquet(paths[table])
+        paths[table] = path = f"{folder}/{name}/{table}"
+        context = df.sparkSession.sparkContext
+        done = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+        if not done.getFileSystem(context._jsc.hadoopConfiguration()).exists(done):
+            df.write.mode("overwrite").parquet(path)
     return paths
