@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -12,12 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import shared_dir
+
 #: Fixed values. Lower-case A-Z; digits, a-z and every byte from 0x80 are word bytes, the rest part words.
 WORD_TABLE = bytes((b + 32 if 65 <= b <= 90 else b) if 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
-_own: dict[str, str] = {}
-
-
 def words(text: str | None) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased, as UTF-8; null has none."""
     return encoded(text).translate(WORD_TABLE).split() if text else []
@@ -28,16 +24,6 @@ def encoded(text: str | None) -> bytes:
     return text.encode("utf-8", "surrogatepass") if text else b""
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (local runs)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or _own.get(spark.sparkContext.applicationId)
-    if not base:
-        path = tempfile.mkdtemp(prefix="tessera-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        base = _own[spark.sparkContext.applicationId] = f"file://{path}"
-    return base.rstrip("/")
-
-
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
