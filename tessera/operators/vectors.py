@@ -1,7 +1,8 @@
 """Vector search and embeddings without a model.
 
 Queries are a stated set; they go in blocks of bounded size against all rows, each task compares
-its rows with a block by matrix product and keeps the best k of each query, and a window merges.
+its rows with a block by matrix product and keeps the best k of each query and piece of rows, and a window merges.
+Vectors are never shuffled.
 """
 
 from __future__ import annotations
@@ -18,35 +19,52 @@ from tessera.functions import text as T
 PAIRS = "query_id long, vec_id long, score double"
 
 
-def compare(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, k: int | None, threshold: float | None, block: int = 1024, exclude_self: bool = True) -> DataFrame:
-    """(query_id, vec_id, score): per query the best k rows by cosine, or all at or above a threshold; 0 for zero vectors."""
-    q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("qv"))
-    # blocks hold about ``block`` queries each; their number follows from a count
-    blocks = max(1, -(-q.count() // block))
-    packed = q.groupBy(F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("b")).agg(F.collect_list(F.struct("q", "qv")).alias("queries")).select("queries")
-    pairs = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+def compare(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, k: int | None, threshold: float | None, block: int = 4096, exclude_self: bool = True) -> DataFrame:
+    """(query_id, vec_id, score): per query the best k rows by cosine, or all at or above a threshold; 0 for zero vectors. Queries of
+    another length than a row are not compared with it. Queries go to the driver and out again in blocks of at most ``block`` vectors, a pass over the rows for each
+    block, so that what a task holds does not grow with the queries; rows are compared where they are read, by matrix product."""
+    q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null and v is not null")
+    pairs = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
+    context = rows.sparkSession.sparkContext
+
     def unit(m: np.ndarray) -> np.ndarray:
         n = np.sqrt((m * m).sum(1, keepdims=True))
         return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
 
-    # rows in groups of at most 1024 neighbouring ids, each against every block of queries
-    met = pairs.groupBy(F.expr("id div 1024").alias("g")).agg(F.collect_list(F.struct("id", "v")).alias("rows")).select("rows").crossJoin(packed)
-
-    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for some, asked in zip(f["rows"], f["queries"]):
-                ids, names = np.array([r["id"] for r in some]), np.array([x["q"] for x in asked])
-                s = unit(np.array([x["qv"] for x in asked], float)) @ unit(np.array([r["v"] for r in some], float)).T
-                if exclude_self:
-                    s[names[:, None] == ids[None, :]] = -np.inf
-                keep = np.isfinite(s) if threshold is None else s >= threshold
-                if k is not None and s.shape[1] > k:
-                    rank = np.argsort(np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 6)), axis=1), axis=1)
-                    keep &= rank < k
-                a, b = np.nonzero(keep)
-                yield pd.DataFrame({"query_id": names[a], "vec_id": ids[b], "score": np.round(s[a, b], 6)})
-
-    found = met.mapInPandas(best, PAIRS)
+    def passed(some: list) -> DataFrame:
+        shared = context.broadcast(some)
+
+        def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            asked = {}
+            for width in {len(v) for _, v in shared.value}:
+                mine = [(i, v) for i, v in shared.value if len(v) == width]
+                asked[width] = np.array([i for i, _ in mine]), unit(np.array([v for _, v in mine], float))
+            for f in frames:
+                widths = f["v"].map(len)
+                for width in [w for w in widths.unique() if w in asked]:
+                    names, matrix = asked[width]
+                    part = f[widths == width]
+                    for at in range(0, len(part), 1024):
+                        ids = part["id"].to_numpy()[at : at + 1024]
+                        s = matrix @ unit(np.array(part["v"].iloc[at : at + 1024].tolist(), float)).T
+                        if exclude_self:
+                            s[names[:, None] == ids[None, :]] = -np.inf
+                        keep = np.isfinite(s) if threshold is None else s >= threshold
+                        if k is not None and s.shape[1] > k:
+                            rank = np.argsort(np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 6)), axis=1), axis=1)
+                            keep &= rank < k
+                        a, b = np.nonzero(keep)
+                        yield pd.DataFrame({"query_id": names[a], "vec_id": ids[b], "score": np.round(s[a, b], 6)})
+
+        return pairs.mapInPandas(best, PAIRS)
+
+    found, some = None, []
+    for r in q.toLocalIterator():
+        some.append((r["q"], list(r["v"])))
+        if len(some) == block:
+            found, some = passed(some) if found is None else found.unionByName(passed(some)), []
+    if some or found is None:
+        found = passed(some) if found is None else found.unionByName(passed(some))
     if k is None:
         return found
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
