@@ -8,10 +8,12 @@ of the signature's components; a component keeps the identity of its earliest po
 agree in a component with probability equal to their weighted Jaccard similarity. Only points before a
 time that the total weight gives are made; where a component stays empty the time is doubled.
 
-Documents with equal multisets are one class. Signatures are banded; classes that share a band with a
-bucket's smallest class form candidate clusters, by distributed connected components, so a bucket's
-pairs are never listed. Members of a cluster meet once (large clusters in pairs of blocks of bounded
-size), where all pairs that are not connected already are verified by exact multiset overlap. With 32
+Documents with equal multisets are one class. Signatures are banded. Each class of a bucket (equal band) is
+first compared with the bucket's smallest class by exact multiset overlap, a pair at a time: a hot group of copies
+of one text is linked by this alone, without meeting in a task. Only buckets of three or more classes that are not
+one component by then need more: by distributed connected components their classes form candidate clusters, so a
+bucket's pairs are never listed. Members of a cluster meet once (large clusters in pairs of blocks of bounded
+size), where all pairs that are not connected already are compared exactly. With 32
 bands of 5 rows a pair at similarity 0.8 is missed with probability 3e-6.
 
 Defined results: null texts and texts without words are nobody's duplicate; a text of fewer than five
@@ -127,12 +129,25 @@ def signed(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, SIGNED_DDL)
 
 
-def verify(bags: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
+def alike(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, np.ndarray], threshold: float) -> bool:
+    """Whether two bags have at least this similarity: weighted Jaccard, by exact overlap."""
+    a, b = int(x[1].sum()), int(y[1].sum())
+    if not a or not b or min(a, b) < threshold * max(a, b) - 1e-9:
+        return False
+    _, i, j = np.intersect1d(x[0], y[0], assume_unique=True, return_indices=True)
+    both = int(np.minimum(x[1][i], y[1][j]).sum())
+    return both >= threshold * (a + b - both) - 1e-9
+
+
+def verify(bags: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray | None, threshold: float, known: list[int] | None = None) -> list[tuple[int, int]]:
     """Links that connect what similarity of at least threshold connects: every pair (of two sides, where given) that is
-    not connected by earlier links is compared exactly."""
+    not connected by earlier links, or by being of one known component, is compared exactly."""
     n = len(bags)
     size = np.array([c.sum() for _, c in bags], np.int64)
     union, links = Union(n), []
+    first: dict[int, int] = {}
+    for i, k in enumerate(known or ()):
+        union.join(i, first.setdefault(k, i))
 
     def test(i: int, j: np.ndarray, overlap: np.ndarray) -> None:
         for k in j[overlap >= threshold * (size[i] + size[j] - overlap) - 1e-9].tolist():
@@ -142,9 +157,9 @@ def verify(bags: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray | None, t
     if n <= 8:
         for i in range(n):
             for j in range(i + 1, n):
-                if (side is None or side[i] != side[j]) and union.find(i) != union.find(j) and min(size[i], size[j]) >= threshold * max(size[i], size[j]) - 1e-9:
-                    _, a, b = np.intersect1d(bags[i][0], bags[j][0], assume_unique=True, return_indices=True)
-                    test(i, np.array([j]), np.array([np.minimum(bags[i][1][a], bags[j][1][b]).sum()]))
+                if (side is None or side[i] != side[j]) and union.find(i) != union.find(j) and alike(bags[i], bags[j], threshold):
+                    union.join(i, j)
+                    links.append((i, j))
         return links
     token = np.unique(np.concatenate([h for h, _ in bags]), return_inverse=True)[1]
     count = np.concatenate([c for _, c in bags])
@@ -172,21 +187,43 @@ def verify(bags: list[tuple[np.ndarray, np.ndarray]], side: np.ndarray | None, t
     return links
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block_words: int = 1_000_000) -> DataFrame:
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 5, block_words: int = 250_000) -> DataFrame:
     """One row per distinct id: id, class_id (smallest id that links reach, itself included)."""
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = written(signed(texts, shingle, bands, rows), "signatures")
     bags = written(marks.groupBy("bag").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("bands").alias("bands")), "bags")
     keys = bags.select(F.col("rep").alias("id"), F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").select("band", "head")
-    near = keys.join(buckets, "band").where("id > head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
+    buckets = written(keys.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("head < last").select("band", "head", "n"), "buckets")
+    shared = written(keys.join(buckets, "band").select("id", "band", "head", "n"), "shared")
+    pairs = shared.where("id > head").select(F.col("id").alias("src"), F.col("head").alias("dst")).distinct()
+
+    def compare_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, head = None, (np.zeros(0, U), np.zeros(0, np.int64))
+        for b in sliced(batches):
+            src, dst = [], []
+            for i, j, text, other in zip(*(c.to_pylist() for c in b.columns)):
+                if other != held:  # rows of a head come one after another
+                    held, head = other, bag(other, shingle)
+                if alike(bag(text, shingle), head, threshold):
+                    src.append(i)
+                    dst.append(j)
+            yield batch(LINKS, src=src, dst=dst)
+
+    met = pairs.join(texts.withColumnRenamed("id", "src"), "src").join(texts.select(F.col("id").alias("dst"), F.col("text").alias("other")), "dst").select("src", "dst", "text", "other")
+    star = written(met.mapInArrow(compare_pairs, "src long, dst long"), "star")
+    known = written(components(star).withColumnRenamed("node", "id"), "known")
+    # buckets that are not one component yet; of two classes, all pairs have been compared
+    of = shared.where("n > 2").join(known, "id", "left").select("id", "band", "head", F.coalesce("component", "id").alias("component"))
+    mixed = of.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    near = of.join(mixed, "band").where("id > head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
     clusters = written(components(near).withColumnRenamed("component", "cluster"), "clusters")
     sizes = clusters.join(bags.select(F.col("rep").alias("node"), "size"), "node").groupBy("cluster").agg(F.sum("size").alias("weight"))
     blocks = F.ceil(F.col("weight") / block_words).cast("int")
     placed = clusters.join(sizes, "cluster").select(F.col("node").alias("id"), "cluster", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("own"), blocks.alias("blocks"))
+    placed = placed.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
     members = texts.join(placed, "id")
-    dealt = members.select("id", "cluster", "own", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "text")
+    dealt = members.select("id", "cluster", "own", "text", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "text", "component")
     dealt = dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "id")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,7 +232,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
             number, own = g.column(4).to_numpy(), g.column(3).to_numpy()
             side = own if g.column(1)[0].as_py() != g.column(2)[0].as_py() else None
             if g.num_rows > 1:
-                for i, j in verify([bag(t, shingle) for t in g.column(5).to_pylist()], side, threshold):
+                for i, j in verify([bag(t, shingle) for t in g.column(5).to_pylist()], side, threshold, g.column(6).to_pylist()):
                     src.append(number[i])
                     dst.append(number[j])
             if len(src) > 50_000:
@@ -204,7 +241,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         if src:
             yield batch(LINKS, src=src, dst=dst)
 
-    links = written(dealt.mapInArrow(compare, "src long, dst long"), "links")
+    links = written(star.unionByName(dealt.mapInArrow(compare, "src long, dst long")), "links")
     joined = components(links).withColumnRenamed("node", "rep")
     of = bags.join(joined, "rep", "left").select("bag", F.coalesce("component", "rep").alias("class_id"))
     found = marks.select("id", "bag").join(of, "bag").groupBy("id").agg(F.min("class_id").alias("class_id"))
