@@ -214,12 +214,14 @@ def find(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         every = every.unionByName(x)
     found = F.collect_set(F.struct("block", "spans", "items"))
     by_text = every.groupBy("id", "text_hash").agg(F.max("n_words").alias("n_words"), found.alias("found"), (F.count(F.lit(1)) / len(passes)).cast("int").alias("rows"))
-    by_text = by_text.select("id", "n_words", F.array_sort(F.flatten("found.spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten("found.items"))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows"))))
-    grown = F.aggregate(
-        "spans", F.expr("cast(array() as array<struct<start: long, end: long>>)"),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
-    )
-    return by_text.select("id", "n_words", grown.alias("spans"), "items")
+    by_text = by_text.select("id", "n_words", F.flatten("found.spans").alias("spans"), F.array_sort(F.array_distinct(F.flatten("found.items"))).alias("items"), F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("row"))
+
+    def grown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            spans = [[{"start": s, "end": e} for s, e in merged([(s["start"], s["end"]) for s in x])] for x in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(spans, SPANS), b.column(3)], names=["id", "n_words", "spans", "items"])
+
+    return by_text.drop("row").mapInArrow(grown, "id long, n_words long, spans array<struct<start: long, end: long>>, items array<string>")
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -113,24 +113,33 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     return fitted[0].asDict() if fitted else {"feature": [], "weight": [], "bias": 0.0}
 
 
-def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, bits: int = 20, max_rows: int = 12_000, passes: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 1.0) -> DataFrame:
-    """All columns of docs that do not clash, and held_out, score (that label 1 holds) and predicted (1 if score >= threshold)."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, folds, bits, max_rows, passes, alpha, beta, l1, l2))
-    docs = docs.select(*(c for c in docs.columns if c not in ("held_out", "score", "predicted")))
-    at = docs.columns.index(text_col)
+def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = 0.3, folds: int = 5, bits: int = 20, max_rows: int = 12_000, passes: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.05, l2: float = 1.0) -> DataFrame:
+    """row (all columns of docs as a struct), held_out, score (that label 1 holds) and predicted (1 if score >= threshold, else 0)."""
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col, folds, bits, max_rows, passes, alpha, beta, l1, l2))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"), held_out(id_col, folds).alias("held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.zeros(1 << bits)
         w[model.value["feature"]] = model.value["weight"]
         for b in sliced(batches):
             sums = []
-            for t in b.column(at).to_pylist():
+            for t in b.column(1).to_pylist():
                 f = features(t, bits)
                 sums.append(w[f].sum() / np.sqrt(max(1, len(f))))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(logistic(np.array(sums, float) + model.value["bias"]), pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(logistic(np.array(sums, float) + model.value["bias"]), pa.float64())], names=["row", "held_out", "score"])
 
-    names = [f.name for f in docs.schema]
-    out = docs.withColumn(text_col, F.col(text_col).cast("string"))
-    out = out.mapInArrow(run, T.StructType([*out.schema.fields, T.StructField("score", T.DoubleType())]))
-    return out.select(*names, held_out(id_col, folds).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    schema = T.StructType([rows.schema["row"], T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
+    """All columns of docs that do not clash, and held_out, score and predicted; options as of scored()."""
+    out = scored(docs, labels, id_col, text_col, label_col, **options)
+    new = ("held_out", "score", "predicted")
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in new), *new)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
+    """Rows of docs, all columns as they are, whose score is at or above the threshold."""
+    out = scored(docs, labels, id_col, text_col, label_col, **options).where("predicted = 1")
+    return out.select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
