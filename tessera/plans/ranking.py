@@ -128,10 +128,12 @@ def cosine_cache_hit(spark, d):
     return vectors.compare(e, _asked(e), "vec_id", "vec_id", "embedding", 1, None).select("query_id", "vec_id", "score", (F.col("score") >= 0.95).alias("hit"))
 
 
-@query()
+@query(f"""with t as (select doc_id, unnest({sql_tokens('text', 2, False)}) as token from documents), h as (select doc_id, ('0x' || substr(md5(token), 1, 8))::bigint as h from t), b as (select doc_id, h % 64 as i, sum(case when (h >> 20) % 2 = 0 then 1.0 else -1.0 end)::double as s from h group by all),
+n as (select doc_id, sum(s * s) as q, sum(s * i) as w from b group by doc_id) select doc_id, case when coalesce(q, 0) = 0 then 0.0 else 1.0 end::double as norm, 64 as dim, round(case when coalesce(q, 0) = 0 then 0.0 else w / sqrt(q) end + 1e-9, 4)::double as weighted from documents left join n using (doc_id)""")
 def hash_embedding_norms(spark, d):
     v = vectors.hash_embedding(read(spark, d, "documents"), "doc_id", "text")
-    return v.select("doc_id", F.round(S.dot(F.col("vector"), F.col("vector")), 6).alias("norm"), F.size("vector").alias("dim"))
+    places = F.sequence(F.lit(0), F.lit(63))
+    return v.select("doc_id", F.round(S.dot(F.col("vector"), F.col("vector")), 6).alias("norm"), F.size("vector").alias("dim"), F.round(S.dot(F.col("vector"), places) + 1e-9, 4).alias("weighted"))
 
 
 @query(f"{LISTS} select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 6) as score from (select query_id, doc_id, rank from a union all select query_id, doc_id, rank from b) group by all")

@@ -224,7 +224,12 @@ def chunk_recursive(spark, d):
     return structure.recursive_chunks(read(spark, d, "documents"), "doc_id", "text", 1000, 200)
 
 
-@query()
+@query("""with l as (select doc_id, unnest(range(len(ls))) as line_no, unnest(ls) as line from (select doc_id, string_split(text, chr(10)) as ls from documents)),
+m as (select *, case when regexp_matches(line, '^(\\p{Lu}\\p{L}*)\\.$') then 0 when regexp_matches(line, '^\\s*(\\d+)[.)]\\s+(.*)$') then 1 else 2 end as lv, coalesce(sum(length(line) + 1) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding), 0) as start from l),
+o as (select *, max(case when lv = 0 then line_no end) over w as o0, max(case when lv = 1 then line_no end) over w as c from m window w as (partition by doc_id order by line_no rows unbounded preceding)),
+n as (select *, case when c > coalesce(o0, -1) then c end as o1 from o), g as (select *, greatest(o0, o1) as node from n where o0 is not null or o1 is not null),
+a as (select doc_id, node, min(lv) filter (line_no = node) as lv, min(line) filter (line_no = node) as head, min(o0) filter (line_no = node) as up, regexp_replace(string_agg(line, chr(10) order by line_no), '^\\s+|\\s+$', '', 'g') as content, min(start) as first, max(start + length(line)) as last from g group by doc_id, node)
+select doc_id, node::int as node_id, case lv when 0 then 'article' else 'clause' end as level, case lv when 0 then regexp_extract(head, '^(\\p{Lu}\\p{L}*)\\.$', 1) else regexp_extract(head, '^\\s*(\\d+)', 1) end as number, case when lv = 1 and up is not null then up::varchar else '' end as path, content, first::bigint as start_char, last::bigint as end_char from a where content <> ''""")
 def structure_parse(spark, d):
     """Headings of a fixture's own: lines of one capitalised word and a full stop open an article, numbered lines a clause."""
     levels = (("article", r"^(\p{Lu}\p{L}*)\.$"), ("clause", r"^\s*(\d+)[.)]\s+(.*)$"))
