@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,18 @@ def write_to(df: DataFrame, name: str) -> str:
     return path
 
 
+@contextmanager
+def arrow_bytes(spark: SparkSession, size: str) -> Iterator[None]:
+    """Arrow batches of at most so many bytes (or one row) for what is written meanwhile; the session's setting is then as before."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key) if key in spark.conf.getAll else None
+    spark.conf.set(key, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in slices of few rows, for what is made of each row is larger than the row. Spark bounds the batches
     themselves in bytes (spark.sql.execution.arrow.maxBytesPerBatch), so very long texts come few at a time."""

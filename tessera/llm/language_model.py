@@ -3,7 +3,8 @@
 Counts are taken over all training texts: words, then pairs of word numbers, then triples whose two
 pairs are both kept (a triple is never more frequent than its pairs). Pairs and triples that occur less
 than ``least`` times are pruned, as is usual, after their counts are complete. Tasks count in sorted
-arrays and exchange them as compressed blocks, so hot n-grams are one entry of each task.
+arrays and exchange them as compressed blocks, so hot n-grams are one entry of each task. By default all pairs stay, and triples
+that occur twice.
 
 Probabilities are interpolated with absolute discounting: p(w | c) = (n(cw) - d) / n(c) for kept cw,
 plus g(c) p(w | shorter c), where g(c) is the mass that kept n-grams leave; words are smoothed by
@@ -33,15 +34,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import batch, delete_dir, encoded, fresh_dir, groups, sliced, write_to, written
+from tessera.llm.common import arrow_bytes, batch, delete_dir, encoded, fresh_dir, groups, sliced, write_to, written
 from tessera.llm.quality import held_out
 from tessera.llm.succinct import access, elias_fano, load, save
 
 END, START = xxhash.xxh3_64_intdigest(b"\n"), xxhash.xxh3_64_intdigest(b"\r")  # no word holds a line break
 STEP = 1 / 4096
-SEGMENT, FLUSH = 200_000, 1_500_000
+SEGMENT, FLUSH = 200_000, 1_000_000
 
 COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
+COUNTS_DDL = "key long, n long"
 BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.binary())])
 NUMBERS = pa.schema([("numbers", pa.binary()), ("lengths", pa.binary()), ("docs", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("pairs", pa.binary())])
 NUMBERS_DDL = "numbers binary, lengths binary, docs array<long>, held_out array<boolean>, pairs binary"
@@ -112,7 +114,7 @@ class Row:
 def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[Row]:
     for b in batches:
         for k in range(b.num_rows):
-            numbers, lengths, pairs = (np.frombuffer(x, t) if (x := b.column(c)[k].as_py()) is not None else None for c, t in ((0, "<i4"), (1, "<i8"), (4, "<i8")))
+            numbers, lengths, pairs = (from_planes(x, t) if (x := b.column(c)[k].as_py()) is not None else None for c, t in ((0, "<i4"), (1, "<i8"), (4, "<i8")))
             yield Row(numbers.astype(np.int64), np.concatenate(([0], np.cumsum(lengths))), b.column(2)[k].as_py(), np.array(b.column(3)[k].as_py(), bool), pairs)
 
 
@@ -150,17 +152,31 @@ def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
+def planes(x: np.ndarray) -> bytes:
+    """The lowest bytes of all numbers, then the next ones: high bytes that are alike lie together and compress to nothing."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def from_planes(data, kind: str) -> np.ndarray:
+    data = np.frombuffer(data, np.uint8)
+    return np.ascontiguousarray(data.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def fitting(x: np.ndarray) -> np.ndarray:
+    """Non-negative numbers in the smallest of 16, 32 and 64 bits."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.int64)
+
+
 def to_block(keys: np.ndarray, n: np.ndarray) -> bytes:
     """Sorted keys as differences, and counts, by byte planes and compressed."""
-    planes = lambda x: np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(planes(np.diff(keys, prepend=0)) + planes(n))
+    return zstandard.ZstdCompressor(level=3).compress(planes(np.diff(keys, prepend=0)) + planes(n))
 
 
 def from_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(zstandard.ZstdDecompressor().decompress(block), np.uint8)
+    data = zstandard.ZstdDecompressor().decompress(block)
     k = len(data) // 2
-    values = lambda x: np.ascontiguousarray(x.reshape(8, -1).T).view(np.int64).ravel()
-    return np.cumsum(values(data[:k])), values(data[k:])
+    return np.cumsum(from_planes(data[:k], "<i8")), from_planes(data[k:], "<i8")
 
 
 @dataclass
@@ -374,7 +390,7 @@ def numbers_table(texts: DataFrame, model: Model) -> str:
         def row() -> pa.RecordBatch:
             flat = np.concatenate(h)
             found = np.concatenate([model.numbers(flat[a : a + SEGMENT]) for a in range(0, len(flat), SEGMENT)])
-            return batch(NUMBERS, numbers=[found.astype("<i4").tobytes()], lengths=[np.array([len(x) for x in h], "<i8").tobytes()], docs=[docs], held_out=[out], pairs=[None])
+            return batch(NUMBERS, numbers=[planes(found.astype("<i4"))], lengths=[planes(np.array([len(x) for x in h], "<i8"))], docs=[docs], held_out=[out], pairs=[None])
 
         for b in sliced(batches):
             for number, text, held in zip(*(c.to_pylist() for c in b.columns)):
@@ -399,24 +415,27 @@ def pairs_table(path: str, spark: SparkSession, model: Model) -> DataFrame:
                 pairs = np.full(len(row.numbers), -1, "<i8")
                 for s in row.stretches():
                     pairs[s.tokens[s.new]] = model.pair_rows(s, row.numbers[s.tokens])[s.new]
-                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in b.columns[:4]), pa.array([pairs.tobytes()], pa.binary())], names=NUMBERS.names)
+                yield pa.RecordBatch.from_arrays([*(c.slice(k, 1) for c in b.columns[:4]), pa.array([planes(pairs)], pa.binary())], names=NUMBERS.names)
 
     out = written(spark.read.schema(NUMBERS_DDL).parquet(path).mapInArrow(run, NUMBERS_DDL), "pair-rows")
     delete_dir(spark, path)
     return out
 
 
-def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Model, DataFrame]:
-    """A model of the texts that are not held out, from (id, text, held_out) rows, and the table of numbers and pairs of all of them."""
+def train(texts: DataFrame, least: tuple[int, int] = (1, 2), discount: float = 0.75) -> tuple[Model, DataFrame]:
+    """A model of the texts that are not held out, from (id, text, held_out) rows, and the table of numbers and pairs of all of them.
+    Pairs and triples that occur less often than least says are left out after all are counted."""
     spark = texts.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = Model(discount=discount)
-    words = written(counted(texts, word_keys, parts, 1), "words")
+    path = write_to(counted(texts, word_keys, parts, 1), "words")
+    words = spark.read.schema(COUNTS_DDL).parquet(path)
     found = words.agg(F.sum("n"), F.max(F.when(F.col("key") == F.lit(int(np.array([END], np.uint64).view(np.int64)[0])), F.col("n")))).first()
     if not found[0]:
         return model, pairs_table(numbers_table(texts, model), spark, model)
     model.total, model.texts = int(found[0]), int(found[1])
-    model.words = sharded(words, "level1", lambda key, n: {"key": key, "count": n})
+    model.words = sharded(words, "level1", lambda key, n: {"key": key, "count": fitting(n)})
+    delete_dir(spark, path)
     size = model.size
     if size >= 1 << 31:
         raise ValueError("more than 2**31 distinct words")
@@ -430,7 +449,8 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Mod
                 at = np.flatnonzero(s.new & (np.arange(len(numbers)) > s.begin) & ~row.held_out[s.text])
                 yield numbers[at - 1] * size + numbers[at]
 
-    pairs = written(counted(first, pair_keys, parts, least), "pairs")
+    counts = write_to(counted(first, pair_keys, parts, least[0]), "pairs")
+    pairs = spark.read.schema(COUNTS_DDL).parquet(counts)
     masses = pairs.groupBy((F.expr(f"key div {size}")).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
 
     def rest1(key, n, kinds):
@@ -441,9 +461,12 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Mod
     def level2(key, n):
         context, word = np.divmod(key, size)
         p = (n - discount) / model.word_counts(context) + 10 ** (model.left(model.rest1, context) + model.base(model.word_counts(word)))
-        return level(key, size, log=quantised(np.log10(p)), count=n)
+        return level(key, size, log=quantised(np.log10(p)), count=fitting(n))
 
     model.pairs = sharded(pairs, "level2", level2)
+    delete_dir(spark, counts)
+    if int(model.pairs.offset[-1]) * size >= 1 << 63:
+        raise ValueError("numbers of triples exceed 63 bits")
     table = pairs_table(path, spark, model)
 
     def triple_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -454,7 +477,8 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Mod
                 at = at[pair[at - 1] >= 0]
                 yield pair[at - 1] * size + numbers[at]
 
-    triples = written(counted(table, triple_keys, parts, least), "triples")
+    counts = write_to(counted(table, triple_keys, parts, least[1]), "triples")
+    triples = spark.read.schema(COUNTS_DDL).parquet(counts)
     masses = triples.groupBy((F.expr(f"key div {size}")).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
 
     def rest2(key, n, kinds):
@@ -469,16 +493,23 @@ def train(texts: DataFrame, least: int = 2, discount: float = 0.75) -> tuple[Mod
         return level(key, size, log=quantised(np.log10(p)))
 
     model.triples = sharded(triples, "level3", level3)
+    delete_dir(spark, counts)
     return model, table
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, least: int = 2, discount: float = 0.75) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 10, least: tuple[int, int] = (1, 2), discount: float = 0.75) -> DataFrame:
     """One row per document: id, held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probabilities of the text).
     Documents whose id's crc32 is divisible by folds are held out of training."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), held_out(id_col, folds).alias("held_out"))
-    model, table = train(rows, least, discount)
+    with arrow_bytes(spark, "4m"):  # a row of the table of numbers is a few megabytes
+        model, table = train(rows, least, discount)
+        out = written(table.mapInArrow(scorer(model), SCORES_DDL), "scores")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
 
+
+def scorer(model: Model):
+    """Scores of the rows of a table of numbers and pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in numbered(batches):
             n = len(row.docs)
@@ -492,5 +523,4 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
                 full += np.bincount(text, after[s.new], n)
             yield batch(SCORES, id=row.docs, held_out=row.held_out, n_tokens=tokens.astype(np.int64), n_known=known.astype(np.int64), base_score=base, score=full)
 
-    out = table.mapInArrow(run, SCORES_DDL)
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
+    return run

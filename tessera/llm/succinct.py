@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import shutil
 import struct
 import tempfile
@@ -89,12 +91,14 @@ def save(path: str, arrays: dict[str, np.ndarray]) -> None:
 
 @lru_cache(maxsize=4096)
 def load(path: str) -> dict[str, np.ndarray]:
-    """The arrays of a file, memory-mapped; a file of a remote store is copied to the machine's disk first."""
+    """The arrays of a file, memory-mapped; a file of a remote store is copied to the executor's temporary folder first, once for all its workers."""
     where, inner = fs.FileSystem.from_uri(path)
     if not isinstance(where, fs.LocalFileSystem):
-        local = Path(tempfile.mkdtemp(prefix="tessera-level-")) / "level"
-        with where.open_input_stream(inner, compression=None) as src, local.open("wb") as dst:
-            shutil.copyfileobj(src, dst)
+        local = Path(tempfile.gettempdir()) / f"tessera-level-{hashlib.sha256(path.encode()).hexdigest()[:24]}"
+        if not local.exists():
+            with where.open_input_stream(inner, compression=None) as src, tempfile.NamedTemporaryFile(dir=local.parent, delete=False) as dst:
+                shutil.copyfileobj(src, dst)
+            os.replace(dst.name, local)
         inner = str(local)
     data = np.memmap(inner, np.uint8, "r")
     (length,) = struct.unpack("<Q", data[-8:].tobytes())

@@ -30,8 +30,8 @@ def test_blocks():
     assert (k == keys).all() and (m == n).all()
 
 
-@pytest.mark.parametrize("segment", [200_000, 40])
-def test_scores_against_dictionaries(documents, messy, nothing, monkeypatch, segment):
+@pytest.mark.parametrize(("segment", "least"), [(200_000, (1, 2)), (40, (2, 2)), (200_000, (1, 1))])
+def test_scores_against_dictionaries(documents, messy, nothing, monkeypatch, segment, least):
     monkeypatch.setattr(lm, "SEGMENT", segment)
     docs = [(i, re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower()) + [b"\n"]) for i, t in messy]
     out = lambda i: i is None or zlib.crc32(str(i).encode()) % 10 == 0
@@ -39,8 +39,8 @@ def test_scores_against_dictionaries(documents, messy, nothing, monkeypatch, seg
     c1 = collections.Counter(w for s in train for w in s)
     total, kinds = sum(c1.values()), len(c1)
     marked = [[b"\r", *s] for s in train]
-    c2 = {k: n for k, n in collections.Counter(p for s in marked for p in zip(s, s[1:])).items() if n > 1}
-    c3 = {k: n for k, n in collections.Counter(p for s in marked for p in zip(s, s[1:], s[2:])).items() if n > 1}
+    c2 = {k: n for k, n in collections.Counter(p for s in marked for p in zip(s, s[1:])).items() if n >= least[0]}
+    c3 = {k: n for k, n in collections.Counter(p for s in marked for p in zip(s, s[1:], s[2:])).items() if n >= least[1]}
     kept2, kept3 = collections.defaultdict(float), collections.defaultdict(float)
     for k, n in c2.items():
         kept2[k[0]] += n - 0.75
@@ -63,7 +63,7 @@ def test_scores_against_dictionaries(documents, messy, nothing, monkeypatch, seg
 
     # probabilities after a context add up to 1
     assert abs(sum(p2(docs[0][1][0], w) for w in c1) + p2(docs[0][1][0], b"unknown") - 1) < 1e-9
-    rows = lm.score(documents).collect()
+    rows = lm.score(documents, least=least).collect()
     assert len(rows) == len(messy)
     by_id = {r["doc_id"]: r for r in rows if r["doc_id"] is not None}
     for i, s in docs:
