@@ -13,8 +13,10 @@ by equal anchors at equal distance, and one anchor owns up to three quarters of
    neighbours' common prefixes bound the starts that can be repeated at all, fingerprints of their whole strings
    propose equals, and their bytes are compared before any start counts as repeated. As a slice owns fewer starts than a
    string is long, what its repeated starts cover is one run, from the first to the last of them;
-4. suffixes of grams with more than ``hot_group`` slices are never gathered in one bucket: their
-   starts are compared across buckets, counted by fingerprint with map-side combine. Fingerprints are polynomials modulo
+4. slices of grams with more than ``hot_group`` slices are parted first, into runs of a few starts each, and dealt by the
+   bytes that all strings of a run have in common: of a line that many texts share, what follows and precedes it parts them. Runs
+   that are alone end here, the others go to the buckets; only what still has more than ``hot_group`` members is never
+   gathered in one bucket: its starts are counted by fingerprint with map-side combine. Fingerprints are polynomials modulo
    2**31-1 at two bases drawn anew by each run, beside the gram's hash and the anchor's distance: two different strings
    of n bytes agree with probability (n / 2**31)**2 at most, whatever the texts are.
 
@@ -265,6 +267,35 @@ def repeated(data: np.ndarray, place: np.ndarray, n: np.ndarray, anchor: np.ndar
     return first, last
 
 
+def finer(cuts: DataFrame, length: int, secret: Secret) -> DataFrame:
+    """Slices in runs of starts that are equally far from the anchor, a sixteenth of the length each: gram becomes a hash of gram,
+    distance and the bytes that all strings of the run share. Equal strings are in runs of one hash."""
+    most = max(8, length // 16)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[list] = [[] for _ in CUT_NAMES[:-1]]
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, CUT_TYPES)], names=CUT_NAMES[:-1])
+
+        for b in sliced(batches, 512):
+            for gram, number, text_hash, start, n, anchor, content in zip(*(b.column(i).to_pylist() for i in range(7))):
+                for k in range((anchor - n + 1) // most, anchor // most + 1):
+                    lo, hi = max(0, anchor - (k + 1) * most + 1), min(n - 1, anchor - k * most)
+                    shared = content[anchor - k * most : anchor - (k + 1) * most + 1 + length]
+                    key = xxhash.xxh3_64_intdigest(shared, (secret.seed + gram * 31 + k) & 0xFFFFFFFFFFFFFFFF)
+                    for column, x in zip(out, (key - (1 << 63), number, text_hash, start + lo, hi - lo + 1, anchor - lo, content[lo : hi + length])):
+                        column.append(x)
+                    size += hi - lo + length
+                if size > 2 << 20:
+                    yield made()
+                    out, size = [[] for _ in CUT_NAMES[:-1]], 0
+        yield made()
+
+    return cuts.select(*CUT_NAMES).mapInArrow(run, CUT_DDL.removesuffix(", hot boolean"))
+
+
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 400, hot_group: int = 2_000, min_words: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept_sha256, kept (bytes; null where nothing is removed and
     nothing is carried), text (kept without the rests of cut characters), spans,
@@ -316,7 +347,14 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     cuts = marked.select("id", "text_hash", "text", "marks").mapInArrow(cut, CUT_DDL)
     cuts = written(cuts, "slices")
     lead = F.substring("content", F.col("anchor") + 1, F.lit(gram))
-    buckets = cuts.where("not hot").repartitionByRange(lead, F.col("gram")).sortWithinPartitions(lead, F.col("gram"))
+    plain, hotter = cuts.where("not hot").select(*CUT_NAMES[:-1]), None
+    if hot.take(1):
+        runs_ = written(finer(cuts.where("hot"), length, secret), "finer")
+        members = written(runs_.groupBy("gram").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "members")
+        again = runs_.join(members, "gram")
+        plain = plain.unionByName(again.where(F.col("members") <= hot_group).select(*CUT_NAMES[:-1]))
+        hotter = again.where(F.col("members") > hot_group).select(*CUT_NAMES[:-1])
+    buckets = plain.repartitionByRange(lead, F.col("gram")).sortWithinPartitions(lead, F.col("gram"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in chunks(batches, 1 << 20):
@@ -336,8 +374,8 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     full = marked.select("id", "text_hash", F.explode("marks").alias("m")).where("m.full").select("id", "text_hash", F.col("m.start").alias("first"), (F.col("m.start") + F.col("m.n") * F.col("m.times") - 1).alias("last"))
     runs = full.unionByName(buckets.mapInArrow(compare, RUNS_DDL))
-    if hot.take(1):
-        prints = written(cuts.where("hot").mapInArrow(fingerprints, "key long, owner long, id long, text_hash long, start long, at long"), "fingerprints")
+    if hotter is not None:
+        prints = written(hotter.mapInArrow(fingerprints, "key long, owner long, id long, text_hash long, start long, at long"), "fingerprints")
         twice = prints.groupBy("key", "owner").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "owner")
         runs = runs.unionByName(prints.join(twice, ["key", "owner"]).groupBy("id", "text_hash", "start").agg(F.min("at").alias("first"), F.max("at").alias("last")).drop("start"))
     runs = runs.groupBy("id", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))

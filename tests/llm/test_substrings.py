@@ -19,7 +19,7 @@ def brute(texts, length):
     return out
 
 
-@pytest.mark.parametrize(("length", "hot"), [(33, 10_000), (60, 1), (400, 10_000)])
+@pytest.mark.parametrize(("length", "hot"), [(33, 10_000), (60, 1), (400, 10_000), (33, 3), (150, 1)])
 def test_against_brute_force(documents, messy, length, hot):
     want = sorted((-1 if i is None else i, *x) for (i, _), x in zip(messy, brute([(t or "").encode() for _, t in messy], length)))
     got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.duplicates(documents, length=length, hot_group=hot).collect())
