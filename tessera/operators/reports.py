@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def counts(df: DataFrame, by: list[str], share: bool = True) -> DataFrame:
+    """How many rows each group has, and its share of all."""
     out = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
-    return out.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6)) if share else out
+    # one row of totals meets each group where it is; no window over all groups
+    return out.crossJoin(df.agg(F.count(F.lit(1)).alias("_all"))).select(*by, "n", F.round(F.col("n") / F.col("_all"), 6).alias("share")) if share else out
 
 
 def flags(df: DataFrame, by: list[str], conditions: dict[str, Column]) -> DataFrame:

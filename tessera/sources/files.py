@@ -13,9 +13,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, skip_
 
 
 def read_quarantined(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """Good rows, and bad ones as (file, line_no, raw). Lines are read as text once, so that a bad one keeps its place."""
+    """Good rows, and bad ones as (file, line_no, raw). Lines are numbered within each split of a file, and splits by the lines before
+    them, so that no file is in one task."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).where(F.trim("value") != "")
-    line_no = F.row_number().over(Window.partitionBy("file").orderBy("block", "at"))
+    blocks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = lines.join(blocks.select("file", "block", before.alias("before")), ["file", "block"])
+    line_no = (F.col("before") + F.row_number().over(Window.partitionBy("file", "block").orderBy("at"))).cast("int")
     parsed = lines.select("*", line_no.alias("line_no"), F.from_json("value", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("row"))
     good = parsed.where("row._bad is null").select("row.*").drop("_bad")
     return good, parsed.where("row._bad is not null").select("file", "line_no", F.col("value").alias("raw"))
