@@ -3,8 +3,9 @@
 Counts are taken over all training texts: words, then pairs of word numbers, then triples whose two
 pairs are both kept (a triple is never more frequent than its pairs). Pairs and triples that occur less
 than ``least`` times are pruned, as is usual, after their counts are complete. Tasks count in sorted
-arrays and exchange them as compressed blocks, so hot n-grams are one entry of each task. By default all pairs stay, and triples
-that occur twice.
+arrays and exchange them as compressed blocks, so hot n-grams are one entry of each task. Blocks are dealt by ranges of keys, with
+bounds from the counts of the contexts, so that the tasks that add them up write the shards of the trie themselves; a frequent context
+may be split over shards. By default all pairs stay, and triples that occur twice.
 
 Probabilities are interpolated with absolute discounting: p(w | c) = (n(cw) - d) / n(c) for kept cw,
 plus g(c) p(w | shorter c), where g(c) is the mass that kept n-grams leave; words are smoothed by
@@ -14,7 +15,7 @@ Texts are read twice, to count words and to number them; later passes read numbe
 trie is memory-mapped from the shared folder, in shards of sorted keys that many tasks write. In a
 level, a context's children are a range that an Elias-Fano sequence of monotone pointers gives; word
 numbers are 32-bit, and a child is found by successor search within its context's range. Level 1
-maps word hashes to numbers. Logarithms of smoothed probabilities and of g are quantised to 1/4096.
+maps word hashes to numbers. Logarithms of (n(cw) - d) / n(c) and of g are quantised to 1/4096; they are put together when a token is scored.
 
 Defined results: null and empty texts are one end token; a null id is held out; without training
 texts every probability is that of an unknown word; repeated rows each count and each get their row;
@@ -41,14 +42,14 @@ from tessera.llm.succinct import access, elias_fano, load, save
 END, START = xxhash.xxh3_64_intdigest(b"\n"), xxhash.xxh3_64_intdigest(b"\r")  # no word holds a line break
 STEP = 1 / 4096
 SEGMENT, FLUSH = 200_000, 1_000_000
+POWER = 10.0 ** (-STEP * np.arange(1 << 16))  # of quantised logarithms
 
-COUNTS = pa.schema([("key", pa.int64()), ("n", pa.int64())])
-COUNTS_DDL = "key long, n long"
-BLOCKS = pa.schema([("part", pa.int32()), ("block", pa.binary())])
+BLOCKS = pa.schema([("file", pa.int32()), ("part", pa.int32()), ("block", pa.binary())])
+BLOCKS_DDL = "file int, part int, block binary"
 NUMBERS = pa.schema([("numbers", pa.binary()), ("lengths", pa.binary()), ("docs", pa.list_(pa.int64())), ("held_out", pa.list_(pa.bool_())), ("pairs", pa.binary())])
 NUMBERS_DDL = "numbers binary, lengths binary, docs array<long>, held_out array<boolean>, pairs binary"
-SHARDS = pa.schema([("path", pa.string()), ("first", pa.int64()), ("rows", pa.int64())])
-SHARDS_DDL = "path string, first long, rows long"
+SHARDS = pa.schema([("path", pa.string()), ("first", pa.int64()), ("rows", pa.int64()), ("total", pa.int64()), ("ends", pa.int64()), ("places", pa.list_(pa.int64())), ("weights", pa.list_(pa.int64())), ("edges", pa.list_(pa.int64()))])
+SHARDS_DDL = "path string, first long, rows long, total long, ends long, places array<long>, weights array<long>, edges array<long>"
 SCORES = pa.schema([("id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
 SCORES_DDL = "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
@@ -146,7 +147,7 @@ class Tally:
 
 
 def summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    by = np.argsort(keys, kind="stable")
+    by = np.argsort(keys)
     keys, n = keys[by], n[by]
     first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
     return keys[first], np.add.reduceat(n, first) if len(first) else n
@@ -179,71 +180,101 @@ def from_block(block: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(from_planes(data[:k], "<i8")), from_planes(data[k:], "<i8")
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.unique(x, return_inverse=True)
+
+
+def runs(x: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
 @dataclass
 class Shards:
-    """A sorted table in files: what is looked up goes to the file whose range of keys it is in."""
+    """A sorted table in files: what is looked up, sorted and each once, goes to the file whose range of keys it is in. Contexts that are
+    split over files have what they leave here."""
 
     paths: list[str] = field(default_factory=list)
     first: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     offset: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    split: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    split_rest: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint16))
 
     @classmethod
-    def of(cls, manifest: DataFrame) -> Shards:
-        """The manifest has a row for each task that wrote a shard."""
-        rows = sorted(manifest.collect(), key=lambda r: r["first"])
-        return cls([r["path"] for r in rows], np.array([r["first"] for r in rows], np.int64), np.cumsum([0, *(r["rows"] for r in rows)]))
+    def of(cls, rows: list, discount: float) -> Shards:
+        """Rows of the manifest, one for each file, sorted by key."""
+        out = cls([r["path"] for r in rows], np.array([r["first"] for r in rows], np.int64), np.cumsum([0, *(r["rows"] for r in rows)]))
+        edges = np.array([x for r in rows for x in r["edges"]], np.int64).reshape(-1, 4)
+        contexts, which, times = np.unique(edges[:, 0], return_inverse=True, return_counts=True)
+        mass, kinds, of = (np.zeros(len(contexts), np.int64) for _ in range(3))
+        np.add.at(mass, which, edges[:, 1])
+        np.add.at(kinds, which, edges[:, 2])
+        of[which] = edges[:, 3]
+        out.split, out.split_rest = contexts[times > 1], left(mass, kinds, of, discount)[times > 1]
+        return out
 
     def parts(self, keys: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[dict, slice, int]]:
         """For sorted keys: each shard that some fall into, these, and the shard's first row."""
-        cut = np.searchsorted(keys, bounds) if len(bounds) else []
-        for k in range(len(self.paths)):
-            at = slice(cut[k], cut[k + 1] if k + 1 < len(cut) else len(keys))
-            if at.start < at.stop:
-                yield load(self.paths[k]), at, int(self.offset[k])
+        cut = np.append(np.searchsorted(keys, bounds), len(keys)).tolist()
+        for k, path in enumerate(self.paths):
+            if cut[k] < cut[k + 1]:
+                yield load(path), slice(cut[k], cut[k + 1]), int(self.offset[k])
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Rows of keys in tables that hold their keys themselves, -1 where missing."""
-        keys, back = np.unique(keys, return_inverse=True)
         out = np.full(len(keys), -1)
         for shard, at, offset in self.parts(keys, self.first):
             row = np.minimum(np.searchsorted(shard["key"], keys[at]), len(shard["key"]) - 1)
             out[at] = np.where(shard["key"][row] == keys[at], row + offset, -1)
-        return out[back]
+        return out
 
-    def child(self, context: np.ndarray, word: np.ndarray, size: int) -> np.ndarray:
-        """Rows of n-grams, -1 where missing: successor search for the word in the range of its context."""
-        keys, back = np.unique(context * size + word, return_inverse=True)
+    def child(self, keys: np.ndarray, size: int) -> np.ndarray:
+        """Rows of n-grams (context * size + word), -1 where missing: successor search for the word in the range of its context."""
         out = np.full(len(keys), -1)
         for shard, at, offset in self.parts(keys, self.first):
-            c, w = np.divmod(keys[at], size)
+            c = keys[at] // size
+            w = keys[at] - c * size
             base, pointers = int(shard["base"][0]), {k[4:]: x for k, x in shard.items() if k.startswith("ptr_")}
-            some, which = np.unique(c, return_inverse=True)
-            inside = some - base < int(shard["contexts"][0])
+            begin = runs(c)
+            some = c[begin] - base
+            inside = some < int(shard["contexts"][0])
             lo, hi = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64)
-            lo[inside], hi[inside] = access(pointers, some[inside] - base), access(pointers, some[inside] - base + 1)
-            lo, hi = lo[which], hi[which]
+            lo[inside], hi[inside] = access(pointers, some[inside]), access(pointers, some[inside] + 1)
+            each = np.diff(np.append(begin, len(c)))
+            lo, hi = np.repeat(lo, each), np.repeat(hi, each)
             end, words = hi.copy(), shard["word"]
             live = np.flatnonzero(lo < hi)
             while len(live):
-                mid = (lo[live] + hi[live]) >> 1
+                a, b = lo[live], hi[live]
+                mid = (a + b) >> 1
                 less = words[mid] < w[live]
-                lo[live] = np.where(less, mid + 1, lo[live])
-                hi[live] = np.where(less, hi[live], mid)
-                live = live[lo[live] < hi[live]]
+                a, b = np.where(less, mid + 1, a), np.where(less, b, mid)
+                lo[live], hi[live] = a, b
+                live = live[a < b]
             hit = np.flatnonzero(lo < end)
             hit = hit[words[lo[hit]] == w[hit]]
-            rows = np.full(len(lo), -1)
-            rows[hit] = lo[hit] + offset
-            out[at] = rows
-        return out[back]
+            out[at.start + hit] = lo[hit] + offset
+        return out
+
+    def rest(self, contexts: np.ndarray, size: int) -> np.ndarray:
+        """What contexts leave, as left gives it: 0 for those without n-grams."""
+        out = np.zeros(len(contexts), np.uint16)
+        for shard, at, _ in self.parts(contexts * size + (size - 1), self.first):
+            place = contexts[at] - int(shard["base"][0])
+            inside = np.flatnonzero(place < len(shard["rest"]))
+            out[at.start + inside] = shard["rest"][place[inside]]
+        if len(contexts) and len(self.split):
+            place = np.minimum(np.searchsorted(contexts, self.split), len(contexts) - 1)
+            there = contexts[place] == self.split
+            out[place[there]] = self.split_rest[there]
+        return out
 
     def get(self, rows: np.ndarray, name: str) -> np.ndarray:
         """Values of an array of the table at rows (all of them present)."""
-        rows, back = np.unique(rows, return_inverse=True)
         out = np.zeros(len(rows), np.int64)
         for shard, at, offset in self.parts(rows, self.offset[:-1]):
             out[at] = shard[name][rows[at] - offset]
-        return out[back]
+        return out
 
 
 @dataclass
@@ -256,8 +287,6 @@ class Model:
     words: Shards = field(default_factory=Shards)
     pairs: Shards = field(default_factory=Shards)
     triples: Shards = field(default_factory=Shards)
-    rest1: Shards = field(default_factory=Shards)
-    rest2: Shards = field(default_factory=Shards)
 
     @property
     def vocabulary(self) -> int:
@@ -268,69 +297,107 @@ class Model:
         return self.vocabulary + 1
 
     def numbers(self, tokens: np.ndarray) -> np.ndarray:
-        out = self.words.find(tokens)
-        out[tokens == np.array([START], np.uint64).view(np.int64)[0]] = self.vocabulary
-        return out
+        words, back = distinct(tokens)
+        out = self.words.find(words)
+        out[words == np.array([START], np.uint64).view(np.int64)[0]] = self.vocabulary
+        return out[back]
 
     def word_counts(self, numbers: np.ndarray) -> np.ndarray:
-        """Counts of words as tokens and, for the start mark, of texts."""
+        """Counts of words (sorted, each once) as tokens and, for the start mark, of texts."""
         out = np.where(numbers == self.vocabulary, self.texts, 0)
         known = (numbers >= 0) & (numbers < self.vocabulary)
         out[known] = self.words.get(numbers[known], "count")
         return out
 
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        """log10 of the words' own smoothed probabilities."""
-        return np.log10((counts + 0.1) / (self.total + 0.1 * (self.vocabulary + 1)))
-
     def pair_rows(self, s: Stretch, numbers: np.ndarray) -> np.ndarray:
         """For each token the row of the pair that ends there, -1 without one."""
         out = np.full(len(numbers), -1)
         at = np.flatnonzero((np.arange(len(numbers)) > s.begin) & (numbers >= 0))
         at = at[numbers[at - 1] >= 0]
-        out[at] = self.pairs.child(numbers[at - 1], numbers[at], self.size)
-        return out
-
-    def left(self, rest: Shards, contexts: np.ndarray) -> np.ndarray:
-        """log10 of the mass that the kept n-grams of these contexts leave, 0 for contexts without any."""
-        out = np.zeros(len(contexts))
-        row = rest.find(contexts)
-        out[row >= 0] = -STEP * rest.get(row[row >= 0], "log")
+        keys, back = distinct(numbers[at - 1] * self.size + numbers[at])
+        out[at] = self.pairs.child(keys, self.size)[back]
         return out
 
     def log_probs(self, s: Stretch, numbers: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each token its count, log10 of its own probability, and log10 of its probability after its context."""
-        counts = self.word_counts(numbers)
-        base = self.base(counts)
-        place = np.arange(len(numbers))
-        second = np.flatnonzero(place > s.begin)
-        out = base.copy()
-        out[second] += self.left(self.rest1, numbers[second - 1])
-        out[pair >= 0] = -STEP * self.pairs.get(pair[pair >= 0], "log")
-        third = second[(pair[second - 1] >= 0) & (second - 1 > s.begin[second])]
-        out[third] += self.left(self.rest2, pair[third - 1])
+        words, word = distinct(numbers)
+        counts = self.word_counts(words)
+        own = (counts + 0.1) / (self.total + 0.1 * (self.vocabulary + 1))
+        p = own[word]
+        second = np.flatnonzero(np.arange(len(numbers)) > s.begin)
+        p[second] *= mass_left(self.pairs.rest(words, self.size))[word[second - 1]]
+        rows, row = distinct(pair)
+        there = rows >= 0
+        kept = np.zeros(len(rows))
+        kept[there] = POWER[self.pairs.get(rows[there], "log")]
+        p += kept[row]
+        third = second[second - 1 > s.begin[second]]
+        rest, before = self.triples.rest(rows, self.size), row[third - 1]
+        third, before = third[rest[before] > 0], before[rest[before] > 0]
+        p[third] *= mass_left(rest)[before]
         at = third[pair[third] >= 0]
-        row = self.triples.child(pair[at - 1], numbers[at], self.size)
-        out[at[row >= 0]] = -STEP * self.triples.get(row[row >= 0], "log")
-        return counts, base, out
+        keys, key = distinct(pair[at - 1] * self.size + numbers[at])
+        found = self.triples.child(keys, self.size)
+        kept = np.zeros(len(keys))
+        kept[found >= 0] = POWER[self.triples.get(found[found >= 0], "log")]
+        p[at] += kept[key]
+        return counts[word], np.log10(own)[word], np.log10(p)
 
 
 def quantised(log: np.ndarray) -> np.ndarray:
     return np.minimum(np.round(-log / STEP), 65535).astype(np.uint16)
 
 
-def counted(table: DataFrame, keys, parts: int, least: int) -> DataFrame:
-    """(key, n) for keys that occur at least so often, where keys(batches) gives arrays of integer keys."""
+def left(mass: np.ndarray, kinds: np.ndarray, of: np.ndarray, discount: float) -> np.ndarray:
+    """What the kept n-grams of contexts leave: one more than its quantised logarithm, as 0 says that there are none."""
+    return np.minimum(quantised(np.log10(np.maximum(1 - (mass - discount * kinds) / of, 1e-12))), 65534) + np.uint16(1)
+
+
+def mass_left(rest: np.ndarray) -> np.ndarray:
+    return np.where(rest > 0, POWER[np.maximum(rest, 1) - np.uint16(1)], 1.0)
+
+
+def heavy(n: np.ndarray, points: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Places in a table of counts and the sums up to them, before and after the rows in which shares of the whole are reached."""
+    sums = np.cumsum(n)
+    at = np.unique(np.searchsorted(sums, sums[-1] * (np.arange(points) + 1.0) / points).clip(max=len(n) - 1))
+    return np.stack((at, at + 1), 1).ravel(), np.stack((sums[at] - n[at], sums[at]), 1).ravel()
+
+
+def bounds_of(rows: list, size: int, parts: int, more: int = 0) -> np.ndarray:
+    """Keys that part n-grams whose contexts are the rows of a table into ranges of about as many tokens: by the counts of these rows, and of
+    more for a context after them. Word numbers are in the order of hashes, so a context's n-grams are taken to lie evenly."""
+    places, sums = [np.zeros(1)], [np.zeros(1)]
+    offset, total = 0, 0
+    for r in rows:
+        places.append(np.array(r["places"], float) + offset)
+        sums.append(np.array(r["weights"], float) + total)
+        offset, total = offset + r["rows"], total + r["total"]
+    places.append(np.array([offset, offset + 1.0]))
+    sums.append(np.array([total, total + more], float))
+    at = np.interp((total + more) * (np.arange(parts - 1) + 1.0) / parts, np.concatenate(sums), np.concatenate(places))
+    return at.astype(np.int64) * size + ((at % 1) * size).astype(np.int64)
+
+
+def counted(table: DataFrame, keys, name: str, bounds: np.ndarray, least: int, arrays) -> list:
+    """Rows of the manifest of a table of keys that occur at least so often, sorted, where keys(batches) gives arrays of integer keys.
+    Bounds part the keys into ranges that are added up one at a time; a file has some ranges, and arrays(key, n) gives its arrays and what is
+    to be known of its first and last context."""
+    spark = table.sparkSession
+    folder = fresh_dir(spark, name)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
+    per = max(1, min(8, (len(bounds) + 1) // (8 * spark.sparkContext.defaultParallelism)))
+    end = int(np.array([END], np.uint64).view(np.int64)[0])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = Tally()
 
         def out() -> pa.RecordBatch:
             k, n = tally.take()
-            part = ((k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
-            by = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[by], np.arange(parts + 1))
-            there = [p for p in range(parts) if edges[p] < edges[p + 1]]
-            return batch(BLOCKS, part=there, block=[to_block(k[x], n[x]) for p in there for x in [by[edges[p] : edges[p + 1]]]])
+            cut = [0, *np.searchsorted(k, bounds).tolist(), len(k)]
+            there = [p for p in range(len(bounds) + 1) if cut[p] < cut[p + 1]]
+            return batch(BLOCKS, file=[p // per for p in there], part=there, block=[to_block(k[cut[p] : cut[p + 1]], n[cut[p] : cut[p + 1]]) for p in there])
 
         for some in keys(batches):
             if tally.add(some):
@@ -338,40 +405,47 @@ def counted(table: DataFrame, keys, parts: int, least: int) -> DataFrame:
         yield out()
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, 1):
-            k, n = summed(*(np.concatenate(x) for x in zip(*map(from_block, g.column(1).to_pylist()))))
-            yield batch(COUNTS, key=k[n >= least], n=n[n >= least])
-
-    blocks = table.mapInArrow(run, "part int, block binary")
-    return blocks.repartition("part").sortWithinPartitions("part").mapInArrow(merge, "key long, n long")
-
-
-def sharded(rows: DataFrame, name: str, arrays) -> Shards:
-    """Writes rows (key, ...) sorted by key, a file for each task; arrays(columns) gives a file's arrays."""
-    folder = fresh_dir(rows.sparkSession, name)
-    where = rows.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    where.getFileSystem(rows.sparkSession.sparkContext._jsc.hadoopConfiguration()).mkdirs(where)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not parts:
-            return
-        columns = [np.concatenate(c) for c in zip(*parts)]
-        path = f"{folder}/{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
-        save(path, arrays(*columns))
-        yield batch(SHARDS, path=[path], first=[columns[0][0]], rows=[len(columns[0])])
-
-    ordered = rows.repartitionByRange("key").sortWithinPartitions("key")
-    return Shards.of(written(ordered.mapInArrow(run, SHARDS_DDL), f"{name}-shards"))
-
-
-def level(keys: np.ndarray, size: int, **more: np.ndarray) -> dict[str, np.ndarray]:
-    """Arrays of a level's shard: pointers to the children of each context from the first to the last one, and word numbers."""
-    context, word = np.divmod(keys, size)
-    base, contexts = int(context[0]), int(context[-1] - context[0]) + 1
-    pointers = np.searchsorted(context, np.arange(base, base + contexts + 1))
-    packed = {f"ptr_{k}": x for k, x in elias_fano(pointers, len(keys) + 1).items()}
-    return packed | {"word": word.astype(np.uint32), "base": np.array([base]), "contexts": np.array([contexts])} | more
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def file() -> pa.RecordBatch:
+            k, n = (np.concatenate(x) for x in zip(*held))
+            path = f"{folder}/{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}-{number}"
+            found, edges = arrays(k, n)
+            save(path, found)
+            places, weights = heavy(n)
+            return batch(SHARDS, path=[path], first=[k[0]], rows=[len(k)], total=[n.sum()], ends=[n[k == end].sum()], places=[places], weights=[weights], edges=[edges])
+
+        number = -1
+        for g in groups(batches, 2):
+            if held and g.column(0)[0].as_py() != number:
+                yield file()
+                held = []
+            number = g.column(0)[0].as_py()
+            k, n = summed(*(np.concatenate(x) for x in zip(*map(from_block, g.column(2).to_pylist()))))
+            if (n >= least).any():
+                held.append((k[n >= least], n[n >= least]))
+        if held:
+            yield file()
+
+    blocks = table.mapInArrow(run, BLOCKS_DDL).repartition("file").sortWithinPartitions("file", "part")
+    return sorted(written(blocks.mapInArrow(merge, SHARDS_DDL), f"{name}-shards").collect(), key=lambda r: r["first"])
+
+
+def level(keys: np.ndarray, n: np.ndarray, size: int, counts, discount: float, **more: np.ndarray) -> tuple[dict[str, np.ndarray], list[int]]:
+    """Arrays of a level's shard: pointers to the children of each context from the first to the last one and what it leaves, word numbers and
+    probabilities, where counts(contexts) gives how often contexts occur; and number, sum, kinds and count of the first and last context."""
+    context = keys // size
+    begin = runs(context)
+    some, kinds, mass = context[begin], np.diff(np.append(begin, len(keys))), np.add.reduceat(n, begin)
+    of = counts(some)
+    base, contexts = int(some[0]), int(some[-1] - some[0]) + 1
+    pointers, rest = np.zeros(contexts + 1, np.int64), np.zeros(contexts, np.uint16)
+    pointers[some - base + 1] = kinds
+    rest[some - base] = left(mass, kinds, of, discount)
+    packed = {f"ptr_{k}": x for k, x in elias_fano(np.cumsum(pointers), len(keys) + 1).items()}
+    log = quantised(np.log10((n - discount) / np.repeat(of, kinds)))
+    edges = [int(x[k]) for k in sorted({0, len(some) - 1}) for x in (some, mass, kinds, of)]
+    return packed | {"word": (keys - context * size).astype(np.uint32), "log": log, "rest": rest, "base": np.array([base]), "contexts": np.array([contexts])} | more, edges
 
 
 def word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
@@ -428,14 +502,12 @@ def train(texts: DataFrame, least: tuple[int, int] = (1, 2), discount: float = 0
     spark = texts.sparkSession
     parts = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     model = Model(discount=discount)
-    path = write_to(counted(texts, word_keys, parts, 1), "words")
-    words = spark.read.schema(COUNTS_DDL).parquet(path)
-    found = words.agg(F.sum("n"), F.max(F.when(F.col("key") == F.lit(int(np.array([END], np.uint64).view(np.int64)[0])), F.col("n")))).first()
-    if not found[0]:
+    even = np.array([(k << 64) // parts - (1 << 63) for k in range(1, parts)], np.int64)  # of hashes
+    words = counted(texts, word_keys, "level1", even, 1, lambda key, n: ({"key": key, "count": fitting(n)}, []))
+    if not words:
         return model, pairs_table(numbers_table(texts, model), spark, model)
-    model.total, model.texts = int(found[0]), int(found[1])
-    model.words = sharded(words, "level1", lambda key, n: {"key": key, "count": fitting(n)})
-    delete_dir(spark, path)
+    model.total, model.texts = sum(r["total"] for r in words), sum(r["ends"] for r in words)
+    model.words = Shards.of(words, discount)
     size = model.size
     if size >= 1 << 31:
         raise ValueError("more than 2**31 distinct words")
@@ -449,22 +521,8 @@ def train(texts: DataFrame, least: tuple[int, int] = (1, 2), discount: float = 0
                 at = np.flatnonzero(s.new & (np.arange(len(numbers)) > s.begin) & ~row.held_out[s.text])
                 yield numbers[at - 1] * size + numbers[at]
 
-    counts = write_to(counted(first, pair_keys, parts, least[0]), "pairs")
-    pairs = spark.read.schema(COUNTS_DDL).parquet(counts)
-    masses = pairs.groupBy((F.expr(f"key div {size}")).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-
-    def rest1(key, n, kinds):
-        return {"key": key, "log": quantised(np.log10(np.maximum(1 - (n - discount * kinds) / model.word_counts(key), 1e-12)))}
-
-    model.rest1 = sharded(masses, "rest1", rest1)
-
-    def level2(key, n):
-        context, word = np.divmod(key, size)
-        p = (n - discount) / model.word_counts(context) + 10 ** (model.left(model.rest1, context) + model.base(model.word_counts(word)))
-        return level(key, size, log=quantised(np.log10(p)), count=fitting(n))
-
-    model.pairs = sharded(pairs, "level2", level2)
-    delete_dir(spark, counts)
+    pairs = counted(first, pair_keys, "level2", bounds_of(words, size, parts, model.texts), least[0], lambda key, n: level(key, n, size, model.word_counts, discount, count=fitting(n)))
+    model.pairs = Shards.of(pairs, discount)
     if int(model.pairs.offset[-1]) * size >= 1 << 63:
         raise ValueError("numbers of triples exceed 63 bits")
     table = pairs_table(path, spark, model)
@@ -477,23 +535,8 @@ def train(texts: DataFrame, least: tuple[int, int] = (1, 2), discount: float = 0
                 at = at[pair[at - 1] >= 0]
                 yield pair[at - 1] * size + numbers[at]
 
-    counts = write_to(counted(table, triple_keys, parts, least[1]), "triples")
-    triples = spark.read.schema(COUNTS_DDL).parquet(counts)
-    masses = triples.groupBy((F.expr(f"key div {size}")).alias("key")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("kinds"))
-
-    def rest2(key, n, kinds):
-        return {"key": key, "log": quantised(np.log10(np.maximum(1 - (n - discount * kinds) / model.pairs.get(key, "count"), 1e-12)))}
-
-    model.rest2 = sharded(masses, "rest2", rest2)
-
-    def level3(key, n):
-        context, word = np.divmod(key, size)
-        shorter = model.pairs.child(model.pairs.get(context, "word"), word, size)
-        p = (n - discount) / model.pairs.get(context, "count") + 10 ** (model.left(model.rest2, context) - STEP * model.pairs.get(shorter, "log"))
-        return level(key, size, log=quantised(np.log10(p)))
-
-    model.triples = sharded(triples, "level3", level3)
-    delete_dir(spark, counts)
+    triples = counted(table, triple_keys, "level3", bounds_of(pairs, size, parts), least[1], lambda key, n: level(key, n, size, lambda rows: model.pairs.get(rows, "count"), discount))
+    model.triples = Shards.of(triples, discount)
     return model, table
 
 

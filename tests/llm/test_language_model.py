@@ -79,3 +79,24 @@ def test_scores_against_dictionaries(documents, messy, nothing, monkeypatch, seg
 def test_without_training_texts(spark):
     r = lm.score(spark.createDataFrame([(None, "a b")], "doc_id long, text string")).first()
     assert (r["n_tokens"], r["n_known"], r["train_tokens"], r["score"]) == (3, 0, 0, 0.0)
+
+
+def test_counts_are_added_up_into_shards(spark, monkeypatch):
+    """No single count goes through a sort or an aggregate of Spark; a context that fills several shards leaves one mass."""
+    texts = [" ".join(f"the x{(7 * i + k) % 500}" for k in range(20)) for i in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "text", "id < 0 as held_out").repartition(3)
+
+    def refuse(*_, **__):
+        raise AssertionError("counts pass through Spark row by row")
+
+    for name in ("repartitionByRange", "groupBy", "agg"):
+        monkeypatch.setattr(type(docs), name, refuse)
+    model, _ = lm.train(docs)
+    pairs = collections.Counter(p for t in texts for p in zip(["\r", *t.split()], [*t.split(), "\n"]))
+    assert int(model.pairs.offset[-1]) == len(pairs) and len(model.pairs.paths) > 1
+    the = model.numbers(lm.hashes("the")[1:2])
+    assert the[0] in model.pairs.split
+    n = sum(c for (a, _), c in pairs.items() if a == "the")
+    kinds = sum(a == "the" for a, _ in pairs)
+    rest = lm.mass_left(model.pairs.rest(the, model.size))[0]
+    assert abs(math.log10(rest) - math.log10(0.75 * kinds / n)) <= lm.STEP
