@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embeddings, language_model, licenses, neardup, packing, quality, substrings, token_counts, warc
+from tessera.llm import decontaminate, embeddings, language_model, licenses, neardup, packing, periodic, quality, substrings, token_counts, warc
 from tessera.session import read
 
 
@@ -53,10 +53,17 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98, tables=32, bits=16)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_licenses, op4_near_duplicates, op5_pack, op6_warc, op7_lm_score, op8_quality, op9_token_counts, op10_embedding_dups)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(periodic.detect(periodic.repeat_tails(read(spark, sf_dir, "documents")), min_length=12))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_licenses, op4_near_duplicates, op5_pack, op6_warc, op7_lm_score, op8_quality, op9_token_counts, op10_embedding_dups, op13_periodic_runs)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+#: CRC-32 of a decimal doc_id, bit by bit.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::bigint, flatten([[ascii(ch)::bigint, -1, -1, -1, -1, -1, -1, -1, -1] for ch in string_split(doc_id::varchar, '')])), lambda c, x: case when x >= 0 then xor(c, x) when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end), 4294967295)"
+
 _LINE = f"regexp_replace(lower(x), '{licenses.COPYRIGHT}', '', 'g')"
 for _from, _to in licenses.EQUIVALENT:
     _LINE = f"regexp_replace({_LINE}, '{_from}', '{_to.replace(chr(39), chr(39) * 2)}', 'g')"
@@ -90,4 +97,17 @@ l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label
 r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a),
 c as (select a as vec_id, min(b) as component_id from r group by a), n as (select a as vec_id, count(*) as n_links from l group by a)
 select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, component_id = vec_id as kept from c left join n using (vec_id)""",
+    "op13_periodic_runs": f"""
+with d as (select row_number() over () as row, doc_id, {_CRC32} as h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+e as (select *, h // 10 as g, len(w) as n from d), a as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from e),
+t as (select row, i - 1 as i, w[case when a is null or i <= a then i else a + (i - 1 - a) % (1 + (n - a) // (3 + g % 8)) + 1 end] as word from (select *, unnest(range(1, n + 1)) as i from a)),
+s as (select row, i, concat_ws(' ', word, lead(word, 1) over x, lead(word, 2) over x, lead(word, 3) over x, lead(word, 4) over x, lead(word, 5) over x) as six, lead(word, 5) over x is not null as whole from t window x as (partition by row order by i)),
+p as (select l.row, l.i, r.i - l.i as q from s l join s r on l.row = r.row and l.six = r.six and l.i < r.i where l.whole and r.whole),
+c as (select row, q, min(i) as start, count(*) + 5 + q as length from (select *, i - row_number() over (partition by row, q order by i) as island from p) group by row, q, island having count(*) + 5 + q >= greatest(12, 2 * q)),
+r as (select * from c where not exists (select 1 from c o where o.row = c.row and o.q < c.q and o.start <= c.start and o.start + o.length >= c.start + c.length)),
+b as (select row, count(*) as n_runs, max(struct_pack(length := length, start := -start, q := -q)) as top, string_agg(start || ',' || length || ',' || q || chr(10), '' order by start, q) as lines from r group by row),
+g as (select distinct row, unnest(range(start + q, start + length)) as i from r),
+k as (select row, string_agg(word, ' ' order by i) as collapsed from t anti join g using (row, i) group by row)
+select doc_id, coalesce(n_runs, 0)::bigint as n_runs, -top.start::bigint as start, top.length::bigint as length, -top.q::bigint as period, (1000 * top.length // -top.q)::bigint as exponent_milli, sha256(coalesce(lines, '')) as runs_sha256, sha256(coalesce(collapsed, '')) as collapsed_sha256
+from d left join b using (row) left join k using (row)""",
 }
