@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import decontaminate, embeddings, language_model, licenses, neardup, packing, periodic, quality, substrings, token_counts, warc
+from tessera.llm import collocations, decontaminate, embeddings, language_id, language_model, licenses, neardup, packing, periodic, quality, substrings, token_counts, warc
 from tessera.session import read
 
 
@@ -53,11 +53,20 @@ def op10_embedding_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.98, tables=32, bits=16)
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.identify(read(spark, sf_dir, "documents"), folds=4, fold=2)
+    return found.select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top(read(spark, sf_dir, "documents"), min_count=10, most=2000, within=50)
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.detect(periodic.repeat_tails(read(spark, sf_dir, "documents")), min_length=12))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_licenses, op4_near_duplicates, op5_pack, op6_warc, op7_lm_score, op8_quality, op9_token_counts, op10_embedding_dups, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_substring_dedup, op3_licenses, op4_near_duplicates, op5_pack, op6_warc, op7_lm_score, op8_quality, op9_token_counts, op10_embedding_dups, op11_language_id, op12_collocations, op13_periodic_runs)}
 
 _WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
@@ -97,6 +106,21 @@ l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label
 r as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from r join l on r.b = l.a),
 c as (select a as vec_id, min(b) as component_id from r group by a), n as (select a as vec_id, count(*) as n_links from l group by a)
 select vec_id, coalesce(n_links, 0)::bigint as n_links, component_id, component_id = vec_id as kept from c left join n using (vec_id)""",
+    "op12_collocations": """
+with d as (select row_number() over () as row, coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, row, unnest(range(1, len(x) + 1)) as piece, unnest(x) as t from (select *, regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]') as x from d)),
+w as (select lang, row, piece, unnest(range(1, len(x) + 1)) as i, unnest(x) as a from (select *, regexp_extract_all(t, '[^\\x20\\x09]+') as x from p)),
+t as (select lang, a, lead(a, 1) over o as b, lead(a, 2) over o as c from w window o as (partition by row, piece order by i)),
+n as (select lang, count(*) as n from t group by lang), f1 as (select lang, a, count(*) as f from t group by all), f2 as (select lang, a, b, count(*) as f from t where b is not null group by all),
+f3 as (select lang, a, b, c, count(*) as f from t where c is not null group by all having count(*) >= 10),
+two as (select x.lang, x.a || ' ' || x.b as phrase, x.f as a, y.f as l, z.f as r, (1000000::hugeint * x.f * x.f) // (y.f::hugeint * z.f) as score from f2 x join f1 y on x.lang = y.lang and x.a = y.a join f1 z on x.lang = z.lang and x.b = z.a where x.f >= 10),
+cuts as (select x.lang, x.a || ' ' || x.b || ' ' || x.c as phrase, x.f as a, l1.f as l1, r1.f as r1, l2.f as l2, r2.f as r2, (1000000::hugeint * x.f * x.f) // (l1.f::hugeint * r1.f) as s1, (1000000::hugeint * x.f * x.f) // (l2.f::hugeint * r2.f) as s2
+  from f3 x join f1 l1 on x.lang = l1.lang and x.a = l1.a join f2 r1 on x.lang = r1.lang and x.b = r1.a and x.c = r1.b join f2 l2 on x.lang = l2.lang and x.a = l2.a and x.b = l2.b join f1 r2 on x.lang = r2.lang and x.c = r2.a),
+three as (select lang, phrase, a, case when s2 < s1 then l2 else l1 end as l, case when s2 < s1 then r2 else r1 end as r, least(s1, s2) as score from cuts),
+inner2 as (select lang, phrase, max(f) as f from (select lang, a || ' ' || b as phrase, f from f3 union all select lang, b || ' ' || c, f from f3) group by all),
+k as (select * from three union all select two.* from two left join inner2 i on two.lang = i.lang and two.phrase = i.phrase where i.f is null or 100 * i.f < 50 * two.a),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from k)
+select o.lang, rank::bigint as rank, phrase, a::bigint as a, l::bigint as l, r::bigint as r, n::bigint as n, score::bigint as score from o join n on o.lang = n.lang where rank <= 2000""",
     "op13_periodic_runs": f"""
 with d as (select row_number() over () as row, doc_id, {_CRC32} as h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
 e as (select *, h // 10 as g, len(w) as n from d), a as (select *, case when h % 10 = 0 and n > 0 then g % n end as a from e),
