@@ -24,10 +24,9 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm.common import groups, sliced, written
+from tessera.llm.common import groups, lowest, sliced, written
 
 #: Fixed values. Lower-case A-Z; the marks .,;:!? and 0x0A to 0x0D end a piece (0xFF, which UTF-8 has not); blanks and tabs part words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\v\f\r" else b for b in range(256))
@@ -188,7 +187,7 @@ def splitters(rows: DataFrame, range_words: int, sample_docs: int, least_ranges:
     return [(k[0].decode(), *k[1:]) for k in chosen]
 
 
-def nodes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 10, shard_words: int = 4_000_000, range_words: int = 8_000_000, sample_docs: int = 20_000) -> DataFrame:
+def nodes(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 10, shard_words: int = 4_000_000, range_words: int = 8_000_000, sample_docs: int = 5000) -> DataFrame:
     """Nodes of the merged tries, as walk() gives them, in a table of the shared folder."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang")).where("text is not null")
@@ -278,10 +277,6 @@ def top(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_cou
     longer = parts.groupBy("lang", "phrase").agg(F.max("a").alias("longer"))
     kept = every.where("depth = 3").drop("depth").unionByName(every.where("depth = 2").join(longer, ["lang", "phrase"], "left").where(F.coalesce(F.col("longer") * 100 < F.col("a") * within, F.lit(True))).drop("depth", "longer"))
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    salts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a language may have most candidates: first the best of each part of them
-    kept = kept.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(salts)))
-    kept = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).where(F.col("rank") <= most)
-    kept = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= most)
+    kept = lowest(kept, most, "lang", order, F.col("phrase"))
     sizes = found.where("depth = 0").groupBy("lang").agg(F.sum("a").alias("n"))
     return kept.join(sizes, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -8,7 +8,9 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 from tessera.session import shared_dir
 
@@ -71,6 +73,16 @@ def sliced(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
             yield b.slice(k, rows)
 
 
+def lowest(df: DataFrame, most: int, by: str, order: list, spread: Column) -> DataFrame:
+    """The first ``most`` rows of each value of a column, with their rank. As one value may have most rows, the first of each
+    part of it are taken before: of 1,024 parts by a hash of ``spread``, then of 32, so that no window has more than 32 times ``most`` rows but those of the parts."""
+    part = F.pmod(F.xxhash64(spread), F.lit(1024))
+    for parts in (1024, 32):
+        df = df.withColumn("_part", F.pmod(part, F.lit(parts)))
+        df = df.withColumn("rank", F.row_number().over(W.partitionBy(by, "_part").orderBy(*order))).where(F.col("rank") <= most)
+    return df.drop("_part").withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order)).cast("long")).where(F.col("rank") <= most)
+
+
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 

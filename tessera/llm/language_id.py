@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import sliced
+from tessera.llm.common import lowest, sliced
 from tessera.llm.neardup import C3, U, mix
 
 WORD = regex.compile(r"\p{L}[\p{L}\p{M}]*")
@@ -168,11 +168,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: in
     known = known.where("lang is not null and text is not null")
     often = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).select("lang")
     sizes = known.select("lang", "id", F.length("text").alias("size"), F.xxhash64("id").alias("key")).where(f"size between 1 and {max_chars}").join(F.broadcast(often), "lang")
-    # a language may have most rows: first the lowest of each part of them
-    salt = F.pmod(F.xxhash64("key"), F.lit(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
-    low = lambda *by: F.row_number().over(W.partitionBy("lang", *by).orderBy("key", "id"))
-    sizes = sizes.groupBy("lang", "id", "key").agg(F.min("size").alias("size")).withColumn("salt", salt)
-    sizes = sizes.withColumn("nth", low("salt")).where(F.col("nth") <= max_docs).withColumn("nth", low()).where(F.col("nth") <= max_docs)
+    sizes = lowest(sizes.groupBy("lang", "id", "key").agg(F.min("size").alias("size")), max_docs, "lang", [F.asc("key"), F.asc("id")], F.col("key")).withColumnRenamed("rank", "nth")
     until = F.sum("size").over(W.partitionBy("lang").orderBy("nth").rowsBetween(W.unboundedPreceding, 0))
     # at most max_langs * max_docs ids
     chosen = F.broadcast(sizes.withColumn("until", until).where(F.col("until") <= max_chars).select("lang", "id"))
