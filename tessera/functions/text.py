@@ -43,6 +43,12 @@ def fold(c: Column) -> Column:
     return strip_accents(F.lower(c))
 
 
+def folded(text: str) -> str:
+    """A constant in the form of fold()."""
+    lowered = text.lower().replace("đ", "d")
+    return "".join(x for x in unicodedata.normalize("NFD", lowered) if unicodedata.category(x) != "Mn")
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

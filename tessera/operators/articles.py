@@ -77,7 +77,7 @@ def chunks(df: DataFrame, key: str, text: str, size: int = 1000, overlap: int =
 def aliases(title: Column, number: Column, prefixes: tuple[str, ...] = ("luat ", "nghi dinh ", "thong tu ", "bo luat ")) -> Column:
     """Names a document goes by: title, number, and the folded title without its kind."""
     folded = F.lower(T.strip_accents(F.coalesce(title, F.lit(""))))
-    bare = F.coalesce(*(F.when(F.startswith(folded, F.lit(p)), F.substring(folded, len(p) + 1, 1 << 20)) for p in prefixes))
+    bare = F.coalesce(*(F.when(F.startswith(folded, F.lit(p)), F.substr(folded, F.lit(len(p) + 1))) for p in prefixes))
     return F.array_distinct(F.filter(F.array(title, number, bare), lambda x: F.coalesce(x, F.lit("")) != ""))
 
 

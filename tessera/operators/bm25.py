@@ -1,4 +1,4 @@
-"""Keyword search: index tables, BM25, phrase search, exact search, title and body scores.
+"""Keyword search: index tables, BM25, exact search, title and body scores; keyword_index holds the stored index, best-k and phrase search.
 
 Queries run together as one plan. Only tokens that some query has leave the documents' scan, so
 what is shuffled follows the matches and not the corpus.
@@ -41,31 +41,6 @@ def score(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, doc_t
     return tf.join(weight, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
-def postings(docs: DataFrame, doc_id: str, tokens: Column) -> dict[str, DataFrame]:
-    """Tables of an index that all keyword searches of a corpus can read: postings (doc_id, token, tf, dl, kinds), sorted by token so that a
-    search reads the files of its tokens, and stats (n_docs, avgdl)."""
-    t = docs.select(F.col(doc_id).alias("doc_id"), tokens.alias("t"))
-    each = t.select("doc_id", F.size("t").alias("dl"), F.size(F.array_distinct("t")).alias("kinds"), F.explode("t").alias("token"))
-    tf = each.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"), F.max("kinds").alias("kinds"))
-    return {"postings": tf.repartitionByRange("token").sortWithinPartitions("token"), "stats": t.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.size("t")).alias("avgdl"))}
-
-
-def score_index(index_: dict[str, DataFrame], queries: DataFrame, query_id: str, query_tokens: Column, k1: float = K1, b: float = B) -> DataFrame:
-    """score() from the tables of postings(): no text is read."""
-    wanted = queries.select(F.col(query_id).alias("query_id"), F.explode(query_tokens).alias("token")).groupBy("query_id", "token").agg(F.count(F.lit(1)).alias("times"))
-    tf = index_["postings"].join(wanted.select("token").distinct(), "token", "left_semi")
-    weight = wanted.join(tf.groupBy("token").agg(F.count(F.lit(1)).alias("df")), "token").crossJoin(index_["stats"])  # one row of statistics
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = F.col("times") * idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return tf.join(weight, "token").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
-
-
-def shared_tokens(index_: dict[str, DataFrame], queries: DataFrame, query_id: str, query_tokens: Column) -> DataFrame:
-    """(query_id, doc_id, shared, n_query, n_doc): distinct tokens that a query and a document share, from the tables of postings()."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.array_distinct(query_tokens).alias("t")).select("query_id", F.size("t").alias("n_query"), F.explode("t").alias("token"))
-    return q.join(index_["postings"].select("doc_id", "token", "kinds"), "token").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("shared"), F.max("n_query").alias("n_query"), F.max("kinds").alias("n_doc"))
-
-
 def top(scored: DataFrame, k: int) -> DataFrame:
     """The best k documents of each query, ties by smallest id."""
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("doc_id"))
@@ -86,19 +61,6 @@ def normalised(scored: DataFrame, k: int) -> DataFrame:
     return wide.withColumn("normalised", F.round(scaled, 6)).where(F.col("rank") <= k)
 
 
-def phrase_hits(docs: DataFrame, phrases: DataFrame, doc_id: str, phrase_id: str, doc_text: str, phrase_text: str) -> DataFrame:
-    """(phrase_id, doc_id) where a document has all tokens of a phrase and then the phrase itself. The token with the
-    fewest documents brings candidates together."""
-    p = phrases.select(F.col(phrase_id).alias("phrase_id"), F.lower(phrase_text).alias("phrase"), F.array_distinct(T.tokens(F.col(phrase_text), ())).alias("t")).where(F.size("t") > 0)
-    wanted = p.select("phrase_id", F.explode("t").alias("token"))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.lower(doc_text).alias("text"))
-    words = d.select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text"), ()))).alias("token")).join(wanted.select("token").distinct(), "token", "left_semi")
-    df = words.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    rare = wanted.join(df, "token").withColumn("_r", F.row_number().over(Window.partitionBy("phrase_id").orderBy("df", "token"))).where("_r = 1")
-    pairs = words.join(rare.select("phrase_id", "token"), "token").select("phrase_id", "doc_id")
-    return pairs.join(p.select("phrase_id", "phrase"), "phrase_id").join(d, "doc_id").where(F.contains("text", F.col("phrase"))).select("phrase_id", "doc_id")
-
-
 def token_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_tokens: Column, right_tokens: Column) -> DataFrame:
     """(left_id, right_id, shared, n_left, n_right) of rows that share a distinct token, by joining on tokens."""
     l = left.select(F.col(left_id).alias("left_id"), F.array_distinct(left_tokens).alias("t")).select("left_id", F.size("t").alias("n_left"), F.explode("t").alias("token"))

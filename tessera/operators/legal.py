@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,28 +115,3 @@ def articles(df: DataFrame, key: str, text: str, heading: str = r"(?iu)^\**\s*Đ
     """(key, article_no, content): blocks from each heading to before the next one."""
     marked = F.regexp_replace(text, f"(?m)({heading})", "\u0001$1")
     return df.select(F.col(key), F.posexplode(F.filter(F.split(marked, "\u0001"), lambda b: F.regexp_like(b, F.lit(heading)))).alias("article_no", "content")).select(key, "article_no", T.strip(F.col("content")).alias("content"))
-
-
-#: What relates a document to the numbers after it.
-RELATIONS = (("REPLACES", r"(?iu)thay thế|bãi bỏ|hết hiệu lực"), ("AMENDS", r"(?iu)sửa đổi|bổ sung"), ("GUIDED_BY", r"(?iu)hướng dẫn|quy định chi tiết|căn cứ"))
-
-
-def relations(df: DataFrame, key: str, number: str, text: str, pattern: str = r"\d+/\d{4}/[A-ZĐ\-0-9]+", within: int = 300) -> DataFrame:
-    """(key, relation, ref, start): numbers in a text, under the nearest relation word before them within so many characters.
-    Offsets of matches are needed, which Spark has no function for: Arrow batches, a document at a time. Own numbers go."""
-    find, words = pattern, RELATIONS
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ref = regex.compile(find)
-        kinds = [(name, regex.compile(p)) for name, p in words]
-        for f in frames:
-            out = []
-            for k, own, t in zip(f["k"], f["n"], f["t"]):
-                signals = sorted((m.end(), name) for name, p in kinds for m in p.finditer(t or ""))
-                for m in ref.finditer(t or ""):
-                    near = [name for end, name in signals if 0 <= m.start() - end <= within]
-                    if near and m[0] != own:
-                        out.append((k, near[-1], m[0], m.start()))
-            yield pd.DataFrame(out, columns=[key, "relation", "ref", "start"])
-
-    return df.select(F.col(key).cast("long").alias("k"), F.col(number).alias("n"), F.col(text).alias("t")).mapInPandas(run, f"{key} long, relation string, ref string, start long")

@@ -87,11 +87,12 @@ def _given(*items: Column) -> Column:
 
 
 def domains(question: Column, rules: dict[str, tuple[str, ...]] | None = None, taxonomy: dict[str, list[str]] | None = None) -> Column:
-    """Domains of a question, in order: the main one where its phrases occur or no other does, then those of the rules, then those of a taxonomy."""
+    """Domains of a question, in order: the main one where its phrases occur or no other does, then those of the rules, then those of a taxonomy,
+    whose keywords are folded as the question is."""
     q = T.fold(question)
     main = holds(q, MAIN_PHRASES)
     named = [F.when(holds(q, words), F.lit(d)) for d, words in (rules or DOMAINS).items()]
-    named += [F.when(holds(q, [w.lower() for w in words]), F.lit(d)) for d, words in (taxonomy or {}).items() if d != MAIN_DOMAIN]
+    named += [F.when(holds(q, [T.folded(w) for w in words]), F.lit(d)) for d, words in (taxonomy or {}).items() if d != MAIN_DOMAIN]
     named.append(F.when(F.contains(q, F.lit("nuoc ngoai")) & holds(q, ("gop von", "dau tu")), F.lit("investment_law")))
     others = F.array_distinct(_given(*named))
     return F.when(main | (F.size(others) == 0), F.concat(F.array(F.lit(MAIN_DOMAIN)), others)).otherwise(others)
@@ -182,7 +183,7 @@ def check(questions: DataFrame, seeds: DataFrame, taxonomy: dict[str, list[str]]
     satellites = F.filter("_domains", lambda x: x != MAIN_DOMAIN)
     matching = F.lit(False)
     for name, words in (taxonomy or {}).items():
-        matching = matching | (F.array_contains(satellites, name) & holds(t, [w.lower() for w in words]))
+        matching = matching | (F.array_contains(satellites, name) & holds(t, [T.folded(w) for w in words]))
     against = [
         F.when(F.col("top") < least, "top_score_below_threshold"), F.when(F.col("n") < least_seeds, "insufficient_seed_chunks").when(F.col("gap") < least_gap, "weak_score_gap"),
         F.when(~F.coalesce("cited", F.lit(False)), "missing_legal_citation"), F.when(~F.coalesce("sourced", F.lit(False)), "missing_source_url"),

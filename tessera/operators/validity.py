@@ -15,13 +15,18 @@ from tessera.functions import text as T
 KIND = r"/(QH\d+|NĐ-CP|TT-[A-Z]+|QĐ-[A-Z]+|CT-[A-Z]+|TLT-[A-Z]+|VBHN-[A-Z]+)(?:/|$)"
 RANKS = {"QH": 1, "NĐ-CP": 2, "TT-": 3, "TLT-": 3, "QĐ-": 4, "CT-": 4, "VBHN-": 5}
 CHANGING = ("AMENDS", "REPLACES")
-#: Words that show a relation, numbers of documents, references between chunks, and what excludes one.
+#: Words that show a relation, each one's first place counts; numbers of documents, references between chunks, and what excludes one.
 SHOWS = {
-    "GUIDED_BY": r"(?iu)căn\s+cứ\s+vào|phù\s+hợp\s+với|hướng\s+dẫn\s+thi\s+hành|hướng\s+dẫn\s+thực\s+hiện|hướng\s+dẫn\s+một\s+số\s+nội\s+dung|theo\s+quy\s+định\s+tại",
-    "AMENDS": r"(?iu)sửa\s+đổi|bổ\s+sung",
-    "REPLACES": r"(?iu)thay\s+thế|bãi\s+bỏ",
+    "GUIDED_BY": (r"căn\s+cứ\s+vào", r"phù\s+hợp\s+với", r"hướng\s+dẫn\s+thi\s+hành", r"hướng\s+dẫn\s+thực\s+hiện", r"hướng\s+dẫn\s+một\s+số\s+nội\s+dung", r"theo\s+quy\s+định\s+tại"),
+    "AMENDS": (r"sửa\s+đổi,\s*bổ\s+sung", r"sửa\s+đổi", r"bổ\s+sung"),
+    "REPLACES": (r"thay\s+thế\s+toàn\s+bộ", r"thay\s+thế", r"bãi\s+bỏ\s+toàn\s+bộ", r"bãi\s+bỏ"),
 }
-NUMBER = r"(?<![\p{L}\p{N}_])\d+/\d{4}/[A-ZĐ0-9\-]+(?![\p{L}\p{N}_])"
+NUMBER = r"(?U)\b\d+/\d{4}/[A-ZĐ0-9\-]+\b"
+#: Reasons against a relation, in the order of their checks.
+REASONS = (
+    "same_law_different_year_is_replacement_not_amendment", "multiple_docs_in_context_ambiguous", "context_shows_guided_by_not_amends", "context_shows_amends_not_guided", "context_shows_replaces_not_amends",
+    "target_too_far_from_relation_keyword",
+)
 REFERENCE = r"(?iu)Điều\s+(\d+).*?(?:Nghị\s+định|Luật|Thông\s+tư)\s+số\s+(\d+/\d{4}/[A-ZĐ0-9\-]+)"
 EXCLUDES = r"(?iu)không\s+áp\s+dụng|ngoại\s+trừ|trừ\s+trường\s+hợp|không\s+bao\s+gồm"
 
@@ -50,9 +55,10 @@ def year_allows(source: Column, target: Column, relation: Column, source_text: C
 
 def by_words(context: Column, relation: Column, source: Column, target: Column, within: int = 300) -> Column:
     """What the words around a relation say of it, as a struct: valid, the relation they show, and a reason. In order: one document of two
-    years; more than two documents; words of another relation; a target farther than ``within`` characters from every word."""
+    years; more than two documents; words of another relation; a target farther than ``within`` characters from the first place of every word."""
     bare = lambda c: F.regexp_replace(c, r"/\d{4}/", "")
-    shows = {k: F.regexp_like(context, F.lit(p)) for k, p in SHOWS.items()}
+    low = F.lower(context)
+    shows = {k: F.regexp_like(low, F.lit("(?U)" + "|".join(words))) for k, words in SHOWS.items()}
     sequel = (F.coalesce(source, F.lit("")) != "") & (F.coalesce(target, F.lit("")) != "") & (bare(source) == bare(target)) & (source != target)
     several = F.size(F.array_distinct(F.regexp_extract_all(context, F.lit(NUMBER), F.lit(0)))) > 2
     guided = relation.isin(*CHANGING) & shows["GUIDED_BY"] & ~shows["AMENDS"] & ~shows["REPLACES"]
@@ -60,12 +66,13 @@ def by_words(context: Column, relation: Column, source: Column, target: Column,
     replaced = (relation == "AMENDS") & shows["REPLACES"] & ~shows["AMENDS"]
     # the first place of a word is the length of what stands before it
     at = F.nullif(F.instr(context, target), F.lit(0)) - 1
-    gaps = F.array(*(F.when(shows[k], F.abs(at - F.length(F.regexp_extract(context, f"(?isu)^(.*?)(?:{p.removeprefix('(?iu)')})", 1)))) for k, p in SHOWS.items()))
+    place = lambda w: F.when(F.regexp_like(low, F.lit(f"(?U){w}")), F.length(F.regexp_extract(low, f"(?Us)^(.*?)(?:{w})", 1)))
+    gaps = F.transform(F.array(*(place(w) for words in SHOWS.values() for w in words)), lambda p: F.abs(at - p))
     far = F.coalesce(F.array_min(F.filter(gaps, lambda g: g.isNotNull())) > within, F.lit(False))
     verdict = lambda kind, why: F.struct(F.lit(False).alias("valid"), kind.alias("relation"), F.lit(why).alias("reason"))
     return (
-        F.when(sequel, verdict(F.lit("REPLACES"), "same_document_of_another_year")).when(several, verdict(relation, "several_documents")).when(guided, verdict(F.lit("GUIDED_BY"), "words_of_guidance"))
-        .when(amended, verdict(F.lit("AMENDS"), "words_of_amendment")).when(replaced, verdict(F.lit("REPLACES"), "words_of_replacement")).when(far, verdict(relation, "target_far_from_words"))
+        F.when(sequel, verdict(F.lit("REPLACES"), REASONS[0])).when(several, verdict(relation, REASONS[1])).when(guided, verdict(F.lit("GUIDED_BY"), REASONS[2]))
+        .when(amended, verdict(F.lit("AMENDS"), REASONS[3])).when(replaced, verdict(F.lit("REPLACES"), REASONS[4])).when(far, verdict(relation, REASONS[5]))
         .otherwise(F.struct(F.lit(True).alias("valid"), relation.alias("relation"), F.lit("").alias("reason")))
     )
 
@@ -121,7 +128,7 @@ PREFIXES = ("rewritten standalone query:", "standalone query:", "rewritten query
 def clean_rewrite(c: Column) -> Column:
     """The first line of a rewritten question, without code marks, a known prefix and quotes."""
     line = F.trim(F.split(T.strip(F.replace(T.strip(c), F.lit("```"), F.lit(""))), r"\r\n|\r|\n")[0])
-    bare = F.coalesce(*(F.when(F.startswith(F.lower(line), F.lit(p)), F.trim(F.substring(line, len(p) + 1, 1 << 20))) for p in PREFIXES), line)
+    bare = F.coalesce(*(F.when(F.startswith(F.lower(line), F.lit(p)), F.trim(F.substr(line, F.lit(len(p) + 1)))) for p in PREFIXES), line)
     return F.trim(F.regexp_replace(bare, "^[\"'“”‘’]+|[\"'“”‘’]+$", ""))
 
 

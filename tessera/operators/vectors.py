@@ -15,25 +15,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
+from tessera.session import scratch
 
 PAIRS = "query_id long, vec_id long, score double"
 
 
+def unit(m: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay."""
+    n = np.sqrt((m * m).sum(1, keepdims=True))
+    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
+
+
+def blocks_of(queries: DataFrame, query_id: str, vector: str, block: int) -> Iterator[list]:
+    """Queries with an id and a vector, in lists of at most ``block`` pairs on the driver."""
+    some: list = []
+    for r in queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null and v is not null").toLocalIterator():
+        some.append((r["q"], list(r["v"])))
+        if len(some) == block:
+            yield some
+            some = []
+    if some:
+        yield some
+
+
+def gathered(spark, found: DataFrame) -> DataFrame:
+    """What a block of queries found, as a table of the shared folder: the plan of the next block does not grow by it."""
+    return scratch(found, "found")
+
+
 def compare(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, k: int | None, threshold: float | None, block: int = 4096, exclude_self: bool = True) -> DataFrame:
     """(query_id, vec_id, score): per query the best k rows by cosine, or all at or above a threshold; 0 for zero vectors. Queries of
     another length than a row are not compared with it. Queries go to the driver and out again in blocks of at most ``block`` vectors, a pass over the rows for each
-    block, so that what a task holds does not grow with the queries; rows are compared where they are read, by matrix product."""
-    q = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null and v is not null")
+    block, so that what a task holds does not grow with the queries; where there are several blocks, what each finds is written and its
+    queries are given up before the next. Rows are compared where they are read, by matrix product."""
     pairs = rows.select(F.col(row_id).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and v is not null")
     context = rows.sparkSession.sparkContext
 
-    def unit(m: np.ndarray) -> np.ndarray:
-        n = np.sqrt((m * m).sum(1, keepdims=True))
-        return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
-    def passed(some: list) -> DataFrame:
-        shared = context.broadcast(some)
-
+    def passed(shared) -> DataFrame:
         def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             asked = {}
             for width in {len(v) for _, v in shared.value}:
@@ -58,13 +76,15 @@ def compare(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vec
 
         return pairs.mapInPandas(best, PAIRS)
 
-    found, some = None, []
-    for r in q.toLocalIterator():
-        some.append((r["q"], list(r["v"])))
-        if len(some) == block:
-            found, some = passed(some) if found is None else found.unionByName(passed(some)), []
-    if some or found is None:
-        found = passed(some) if found is None else found.unionByName(passed(some))
+    parts, last = [], None
+    for some in blocks_of(queries, query_id, vector, block):
+        if last is not None:
+            parts.append(gathered(rows.sparkSession, passed(last)))
+            last.destroy()
+        last = context.broadcast(some)
+    found = passed(last if last is not None else context.broadcast([]))
+    for p in parts:
+        found = found.unionByName(p)
     if k is None:
         return found
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))

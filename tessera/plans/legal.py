@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import web
-from tessera.operators import answers, articles, bm25, fusion, routing, rules, validity, vectors
+from tessera.operators import answers, articles, bm25, fusion, relations, routing, rules, validity, vectors
 from tessera.plans import ranking
 from tessera.plans.ranking import LISTS, MERGED
 from tessera.plans.registry import registrar, sql_tokens
@@ -334,8 +334,8 @@ _CTXS = "[" + ", ".join(f"'{c}'" for c in _CTX) + "]"
 
 
 @query(f"""with x as (select l_orderkey as k, l_linenumber as l, ['AMENDS', 'GUIDED_BY', 'REPLACES'][l_linenumber % 3 + 1] as relation, l_suppkey % 5 as c, l_partkey % 4 as g from lineitem), y as (select *, case when g = 0 then '9/2001/NĐ' else '7/2003/QH' end as source, '9/2005/NĐ' as target, c in (0, 3) as guided, c = 1 as amends, c = 2 as replaces from x),
-v as (select *, case when g = 0 then 'same_document_of_another_year' when c = 3 then 'several_documents' when relation in ('AMENDS', 'REPLACES') and guided then 'words_of_guidance' when relation = 'GUIDED_BY' and amends then 'words_of_amendment' when relation = 'AMENDS' and replaces then 'words_of_replacement' when c < 3 and g = 1 then 'target_far_from_words' else '' end as reason from y)
-select k, l, reason = '' as valid, case reason when 'same_document_of_another_year' then 'REPLACES' when 'words_of_guidance' then 'GUIDED_BY' when 'words_of_amendment' then 'AMENDS' when 'words_of_replacement' then 'REPLACES' else relation end as relation, reason from v""")
+v as (select *, case when g = 0 then 'same_law_different_year_is_replacement_not_amendment' when c = 3 then 'multiple_docs_in_context_ambiguous' when relation in ('AMENDS', 'REPLACES') and guided then 'context_shows_guided_by_not_amends' when relation = 'GUIDED_BY' and amends then 'context_shows_amends_not_guided' when relation = 'AMENDS' and replaces then 'context_shows_replaces_not_amends' when c < 3 and g = 1 then 'target_too_far_from_relation_keyword' else '' end as reason from y)
+select k, l, reason = '' as valid, case reason when 'same_law_different_year_is_replacement_not_amendment' then 'REPLACES' when 'context_shows_guided_by_not_amends' then 'GUIDED_BY' when 'context_shows_amends_not_guided' then 'AMENDS' when 'context_shows_replaces_not_amends' then 'REPLACES' else relation end as relation, reason from v""")
 def relation_words(spark, d):
     li = read(spark, d, "lineitem")
     g = F.col("l_partkey") % 4
@@ -473,3 +473,43 @@ def level_texts(spark, d):
     chunk = p.select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, " own ").alias("embedding_text"), F.col("p_name").alias("doc_title"), F.col("p_type").alias("content"))
     a = doc.select("p_partkey", F.md5(vectors.level_text(doc, "document")).alias("document"))
     return a.join(chunk.select("p_partkey", F.md5(vectors.level_text(chunk, "chunk")).alias("chunk")), "p_partkey").withColumnRenamed("p_partkey", "k")
+
+
+#: Documents whose texts are led or followed by what relates them to another one, by their id modulo 8; the last kind says it in the middle only.
+_TAILS = {
+    1: " Văn bản này thay thế Nghị định {0}.", 2: " Sửa đổi,  bổ sung Nghị định {0}.", 3: " hướng dẫn thi hành, thay thế {0}.", 4: " liên quan đến việc thay thế {0}.", 5: " Bãi bỏ {1}.", 6: " bổ sung 1/2001/AA, 2/2002/BB, 3/2003/CC và {0}.",
+}
+
+
+def _related(spark, d):
+    i = F.col("doc_id")
+    m = i % 8
+    kind = F.when(F.floor(i / 8) % 2 == 0, "NĐ-CP").otherwise("TT-BTC")
+    other = F.concat((i - m + F.when(m == 2, 5).otherwise(2)).cast("string"), F.lit("/2020/"), kind)
+    before = F.concat(i.cast("string"), F.lit("/2018/"), kind)
+    tail = F.coalesce(*(F.when(m == k, F.replace(F.replace(F.lit(t), F.lit("{0}"), other), F.lit("{1}"), before)) for k, t in _TAILS.items()), F.lit(""))
+    body = F.coalesce("text", F.lit(""))
+    text = F.when(m == 0, F.concat(F.lit("Căn cứ Luật số "), other, F.lit(", "), body, F.lit(" Chú thích màu chỉ dẫn thay thế 9/2009/XX"))).when(m == 7, F.concat(F.repeat(F.lit("y "), 3000), F.lit("Căn cứ, thay thế "), other, F.repeat(F.lit(" z"), 3000))).otherwise(F.concat(body, tail))
+    return read(spark, d, "documents").where("doc_id is not null").select("doc_id", F.concat(i.cast("string"), F.lit("/2020/"), kind).alias("doc_number"), text.alias("text"))
+
+
+_RELATED = """with x as (select doc_id as i, doc_id % 8 as m, doc_id // 8 % 2 as g, length(coalesce(text, '')) as n from documents where doc_id is not null),
+y as (select i, m, n, case g when 0 then 'NĐ-CP' else 'TT-BTC' end as kind, i - m + case when m = 2 then 5 else 2 end as j from x), z as (select *, j || '/2020/' || kind as t from y),
+r as (select i, t, 'GUIDED_BY' as relation, 1.0::double as confidence, 15 as start, null::varchar as note from z where m = 0
+union all select i, t, 'REPLACES', 1.0, n + length(' Văn bản này thay thế Nghị định '), null from z where m = 1
+union all select i, t, 'AMENDS', 1.0, n + length(' Sửa đổi,  bổ sung Nghị định '), null from z where m = 2
+union all select i, i || '/2018/' || kind, 'REPLACES', 0.9, n + length(' Bãi bỏ '), 'same_law_different_year_is_replacement_not_amendment' from z where m = 5
+union all select i, t, 'AMENDS', 0.9, n + length(' bổ sung 1/2001/AA, 2/2002/BB, 3/2003/CC và '), 'multiple_docs_in_context_ambiguous' from z where m = 6
+union all select i, a, 'AMENDS', 1.0, n + 9 + b, null from z, (values ('1/2001/AA', 0), ('2/2002/BB', 11), ('3/2003/CC', 22)) v(a, b) where m = 6)"""
+
+
+@query(f"{_RELATED} select r.i::varchar as source_id, d.doc_id::varchar as target_id, t as target_number, relation, confidence, start::bigint as start, note from r left join (select i as doc_id, i || '/2020/' || case i // 8 % 2 when 0 then 'NĐ-CP' else 'TT-BTC' end as number from x) d on d.number = r.t")
+def document_relations(spark, d):
+    docs = _related(spark, d)
+    return relations.resolved(relations.documents(docs), docs).select("source_id", "target_id", "target_number", "relation", "confidence", "start", "note")
+
+
+@query(f"{_RELATED}, e as (select relation, d.i is not null as there from r left join (select i, i || '/2020/' || case i // 8 % 2 when 0 then 'NĐ-CP' else 'TT-BTC' end as number from x) d on d.number = r.t) select count(*) filter (there) as edges_written, count(*) filter (there and relation = 'GUIDED_BY') as guided_by_found, count(*) filter (there and relation = 'REPLACES') as replaces_found, count(*) filter (there and relation = 'AMENDS') as amends_found, count(*) filter (not there) as rejected_by_validation from e")
+def relation_counts(spark, d):
+    docs = _related(spark, d)
+    return relations.counts(relations.resolved(relations.documents(docs), docs))

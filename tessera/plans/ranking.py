@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scores as S
 from tessera.functions import text as T
 from tessera.functions import web
-from tessera.operators import bm25, evaluation, fusion, selection, vectors
+from tessera.operators import bm25, evaluation, fusion, keyword_index, selection, vectors
 from tessera.plans.registry import registrar, sql_tokens
 from tessera.session import read, shared_dir
 from tessera.sources import files
@@ -33,25 +33,25 @@ ovr as (select *, cast(row_number() over (partition by query_id order by score d
 
 
 def _index(spark, d):
-    """The keyword index of the documents: written once for their fingerprint, read by every query that searches them."""
-    docs = read(spark, d, "documents")
-    name = files.fingerprint(docs, "doc_id", "text")
-    paths = files.persist_index(bm25.postings(docs, "doc_id", T.tokens(F.col("text"))), f"{shared_dir(spark)}/tessera-index", f"documents-{name}")
-    return {table: spark.read.parquet(path) for table, path in paths.items()}
+    """The keyword index of the documents: written once for a version of their files, read by every query that searches them."""
+    tables = keyword_index.tables(read(spark, d, "documents"), "doc_id", "text")
+    name = f"documents-blocks64-{files.version_of(spark, f'{d}/documents.parquet')}"
+    return files.persist_index(spark, f"{shared_dir(spark)}/tessera-index", name, tables)
 
 
-def _bm25(spark, d):
-    return bm25.score_index(_index(spark, d), read(spark, d, "benchmark"), "item_id", T.tokens(F.col("text")))
+def _bm25(spark, d, k):
+    """The best k documents of each question."""
+    return keyword_index.best(_index(spark, d), read(spark, d, "benchmark"), "item_id", T.tokens(F.col("text")), k)
 
 
 def _overlap(spark, d):
-    p = bm25.shared_tokens(_index(spark, d), read(spark, d, "benchmark"), "item_id", T.tokens(F.col("text")))
+    p = keyword_index.shared_tokens(_index(spark, d), read(spark, d, "benchmark"), "item_id", T.tokens(F.col("text")))
     return p.select("query_id", "doc_id", F.round(F.col("shared") / F.col("n_query"), 6).alias("score"))
 
 
 def _lists(spark, d, k=50):
     """Two candidate lists of each question: by BM25 and by shared tokens."""
-    return bm25.top(_bm25(spark, d), k), bm25.top(_overlap(spark, d), k)
+    return _bm25(spark, d, k), bm25.top(_overlap(spark, d), k)
 
 
 LISTS = f"with {BM25_SQL}, {OVERLAP_SQL}, a as (select query_id, doc_id, score, rank from rk where rank <= 50), b as (select query_id, doc_id, score, rank from ovr where rank <= 50)"
@@ -59,12 +59,12 @@ LISTS = f"with {BM25_SQL}, {OVERLAP_SQL}, a as (select query_id, doc_id, score,
 
 @query(f"with {BM25_SQL} select query_id, doc_id, score, rank from rk where rank <= 10")
 def bm25_topk(spark, d):
-    return bm25.top(_bm25(spark, d), 10)
+    return _bm25(spark, d, 10)
 
 
 @query(f"with {BM25_SQL}, w as (select *, max(score) over (partition by query_id) as hi, min(score) over (partition by query_id) as lo from rk where rank <= 20) select query_id, doc_id, score, rank, round(case when hi = lo then 1.0 else (score - lo) / (hi - lo) end, 6) as normalised from w where rank <= 10")
 def bm25_minmax(spark, d):
-    return bm25.normalised(_bm25(spark, d), 10)
+    return bm25.normalised(_bm25(spark, d, 20).drop("rank"), 10)
 
 
 @query(f"select token, count(*) as df, cast(sum(tf) as bigint) as total from (select doc_id, token, count(*) as tf from (select doc_id, unnest({sql_tokens('text')}) as token from documents) group by all) group by token")
@@ -75,7 +75,7 @@ def bm25_index(spark, d):
 
 @query("select item_id as phrase_id, doc_id from benchmark b join documents d on contains(lower(d.text), lower(b.text)) where len([t for t in regexp_extract_all(lower(b.text), '[\\p{L}\\p{N}_]+') if length(t) >= 2]) > 0")
 def phrase_and_search(spark, d):
-    return bm25.phrase_hits(read(spark, d, "documents"), read(spark, d, "benchmark"), "doc_id", "item_id", "text", "text")
+    return keyword_index.phrases(_index(spark, d), read(spark, d, "benchmark"), "item_id", "text")
 
 
 @query(f"with {OVERLAP_SQL} select query_id, doc_id, score, rank from ovr where rank <= 5")
@@ -200,7 +200,7 @@ f as (select query_id, 0 as at, 0::bigint as used, null::bigint as doc_id, null:
 union all select f.query_id, f.at + 1, f.used + case when f.used + c.cost <= 6000 then c.cost else 0 end, c.doc_id, c.rank, c.cost, f.used + c.cost <= 6000 from f join c on c.query_id = f.query_id and c.rank = f.at + 1)
 select query_id, doc_id, rank::int as rank, cost from f where taken""")
 def token_budget_select(spark, d):
-    top = bm25.top(_bm25(spark, d), 20).join(read(spark, d, "documents").select("doc_id", F.length("text").alias("cost")), "doc_id")
+    top = _bm25(spark, d, 20).join(read(spark, d, "documents").select("doc_id", F.length("text").alias("cost")), "doc_id")
     return selection.token_budget(top, 6000)
 
 
@@ -235,9 +235,9 @@ GOLD = "g as (select item_id as query_id, doc_id from benchmark b join documents
 
 def _runs(spark, d, k=10):
     """Ranked and gold documents of each question; gold documents hold the question's passage."""
-    docs, items = read(spark, d, "documents"), read(spark, d, "benchmark")
-    gold = bm25.phrase_hits(docs, items, "doc_id", "item_id", "text", "text").groupBy(F.col("phrase_id").alias("query_id")).agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
-    found = bm25.top(_bm25(spark, d), k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ranked"))
+    items = read(spark, d, "benchmark")
+    gold = keyword_index.phrases(_index(spark, d), items, "item_id", "text").groupBy(F.col("phrase_id").alias("query_id")).agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
+    found = _bm25(spark, d, k).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("ranked"))
     return items.select(F.col("item_id").alias("query_id")).join(gold, "query_id").join(found, "query_id", "left").withColumn("ranked", F.coalesce("ranked", F.expr("cast(array() as array<bigint>)")))
 
 

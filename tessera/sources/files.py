@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,13 +72,36 @@ def fingerprint(df: DataFrame, *columns: str) -> str:
     return f"{row['n']}-{row['x']}-{row['s']}"
 
 
-def persist_index(tables: dict[str, DataFrame], folder: str, name: str) -> dict[str, str]:
-    """Writes tables of an index under its corpus's fingerprint, unless they are there whole."""
-    paths = {}
-    for table, df in tables.items():
-        paths[table] = path = f"{folder}/{name}/{table}"
-        context = df.sparkSession.sparkContext
-        done = context._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-        if not done.getFileSystem(context._jsc.hadoopConfiguration()).exists(done):
-            df.write.mode("overwrite").parquet(path)
-    return paths
+def version_of(spark: SparkSession, path: str) -> str:
+    """A number of the files below a path, by name, size and time of change; no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(F.xxhash64("path", "length", "modificationTime").alias("h"))
+    row = files.agg(F.count(F.lit(1)).alias("n"), F.bit_xor("h").alias("x"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s")).first()
+    return f"{row['n']}-{row['x']}-{row['s']}"
+
+
+def persist_index(spark: SparkSession, folder: str, name: str, tables: dict[str, Callable[[dict[str, DataFrame]], DataFrame]]) -> dict[str, DataFrame]:
+    """The tables of an index below folder/name, which is to name the corpus and all settings. A missing one is made of those before it,
+    written beside and renamed into place, so that readers see it whole or not at all; of two that write it at once, the first stays."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    found: dict[str, DataFrame] = {}
+    for table, make in tables.items():
+        place = hadoop(f"{folder}/{name}/{table}")
+        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(place):
+            beside = hadoop(f"{folder}/{name}/.{table}-{uuid.uuid4().hex}")
+            make(found).write.parquet(beside.toString())
+            # a rename onto a folder that has come meanwhile would move into it
+            if fs.exists(place) or not fs.rename(beside, place):
+                fs.delete(beside, True)
+        found[table] = spark.read.parquet(place.toString())
+    return found
+
+
+def drop_indexes(spark: SparkSession, folder: str, keep: set[str]) -> list[str]:
+    """Deletes the indexes below a folder whose names are not to be kept; their names."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = [s.getPath() for s in fs.listStatus(hadoop(folder)) if s.getPath().getName() not in keep] if fs.exists(hadoop(folder)) else []
+    for path in gone:
+        fs.delete(path, True)
+    return sorted(path.getName() for path in gone)

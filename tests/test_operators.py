@@ -133,15 +133,6 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(spark.read.parquet(out)) == rows(e.select("user_id").distinct())
 
 
-def test_relations(spark):
-    text = "Nghị định này thay thế Nghị định 10/2010/NĐ-CP. Căn cứ Luật 59/2020/QH14, và sửa đổi 5/2019/TT-BTC. " + "x " * 200 + "99/2001/X"
-    df = spark.createDataFrame([(1, "5/2019/TT-BTC", text), (2, None, None)], "doc long, number string, text string")
-    from tessera.operators import legal
-
-    got = [(r["relation"], r["ref"]) for r in legal.relations(df, "doc", "number", "text").orderBy("start").collect()]
-    assert got == [("REPLACES", "10/2010/NĐ-CP"), ("GUIDED_BY", "59/2020/QH14")]
-
-
 def test_articles_and_exact_search(spark):
     from tessera.operators import legal
 
