@@ -17,8 +17,8 @@ size), where all pairs that are not connected already are compared exactly. With
 bands of 5 rows a pair at similarity 0.8 is missed with probability 3e-6.
 
 Defined results: null texts and texts without words are nobody's duplicate; a text of fewer than five
-words has one shingle, all its words; null ids are not matched; rows that share an id count as one
-document for linking; an empty table gives an empty table; other columns of the input are ignored.
+words has one shingle, all its words; null ids are not matched; rows that share an id count as one document, linked
+by each of their texts, so that what is like any of them is in its class; an empty table gives an empty table; other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -241,7 +241,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
         if src:
             yield batch(LINKS, src=src, dst=dst)
 
-    links = written(star.unionByName(dealt.mapInArrow(compare, "src long, dst long")), "links")
+    # bags of one id are one document
+    several = marks.groupBy("id").agg(F.min("bag").alias("low"), F.max("bag").alias("high")).where("low < high").select("id")
+    reps = written(marks.select("id", "bag").join(several, "id").join(bags.select("bag", "rep"), "bag").select("id", "rep").distinct(), "reps")
+    same = reps.join(reps.groupBy("id").agg(F.min("rep").alias("dst")), "id").where("rep > dst").select(F.col("rep").alias("src"), "dst")
+    links = written(star.unionByName(same).unionByName(dealt.mapInArrow(compare, "src long, dst long")), "links")
     joined = components(links).withColumnRenamed("node", "rep")
     of = bags.join(joined, "rep", "left").select("bag", F.coalesce("component", "rep").alias("class_id"))
     found = marks.select("id", "bag").join(of, "bag").groupBy("id").agg(F.min("class_id").alias("class_id"))
@@ -250,7 +254,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shi
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Documents whose id is their class's smallest; rows without id stay. Of rows that share an id and are in a class,
-    all stay or all go."""
+    """Documents whose id is their class's smallest; rows without id stay. Rows that share an id are one document of several texts: all of
+    them stay or all go, so that a text goes with its document where another text of that document has a copy of a smaller id."""
     gone = classes(docs, id_col, text_col, **options).where(F.col("class_id") != F.col(id_col)).select(id_col)
     return docs.join(gone, id_col, "left_anti")

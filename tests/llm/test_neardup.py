@@ -77,3 +77,25 @@ def test_keep_one(documents, nothing, messy):
     assert sorted(i for i in kept if i is not None) == sorted(i for i, _ in messy if i is not None and want[i] == i)
     assert kept.count(None) == 2
     assert neardup.classes(nothing).count() == 0
+
+
+def test_ids_of_several_texts(spark):
+    """Rows of one id are one document: a link of any of its texts is the document's."""
+    rng = np.random.default_rng(9)
+    text = lambda: " ".join(f"w{i}" for i in rng.integers(0, 1000, 60))
+    a, b, c, d = text(), text(), text(), text()
+    near = lambda t, k: " ".join([*t.split()[:-1], f"changed{k}"])
+    for rows in (
+        [(1, a), (5, a), (5, b), (7, b)],
+        [(5, b), (5, c), (5, c), (7, near(c, 1)), (8, near(b, 2)), (3, near(d, 3)), (8, d), (9, None), (9, ""), (10, text())],
+        [(2, a), (4, a), (4, b), (6, b), (6, c), (8, c), (8, d), (9, d), (None, a)],
+    ):
+        bags = collections.defaultdict(list)
+        for i, t in rows:
+            if i is not None:
+                bags[i].append(bag(t))
+        want = components(bags, lambda x, y: any(similar(p, q) for p in x for q in y))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["doc_id"]: r["class_id"] for r in neardup.classes(docs).collect() if r["doc_id"] is not None} == want
+        kept = sorted((r["doc_id"] or 0, r["text"] or "") for r in neardup.keep_one(docs).collect())
+        assert kept == sorted((i or 0, t or "") for i, t in rows if i is None or want[i] == i)
