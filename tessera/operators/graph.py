@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.session import scratch
+
 from tessera.functions.text import slug
 
 EDGE = ["src", "dst", "relation"]
@@ -29,15 +31,29 @@ def both_ways(df: DataFrame, back: str) -> DataFrame:
 
 
 def k_hop(df: DataFrame, seeds: DataFrame, k: int, relations: tuple[str, ...] | None = None) -> DataFrame:
-    """(seed, node, hops): nodes within k edges in either direction, without the seed, by the fewest hops. A join per hop; what is known is not visited again."""
+    """(seed, node, hops, via_src, via_dst, via_relation): nodes within k edges in either direction, without the seed, by the fewest hops, and the
+    edge that found each: of those from nodes a hop nearer, the first by outgoing before incoming, relation, and the nearer node. What a hop finds is
+    written before the next, so that none is computed twice and the plan does not grow; it ends where a hop finds nothing. Edges of a node that
+    many nodes reach are summed up to one for each node behind it before they are dealt."""
     if relations:
         df = df.where(F.col("relation").isin(*relations))
-    pairs = df.select("src", "dst").union(df.select("dst", "src")).distinct()
-    found = front = seeds.select(F.col("seed"), F.col("seed").alias("node"), F.lit(0).alias("hops"))
+    edge = [F.col(c).alias(f"via_{c}") for c in ("src", "dst", "relation")]
+    both = df.select(F.col("src").alias("at"), F.col("dst").alias("to"), F.lit(0).alias("way"), *edge).unionByName(df.select(F.col("dst").alias("at"), F.col("src").alias("to"), F.lit(1).alias("way"), *edge))
+    both = scratch(both.where("at is not null and to is not null").distinct(), "edges")
+    reached = [scratch(seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("hops"), *(F.lit(None).cast("string").alias(f"via_{c}") for c in ("src", "dst", "relation"))).distinct(), "front")]
     for hop in range(1, k + 1):
-        step = front.join(pairs, front["node"] == pairs["src"]).select("seed", F.col("dst").alias("node"), F.lit(hop).alias("hops")).distinct()
-        front = step.join(found.select("seed", "node"), ["seed", "node"], "left_anti")
-        found = found.unionByName(front)
+        found = reached[0]
+        for r in reached[1:]:
+            found = found.unionByName(r)
+        front = reached[-1].select("seed", F.col("node").alias("at"))
+        step = front.join(both, "at").groupBy("seed", F.col("to").alias("node")).agg(F.min(F.struct("way", "via_relation", "at", "via_src", "via_dst")).alias("v"))
+        new = step.join(found.select("seed", "node"), ["seed", "node"], "left_anti").select("seed", "node", F.lit(hop).alias("hops"), "v.via_src", "v.via_dst", "v.via_relation")
+        reached.append(scratch(new, "front"))
+        if not reached[-1].take(1):
+            break
+    found = reached[0]
+    for r in reached[1:]:
+        found = found.unionByName(r)
     return found.where("hops > 0")
 
 

@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.session import scratch
 
+#: Names the tables' form and default settings; changes with them, so that an index of another form is not read.
+FORMAT = "blocks1-64"
 K1, B = 1.5, 0.75
 #: Scores are rounded to six places; bounds keep what could still round up.
 SLACK = 1e-6

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.vectors import PAIRS, blocks_of, gathered, unit
 
+#: Names the tables' form and default settings; changes with them, so that an index of another form is not read.
+FORMAT = "lists2-20000-97"
 #: The list of vectors that no centroid fits: of another length, zero, or with a component that is no finite number.
 ODD = -1
 
@@ -56,9 +58,24 @@ def fit(points: np.ndarray, lists: int, rounds: int = 12, seed: int = 7) -> np.n
     return centroids
 
 
-def write(rows: DataFrame, row_id: str, vector: str, path: str, lists: int | None = None, max_sample: int = 20_000) -> None:
-    """Writes the index: path/vectors (id, v, near; a folder for each list) and path/lists (list, n, nearest, centroid). ``lists`` is
-    the square root of the number of rows by default, 4,096 at most. Rows without id or vector are left out."""
+def probes_for(points: np.ndarray, centroids: np.ndarray, recall: float, k: int = 10, asked: int = 256) -> int:
+    """How many of a vector's nearest lists hold that share of its k nearest neighbours, by some vectors of the sample. Neighbours within a
+    sample are farther than those among all rows, so that a search finds rather more."""
+    if len(points) < 2:
+        return 1
+    own = (points @ centroids.T).argmax(1)
+    some = points[:asked]
+    s = some @ points.T
+    s[np.arange(len(some)), np.arange(len(some))] = -np.inf
+    near = np.argsort(-s, axis=1)[:, : min(k, len(points) - 1)]
+    place = np.argsort(np.argsort(-(some @ centroids.T), axis=1), axis=1)
+    return int(np.ceil(np.quantile(np.take_along_axis(place, own[near], 1) + 1, recall)))
+
+
+def write(rows: DataFrame, row_id: str, vector: str, path: str, lists: int | None = None, max_sample: int = 20_000, recall: float = 0.97) -> None:
+    """Writes the index: path/vectors (id, v, near; a folder for each list) and path/lists (list, n, nearest, centroid, probes). ``lists`` is
+    the square root of the number of rows by default, 4,096 at most; probes is what a search needs for the recall, measured on the sample. Rows
+    without id or vector are left out."""
     spark = rows.sparkSession
     given = rows.where(F.col(row_id).isNotNull() & F.col(vector).isNotNull())
     lists = lists or int(min(4096, max(1, round(given.count() ** 0.5))))
@@ -80,6 +97,7 @@ def write(rows: DataFrame, row_id: str, vector: str, path: str, lists: int | Non
     placed.hint("rebalance", "list").write.partitionBy("list").mode("overwrite").parquet(f"{path}/vectors")
     heads = read_vectors(spark, path).groupBy("list").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("nearest"))
     middles = spark.createDataFrame([(k, c.tolist()) for k, c in enumerate(centroids)], "list int, centroid array<double>")
+    heads = heads.withColumn("probes", F.lit(probes_for(points, centroids, recall) if len(points) else 1))
     heads.join(middles, "list", "left").coalesce(1).write.mode("overwrite").parquet(f"{path}/lists")
 
 
@@ -87,11 +105,12 @@ def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("id long, v array<double>, near double, list int").parquet(f"{path}/vectors")
 
 
-def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, vector: str, k: int = 10, probes: int = 8, exact: bool = False, block: int = 4096, exclude_self: bool = True) -> DataFrame:
-    """(query_id, vec_id, score, rank): the best k rows by cosine among the ``probes`` nearest lists of each query, ties by smallest id; with
+def search(spark: SparkSession, path: str, queries: DataFrame, query_id: str, vector: str, k: int = 10, probes: int | None = None, exact: bool = False, block: int = 4096, exclude_self: bool = True) -> DataFrame:
+    """(query_id, vec_id, score, rank): the best k rows by cosine among the ``probes`` nearest lists of each query (as many as the index says, by default), ties by smallest id; with
     ``exact``, among all rows. Queries of another length than the centroids meet the list of odd vectors alone."""
     heads = spark.read.parquet(f"{path}/lists").orderBy("list").collect()  # 4,096 lists and the odd one at most
     known = [h for h in heads if h["list"] != ODD]
+    probes = probes or (heads[0]["probes"] if heads else 1)
     numbers = np.array([h["list"] for h in known], int)
     centroids = np.array([h["centroid"] for h in known]) if known else np.zeros((0, 0))
     angle = np.arccos(np.clip(np.array([h["nearest"] for h in known], float), -1, 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
-from tessera.operators import bm25, corpus, fusion, legal, reports
+from tessera.operators import aliases, bm25, corpus, fusion, legal, reports
 from tessera.plans import ranking
 from tessera.plans.ranking import LISTS, MERGED, PAIRED
 from tessera.plans.registry import registrar, sql_tokens
@@ -66,6 +66,16 @@ def alias_containment(spark, d):
     return read(spark, d, "pages").select("page_id", legal.first_contained(F.col("url"), ALIASES, "other").alias("name"))
 
 
+@query("""with a as (select item_id as o, split_part(lower(text), ' ', 1) || ' ' || split_part(lower(text), ' ', 2) as alias from benchmark), u as (select alias, min(o) as o from a where alias <> ' ' and alias <> '' group by alias)
+select doc_id, (select first('i' || u.o order by u.o, u.alias) from u where contains(lower(d.text), u.alias)) as name from documents d""")
+def alias_lookup(spark, d):
+    """The first benchmark item whose first two words a document holds."""
+    two = F.concat_ws(" ", F.split_part(F.lower("text"), F.lit(" "), F.lit(1)), F.split_part(F.lower("text"), F.lit(" "), F.lit(2)))
+    table = read(spark, d, "benchmark").select("item_id", two.alias("alias"), F.concat(F.lit("i"), "item_id").alias("name")).where("alias <> ' '")
+    docs = read(spark, d, "documents").select("doc_id", F.lower("text").alias("text"))
+    return aliases.lookup(docs, "doc_id", "text", table, "alias", "name", "item_id")
+
+
 @query("select page_id, (('0x' || substr(sha256(url), 1, 16))::ubigint & 9223372036854775807::ubigint)::bigint as stable_id from pages")
 def stable_ids(spark, d):
     return read(spark, d, "pages").select("page_id", T.stable_id(F.col("url")).alias("stable_id"))

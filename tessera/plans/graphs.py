@@ -32,7 +32,16 @@ def graph_build(spark, d):
 
 @query(f"with recursive {EDGES}, b as (select src, dst from e union select dst, src from e), w as (select distinct 'r0' as seed, 'r0' as node, 0 as hops union all select w.seed, b.dst, w.hops + 1 from w join b on w.node = b.src where w.hops < 3) select seed, node, min(hops)::int as hops from w where node <> seed group by seed, node")
 def k_hop(spark, d):
-    return graph.k_hop(_edges(spark, d), spark.createDataFrame([("r0",)], "seed string"), 3)
+    return graph.k_hop(_edges(spark, d), spark.createDataFrame([("r0",)], "seed string"), 3).select("seed", "node", "hops")
+
+
+@query(f"""with recursive {EDGES}, x as (select src as a, dst as z, 0 as way, src, dst, relation from e union all select dst, src, 1, src, dst, relation from e),
+w as (select 'n' || n_nationkey as seed, 'n' || n_nationkey as node, 0 as hops from nation where n_nationkey % 5 = 0 union all select distinct w.seed, z, w.hops + 1 from w join x on w.node = x.a where w.hops < 3), h as (select seed, node, min(hops) as hops from w group by all),
+v as (select h.seed, h.node, h.hops, x.src, x.dst, x.relation, row_number() over (partition by h.seed, h.node order by way, relation, a) as r from h join h p on p.seed = h.seed and p.hops = h.hops - 1 join x on x.a = p.node and x.z = h.node)
+select seed, node, hops::int as hops, src as via_src, dst as via_dst, relation as via_relation from v where r = 1""")
+def k_hop_edges(spark, d):
+    seeds = read(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.concat(F.lit("n"), "n_nationkey").alias("seed"))
+    return graph.k_hop(_edges(spark, d), seeds, 3)
 
 
 @query(f"with {EDGES}, c as (select dst as node, src as child from e where relation = 'HAS_PARENT' union select src, dst from e where relation = 'HAS_CHILD'), p as (select src as node, min(dst) as parent from e where relation = 'HAS_PARENT' group by src) select c.node, c.child, p.parent from c left join p on c.node = p.node")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scores as S
 from tessera.functions import text as T
 from tessera.functions import web
-from tessera.operators import bm25, evaluation, fusion, keyword_index, selection, vectors
+from tessera.operators import bm25, evaluation, fusion, keyword_index, selection, similarity, vector_index, vectors
 from tessera.plans.registry import registrar, sql_tokens
 from tessera.session import read, shared_dir
 from tessera.sources import files
@@ -35,7 +35,7 @@ ovr as (select *, cast(row_number() over (partition by query_id order by score d
 def _index(spark, d):
     """The keyword index of the documents: written once for a version of their files, read by every query that searches them."""
     tables = keyword_index.tables(read(spark, d, "documents"), "doc_id", "text")
-    name = f"documents-blocks64-{files.version_of(spark, f'{d}/documents.parquet')}"
+    name = f"documents-{keyword_index.FORMAT}-{files.version_of(spark, f'{d}/documents.parquet')}"
     return files.persist_index(spark, f"{shared_dir(spark)}/tessera-index", name, tables)
 
 
@@ -86,8 +86,15 @@ def lexical_overlap(spark, d):
 @query(f"with t as (select item_id, list_distinct({sql_tokens('text')}) as t from benchmark), p as (select a.item_id as left_id, b.item_id as right_id, len(list_intersect(a.t, b.t)) as i, len(a.t) + len(b.t) as s from t a join t b on a.item_id <> b.item_id), j as (select left_id, right_id, round(i / (s - i), 6) as jaccard from p where i > 0) select * from j where jaccard >= 0.25")
 def jaccard_pairs(spark, d):
     b = read(spark, d, "benchmark")
-    p = bm25.token_pairs(b, b, "item_id", "item_id", T.tokens(F.col("text")), T.tokens(F.col("text"))).where("left_id <> right_id")
-    return p.select("left_id", "right_id", F.round(F.col("shared") / (F.col("n_left") + F.col("n_right") - F.col("shared")), 6).alias("jaccard")).where("jaccard >= 0.25")
+    return similarity.jaccard_pairs(b, b, "item_id", "item_id", T.tokens(F.col("text")), T.tokens(F.col("text")), 0.25).where("left_id <> right_id")
+
+
+@query(f"with t as (select page_id, list_sort(list_distinct({sql_tokens('html')})) as t from pages), r as (select t, count(*) as n from t where len(t) > 0 group by t), n as (select t, n, row_number() over (order by t) as i from r), p as (select a.n as m, b.n as k, a.i = b.i as one, round(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t))), 6) as jaccard from n a join n b on a.i <= b.i and len(a.t) >= 0.79 * len(b.t) and len(b.t) >= 0.79 * len(a.t)) select jaccard, sum(case when one then m * (m - 1) else 2 * m * k end)::bigint as pairs from p where jaccard >= 0.8 group by jaccard having pairs > 0")
+def page_similarity(spark, d):
+    """How many ordered pairs of pages have each similarity of tokens from 0.8 on."""
+    p = read(spark, d, "pages")
+    found = similarity.jaccard_pairs(p, p, "page_id", "page_id", T.tokens(F.col("html")), T.tokens(F.col("html")), 0.8).where("left_id <> right_id")
+    return found.groupBy("jaccard").agg(F.count(F.lit(1)).alias("pairs"))
 
 
 TITLE_SQL = "trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\\s+', ' ', 'g'))"
@@ -116,6 +123,24 @@ def knn_cosine_topk(spark, d):
     return vectors.compare(e, _asked(e), "vec_id", "vec_id", "embedding", 10, None)
 
 
+def _lists_of_vectors(spark, d):
+    """The folder of the index of the embeddings, written once for a version of their files."""
+    path = f"{shared_dir(spark)}/tessera-index/embeddings-{vector_index.FORMAT}-{files.version_of(spark, f'{d}/embeddings.parquet')}"
+    files.placed(spark, path, lambda beside: vector_index.write(read(spark, d, "embeddings"), "vec_id", "embedding", beside))
+    return path
+
+
+@query(f"with {KNN}, r as (select *, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank from p) select query_id, vec_id, score, rank from r where rank <= 10")
+def knn_lists_exact(spark, d):
+    return vector_index.search(spark, _lists_of_vectors(spark, d), _asked(read(spark, d, "embeddings")), "vec_id", "embedding", 10, exact=True)
+
+
+@query()
+def knn_lists(spark, d):
+    """Approximate: the nearest lists of each question. The tests hold it against all rows."""
+    return vector_index.search(spark, _lists_of_vectors(spark, d), _asked(read(spark, d, "embeddings")), "vec_id", "embedding", 10)
+
+
 @query(f"with {KNN} select query_id, vec_id, score from p where score >= 0.3")
 def knn_threshold(spark, d):
     e = read(spark, d, "embeddings")

@@ -79,21 +79,28 @@ def version_of(spark: SparkSession, path: str) -> str:
     return f"{row['n']}-{row['x']}-{row['s']}"
 
 
+def placed(spark: SparkSession, path: str, write: Callable[[str], None]) -> bool:
+    """Whether it wrote a folder that was missing: beside its place, and renamed into it when whole."""
+    place, beside = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.{uuid.uuid4().hex}.part"))
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(place):
+        return False
+    write(beside.toString())
+    # a rename onto a folder that has come meanwhile would move into it
+    if fs.exists(place) or not fs.rename(beside, place):
+        fs.delete(beside, True)
+        return False
+    return True
+
+
 def persist_index(spark: SparkSession, folder: str, name: str, tables: dict[str, Callable[[dict[str, DataFrame]], DataFrame]]) -> dict[str, DataFrame]:
     """The tables of an index below folder/name, which is to name the corpus and all settings. A missing one is made of those before it,
     written beside and renamed into place, so that readers see it whole or not at all; of two that write it at once, the first stays."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     found: dict[str, DataFrame] = {}
     for table, make in tables.items():
-        place = hadoop(f"{folder}/{name}/{table}")
-        fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if not fs.exists(place):
-            beside = hadoop(f"{folder}/{name}/.{table}-{uuid.uuid4().hex}")
-            make(found).write.parquet(beside.toString())
-            # a rename onto a folder that has come meanwhile would move into it
-            if fs.exists(place) or not fs.rename(beside, place):
-                fs.delete(beside, True)
-        found[table] = spark.read.parquet(place.toString())
+        place = f"{folder}/{name}/{table}"
+        placed(spark, place, lambda beside, make=make: make(found).write.parquet(beside))
+        found[table] = spark.read.parquet(place)
     return found
 
 

@@ -84,8 +84,14 @@ def test_split_text():
 def test_graph(spark):
     e = spark.createDataFrame([("a", "b", "X"), ("b", "c", "X"), ("d", "c", "Y")], "src string, dst string, relation string")
     seeds = spark.createDataFrame([("a",)], "seed string")
-    assert rows(graph.k_hop(e, seeds, 3)) == [("a", "b", 1), ("a", "c", 2), ("a", "d", 3)]
-    assert rows(graph.k_hop(e, seeds, 3, ("X",))) == [("a", "b", 1), ("a", "c", 2)]
+    assert rows(graph.k_hop(e, seeds, 3)) == [("a", "b", 1, "a", "b", "X"), ("a", "c", 2, "b", "c", "X"), ("a", "d", 3, "d", "c", "Y")]
+    assert rows(graph.k_hop(e, seeds, 3, ("X",))) == [("a", "b", 1, "a", "b", "X"), ("a", "c", 2, "b", "c", "X")]
+    # a cycle, two ways to a node, a node of many edges, a depth beyond the graph's
+    cycle = spark.createDataFrame([("a", "b", "Z"), ("b", "a", "A"), ("a", "c", "A"), ("b", "d", "B"), ("c", "d", "A"), *((f"x{i}", "d", "M") for i in range(50)), (None, "a", "A")], "src string, dst string, relation string")
+    got = {r["node"]: (r["hops"], r["via_src"], r["via_dst"], r["via_relation"]) for r in graph.k_hop(cycle, seeds, 9).collect()}
+    assert got == {"b": (1, "a", "b", "Z"), "c": (1, "a", "c", "A"), "d": (2, "c", "d", "A")} | {f"x{i}": (3, f"x{i}", "d", "M") for i in range(50)}
+    plan = lambda k: len(graph.k_hop(cycle, seeds, k)._jdf.queryExecution().optimizedPlan().toString().splitlines())
+    assert plan(3) - plan(2) <= 3
 
 
 def test_domain_filter(spark):
