@@ -9,6 +9,7 @@ from tessera.operators import dedupe, evaluation, history, reports
 from tessera.plans.registry import registrar
 from tessera.session import read
 from tessera.streaming import events as ev
+from tessera.streaming import stateful
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -192,3 +193,29 @@ def history_transcript(spark, d):
 @query("select doc_id, error from (select doc_id, 'duplicate_id' as error from labels group by doc_id having count(*) > 1 union all select doc_id, 'bad_id' from labels where not regexp_matches(cast(doc_id as varchar), '^[1-9]\\d*$'))")
 def submission_validate(spark, d):
     return evaluation.submission_errors(read(spark, d, "labels").withColumn("t", F.lit("x")), "doc_id", r"^[1-9]\d*$", "t")
+
+
+_ATTEMPTS = "e as (select user_id::varchar as service, (epoch_us(ts) // 1000) as now, event_type <> 'error' as ok, row_number() over (partition by user_id order by (epoch_us(ts) // 1000), event_id) as n from events where user_id is not null and ts is not null)"
+
+
+@query(f"""with recursive {_ATTEMPTS},
+m as (select service, 0::bigint as n, 'closed' as st, min(now) as since, 0 as f, null::bigint as first, 0::bigint as until, 0 as att, 0 as rej, false as a, false as b, false as c, 0::bigint as s0, 0::bigint as e0, 0 as n0, 0 as r0, 0::bigint as s1, 0::bigint as e1, 0::bigint as s2, 0::bigint as e2, 0 as n2 from e group by service
+union all select service, n, case when blocked then 'open' when opens then 'open' else 'closed' end, case when blocked then since1 when opens then now else since2 end, case when blocked then f else f1 end, case when blocked then first else first1 end, case when opens then now + 43200000 else until end,
+  case when blocked then att1 + 1 when opens then 0 else att2 + 1 end, case when blocked then rej1 + 1 else 0 end, ended, half, opens, since, until, att, rej, until, now, since2, now, att2 + 1
+from (select *, not blocked and not ok and f1 >= 2 as opens from (select *, case when blocked then f when ok then 0 when now - coalesce(first, now) > 86400000 then 1 else f + 1 end as f1, case when blocked then first when ok then null when now - coalesce(first, now) > 86400000 then now else coalesce(first, now) end as first1 from (
+  select *, ended as half, st = 'open' and not ended as blocked, since as since1, case when ended then now else since end as since2, att as att1, rej as rej1, case when ended then 0 else att end as att2 from (
+    select m.service, e.n, st, since, f, first, until, att, rej, now, ok, st = 'open' and now >= until as ended from m join e on e.service = m.service and e.n = m.n + 1))))),
+r as (select service, 'open' as state, s0 as s, e0 as t, n0 as attempts, r0 as rejected from m where a union all select service, 'half_open', s1, e1, 0, 0 from m where b union all select service, 'closed', s2, e2, n2, 0 from m where c)
+select service, state, make_timestamp(s * 1000) as start, make_timestamp(t * 1000) as "end", attempts::bigint as attempts, rejected::bigint as rejected from r""")
+def breaker_spans(spark, d):
+    """Each user as a service that errors fail: two within a day of the first open the breaker for half a day."""
+    e = read(spark, d, "events").withColumn("ok", F.col("event_type") != "error")
+    return stateful.breaker(e, "user_id", "event_id", "ts", "ok", threshold=2, window=86_400, cooldown=43_200)
+
+
+@query()
+def answer_cache(spark, d):
+    """Embeddings as questions of their label, one a minute; tests hold the operator against hand-worked sequences and a stream."""
+    v = read(spark, d, "embeddings").where("label is not null")
+    asked = v.select("vec_id", "embedding", F.col("label").cast("string").alias("scope"), F.timestamp_seconds(F.col("vec_id") * 60).alias("at"), F.concat(F.lit("q"), "vec_id").alias("question"), F.concat(F.lit("a"), "vec_id").alias("answer"))
+    return stateful.answers(asked, "scope", "vec_id", "at", "question", "embedding", "answer")
