@@ -120,32 +120,13 @@ def points(rows: DataFrame, collection: str, id_col: str, vector_col: str, model
     return made.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
-def collection_size(points_: DataFrame) -> int:
-    """The one length of a collection's vectors; an error where there are several, 0 without points."""
-    sizes = [r[0] for r in points_.select(F.size("vector")).distinct().limit(2).collect()]
-    if len(sizes) > 1:
-        raise ValueError("vectors of a collection differ in length")
-    return sizes[0] if sizes else 0
-
-
-def write_collection(points_: DataFrame, path: str, recreate: bool = False) -> int:
-    """Writes points as a table: anew, or merged into what is there, new points in place of old ones; how many vectors' components there are.
-    A merge is written beside the table and then takes its place."""
-    size = collection_size(points_)
-    spark = points_.sparkSession
-    jvm = spark.sparkContext._jvm
-    where, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
-    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if recreate or not system.exists(where):
-        points_.write.mode("overwrite").parquet(path)
-        return size
-    old = spark.read.parquet(path)
-    if size and (had := collection_size(old)) not in (0, size):
-        raise ValueError(f"the collection's vectors have {had} components, new ones {size}")
-    old.join(points_.select("point_id"), "point_id", "left_anti").unionByName(points_).write.mode("overwrite").parquet(f"{path}.new")
-    system.delete(where, True)
-    system.rename(fresh, where)
-    return size
+def edge_points(edges: DataFrame, size: int) -> DataFrame:
+    """Edges (source_id, target_id, relation_type, confidence) as points with vectors of no meaning, to be found by their payload; a
+    confidence that is missing is 1. Edges without an end or a relation go; of equal ones one stays."""
+    made = edges.where("source_id is not null and target_id is not null and relation_type is not null")
+    name = F.concat_ws("__", "source_id", "relation_type", "target_id")
+    payload = F.struct(*(F.col(c).cast("string").alias(c) for c in ("source_id", "target_id", "relation_type")), F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    return made.select(T.stable_id(name).alias("point_id"), F.array_repeat(F.lit(1e-6), size).alias("vector"), payload.alias("payload")).groupBy("point_id").agg(F.first("vector").alias("vector"), F.max("payload").alias("payload"))
 
 
 #: Fields of a text to embed, by level; a chunk's own embedding text goes first.

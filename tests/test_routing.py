@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import text, web
+from tessera.sources.collection import Collection
 from tessera.operators import answers, articles, corpus, fusion, routing, rules, structure, validity, vectors
 
 
@@ -181,12 +182,11 @@ def test_collections(spark, tmp_path):
     rows = spark.createDataFrame([("a", [1.0, 2.0], "x"), ("b", [], "y"), ("", [1.0, 1.0], "z"), ("a", [1.0, 2.0], "x")], "id string, v array<double>, p string")
     p = vectors.points(rows, "docs", "id", "v")
     assert [r["payload"]["id"] for r in p.collect()] == ["a"]
-    path = f"{tmp_path}/c"
-    assert vectors.write_collection(p, path) == 2
-    more = vectors.points(spark.createDataFrame([("a", [3.0, 4.0], "n"), ("c", [5.0, 6.0], "m")], rows.schema), "docs", "id", "v")
-    vectors.write_collection(more, path)
-    assert {r["payload"]["id"]: r["vector"] for r in spark.read.parquet(path).collect()} == {"a": [3.0, 4.0], "c": [5.0, 6.0]}
+    c = Collection(spark, f"{tmp_path}/c")
+    assert c.upsert(p) == 1 and c.version().size == 2
+    c.upsert(vectors.points(spark.createDataFrame([("a", [3.0, 4.0], "n"), ("c", [5.0, 6.0], "m")], rows.schema), "docs", "id", "v"))
+    assert {r["payload"]["id"]: r["vector"] for r in c.read().collect()} == {"a": [3.0, 4.0], "c": [5.0, 6.0]}
     with pytest.raises(ValueError, match="components"):
-        vectors.write_collection(vectors.points(spark.createDataFrame([("d", [1.0], "q")], rows.schema), "docs", "id", "v"), path)
+        c.upsert(vectors.points(spark.createDataFrame([("d", [1.0], "q")], rows.schema), "docs", "id", "v"))
     modelled = vectors.points(rows.withColumn("m", F.array(F.lit(9.0), F.lit(9.0))), "docs", "id", "v", F.col("m"))
     assert {r["payload"]["id"]: r["vector"] for r in modelled.collect()} == {"a": [1.0, 2.0], "b": [9.0, 9.0]}
