@@ -83,11 +83,29 @@ def field_score(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str,
     return both.select("query_id", "doc_id", F.round(value, 6).alias("score"))
 
 
-def exact_search(docs: DataFrame, queries: DataFrame, doc_id: str, query_id: str, number: str, article: str, title: str, query_text: str) -> DataFrame:
-    """(query_id, doc_id, score): documents of a legal number or article that the query names; .6 number, .2 article, .15 title words, .1 more for all of them, at most 1."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.lower(query_text).alias("q"), F.array_distinct(F.regexp_extract_all(F.lower(query_text), F.lit(r"\d+/\d{4}/[a-zđ0-9\-]+"), F.lit(0))).alias("numbers"), F.array_distinct(F.regexp_extract_all(F.lower(query_text), F.lit(r"điều\s+(\d+[a-zđ]?)"), F.lit(1))).alias("articles"))
-    d = docs.select(F.col(doc_id).alias("doc_id"), F.lower(number).alias("number"), F.lower(article).alias("article"), F.col(title).alias("title"))
-    by_number = q.select("*", F.explode("numbers").alias("number")).join(d, "number").select("query_id", "doc_id", F.lit(0.6).alias("a"), F.array_contains("articles", F.col("article")).cast("double").alias("b"), T.overlap(T.tokens(F.col("q")), T.tokens(F.col("title"))).alias("c"))
-    by_article = q.select("*", F.explode("articles").alias("article")).where(F.size("numbers") == 0).join(d, "article").select("query_id", "doc_id", F.lit(0.0).alias("a"), F.lit(1.0).alias("b"), T.overlap(T.tokens(F.col("q")), T.tokens(F.col("title"))).alias("c"))
-    value = F.col("a") + 0.2 * F.coalesce("b", F.lit(0.0)) + 0.15 * F.col("c") + F.when(F.col("c") == 1, 0.1).otherwise(0.0)
-    return by_number.unionByName(by_article).groupBy("query_id", "doc_id").agg(F.round(F.least(F.max(value), F.lit(1.0)), 6).alias("score"))
+#: Numbers of documents and articles that a question names.
+NAMED_NUMBER = r"(?iU)\b\d+(?:/\d+)*(?:-[A-Z]+)*/[A-Z0-9À-ỴĂÂĐÊÔƠƯ\-]+\b"
+NAMED_ARTICLE = r"(?iU)(?:điều|dieu)\s+\d+[A-Za-zÀ-ỴăâêôơưĐđ]*"
+
+
+def exact_search(rows: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """(query_id, row_id, level, score, rank): rows whose number or article a question names, by .6 for a number that stands in the question, .2 for
+    its first article, .15 and .1 for the shares of its tokens that the title, and all of the row, have, and .05 for rows of level article; 1 at
+    most; ties by row_id. rows: row_id, level, doc_number, article, title, citation, content; queries: query_id, question. Numbers and articles
+    are looked up by equality; questions that name none find nothing."""
+    c = lambda name: F.coalesce(F.trim(F.col(name)), F.lit(""))
+    found = lambda p: F.regexp_extract_all(F.coalesce("question", F.lit("")), F.lit(p), F.lit(0))
+    q = queries.select("query_id", F.coalesce("question", F.lit("")).alias("question"), F.concat(found(NAMED_NUMBER), found(NAMED_ARTICLE)).alias("names"), F.size(found(NAMED_NUMBER)).alias("n_numbers"), F.get(found(NAMED_ARTICLE), F.lit(0)).alias("first"))
+    keyed = rows.select("*", F.explode(F.array_distinct(F.array(F.lower(c("doc_number")), F.lower(c("article"))))).alias("_key")).where("_key <> ''")
+    met = q.select("*", F.explode(F.array_distinct(F.transform("names", F.lower))).alias("_key")).join(keyed, "_key").drop("_key", "names").dropDuplicates(["query_id", "row_id", "level"])
+    citation = F.when(c("citation") == "", c("title")).otherwise(c("citation"))
+    qt = F.array_distinct(T.index_tokens(T.fold(F.col("question"))))
+    share = lambda text: F.when(F.size(qt) == 0, 0.0).otherwise(F.size(F.array_intersect(qt, T.index_tokens(T.fold(text)))) / F.size(qt))
+    number = ((c("doc_number") != "") & (F.col("n_numbers") > 0) & F.contains("question", c("doc_number"))).cast("double")
+    article = ((c("article") != "") & F.coalesce(F.contains(T.fold(c("article")), T.fold(F.col("first"))), F.lit(False))).cast("double")
+    titled, held = share(F.concat_ws(" ", c("title"), citation, c("article"))), share(F.concat_ws("\n", c("doc_number"), c("title"), c("article"), citation, c("content")))
+    value = 0.6 * number + 0.2 * article + 0.15 * titled + 0.1 * held
+    scored = met.withColumn("score", F.when(value > 0, F.round(F.least(F.lit(1.0), value + F.when(F.col("level") == "article", 0.05).otherwise(0.0)), 6))).where("score > 0")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id", "level")
+    out = scored.withColumn("rank", F.row_number().over(w)).select("query_id", "row_id", "level", "score", "rank")
+    return out if k is None else out.where(F.col("rank") <= k)

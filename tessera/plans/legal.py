@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.functions import web
-from tessera.operators import answers, articles, bm25, fusion, relations, routing, rules, validity, vectors
+from tessera.operators import answers, articles, bm25, fusion, relations, routing, rules, topics, validity, vectors
 from tessera.plans import ranking
 from tessera.plans.ranking import LISTS, MERGED
 from tessera.plans.registry import registrar, sql_tokens
@@ -513,3 +513,40 @@ def document_relations(spark, d):
 def relation_counts(spark, d):
     docs = _related(spark, d)
     return relations.counts(relations.resolved(relations.documents(docs), docs))
+
+
+_SIGNAL_TOPICS = [topics.Topic(("the ",), ("tion", "en "), ("luat",), ("business_law",), 0.4, 0.3), topics.Topic(("de ",), ("la ",), (), ("tax_law", "business_law"), 0.25)]
+_SIGNAL_PROFILES = [topics.Profile("p", (("the ", "de "),), ("src1",), ("ubnd",), ("tion",), -0.2, ("luat",), -0.15)]
+
+
+def _index_sql(words: str, c: str) -> str:
+    refs = f"regexp_extract_all(trim(regexp_replace(lower({c}), '\\s+', ' ', 'g')), '(?i)\\d+(?:/\\d+)*(?:-[A-Z]+)*/[A-Z0-9À-ỴĂÂĐÊÔƠƯ\\-]+')"
+    return f"list_distinct(list_concat({words}, {refs}, [z[1] || '_' || z[2] for z in list_zip({words}[:-2], {words}[2:])]))"
+
+
+def _share_sql(a: str, b: str) -> str:
+    return f"case when len({a}) = 0 or len({b}) = 0 then 0 else len(list_intersect({a}, {b})) / len({a}) end"
+
+
+@query(f"""{LISTS}, x as (select b.query_id, d.doc_id, b.score, i.text as question, coalesce(d.text, '') as content, d.doc_id % 4 as m, case d.doc_id % 4 when 0 then 'Luật ' || source when 1 then 'UBND tỉnh ' || source when 2 then 'Thông tư ' || source || ' 12/2020/TT-BTC' else source end as title,
+case lang when 'en' then 'business_law' when 'fr' then 'tax_law' else lang end as dom, case when d.doc_id % 3 = 0 then 'Điều 5' end as cit, 'https://' || source as url, case when d.doc_id % 2 = 0 then 0.2 else 0.05 end as ctx from b join documents d using (doc_id) join benchmark i on i.item_id = b.query_id where b.rank <= 10),
+y as (select *, concat_ws(chr(10), title, dom, cit, nullif(trim(content), '')) as txt, concat_ws(' ', title, cit) as ttl from x), yw as (select *, {sql_tokens('question')} as qw, {sql_tokens('txt')} as tw, {sql_tokens('ttl')} as hw, {sql_tokens("coalesce(cit, '')")} as cw from y),
+k as (select *, {_index_sql('qw', 'question')} as qt, {_index_sql('tw', 'txt')} as tt, {_index_sql('hw', 'ttl')} as ht, {_index_sql('cw', "coalesce(cit, '')")} as ct, {FOLD.format('question')} as q, {FOLD.format('txt')} as f, {FOLD.format('ttl')} as h from yw),
+n as (select *, {_share_sql('qt', 'tt')} as lex0, {_share_sql('qt', 'ht')} as tit0, {_share_sql('qt', 'ct')} as cm, contains(q, 'the ') as a1, contains(q, 'de ') as a2, contains(f, 'tion')::int + contains(f, 'en ')::int as r1, contains(f, 'the ')::int as w1, (contains(h, 'luat') or contains(f, 'luat'))::int as t1, contains(f, 'la ')::int as r2, contains(f, 'de ')::int as w2 from k),
+s as (select *, lex0 + case when a1 then least(0.15, 0.03 * r1) else 0 end + case when a2 then 0.03 * r2 else 0 end as lex, tit0 + case when a1 then 0.12 * t1 else 0 end as tit, case when a2 and dom = 'tax_law' then 1.0 when a1 and not a2 and dom = 'business_law' then 0.25 else 0 end as dm,
+case when a1 then case when r1 + t1 > 0 then 0.4 * least(3.0, r1 + 0.6 * t1) when w1 > 0 then 0.12 else 0 end + 0.03 * w1 + 0.04 * r1 + case when dom = 'business_law' then 0.04 else 0 end - case when r1 + t1 > 0 then 0 else 0.2 end else 0 end
++ case when a2 then case when r2 > 0 then 0.25 when w2 > 0 then 0.075 else 0 end + 0.03 * w2 + 0.04 * r2 + case when dom in ('business_law', 'tax_law') then 0.04 else 0 end - case when r2 > 0 then 0 else 0.2 end else 0 end
++ case when a1 or a2 then case when contains(url, 'src1') then 0.18 else 0 end - case when contains(h, 'ubnd') then 0.25 else 0 end - case when contains(f, 'tion') then 0 else 0.2 end - case when contains(h, 'luat') then 0 else 0.15 end else 0 end as topic0 from n),
+t as (select *, topic0 - case when lex < 0.05 and tit < 0.05 and dm = 0 and topic0 <= -0.2 then 0.05 else 0 end as topic from s),
+z as (select query_id, doc_id, round(least(1.0, lex) + 1e-9, 4) as lexical_overlap, round(least(1.0, tit) + 1e-9, 4) as title_match, round(topic + 1e-9, 4) as topic_boost,
+round(greatest(0, 0.35 * score + 0.18 * least(1.0, lex) + 0.15 * least(1.0, tit) + 0.05 * cm + 0.1 * dm + 0.07 * (ctx + 0.02 + case when cit is null then 0 else 0.02 end) + 0.25 * topic + 0.1 * case m when 0 then 0.2 when 1 then -0.25 when 2 then 0.05 else 0 end + case when m in (0, 2) then 0 else -0.08 end) + 1e-9, 6) as final_score from t),
+r as (select *, final_score < 0.06 and lexical_overlap < 0.04 and title_match < 0.03 as low from z), o as (select *, row_number() over (partition by query_id order by low, final_score desc, doc_id) as rank from r)
+select query_id, doc_id, lexical_overlap::double as lexical_overlap, title_match::double as title_match, topic_boost::double as topic_boost, final_score::double as final_score, rank::int as rank from o where (not low or rank = 1) and rank <= 5""")
+def rerank_signals(spark, d):
+    """All nine signals of reranking on the ten best documents of each benchmark item, with titles, citations and numbers made of ids and sources."""
+    i, m = F.col("doc_id"), F.col("doc_id") % 4
+    s = F.col("source")
+    docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.when(m == 0, F.concat(F.lit("Luật "), s)).when(m == 1, F.concat(F.lit("UBND tỉnh "), s)).when(m == 2, F.concat(F.lit("Thông tư "), s, F.lit(" 12/2020/TT-BTC"))).otherwise(s).alias("doc_title"), F.when(F.col("lang") == "en", "business_law").when(F.col("lang") == "fr", "tax_law").otherwise(F.col("lang")).alias("domain"), F.when(i % 3 == 0, "Điều 5").alias("citation"), F.concat(F.lit("https://"), s).alias("source_url"), F.when(m == 0, "59/2020/QH14").alias("doc_number"), F.when(i % 2 == 0, "seed").otherwise("neighbor").alias("context_type"), *(F.lit(None).cast("string").alias(c) for c in ("legal_path", "article", "clause")))
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    top = bm25.top(ranking._overlap(spark, d), 10).drop("rank").join(docs, "doc_id").join(asked, "query_id").withColumns({"chunk_id": i, "position": F.lit(1)})
+    return topics.rerank(top, _SIGNAL_TOPICS, _SIGNAL_PROFILES).select("query_id", "doc_id", "lexical_overlap", "title_match", "topic_boost", "final_score", "rank")
