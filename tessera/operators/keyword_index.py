@@ -10,7 +10,8 @@ Best-k search goes in four steps for all queries at once. (1) Each query's stron
 bound that the k-th best score reaches. (2) A query's weakest tokens, as long as their bounds together stay below it, need not be
 looked up to find candidates. (3) Ranges whose headers cannot reach the bound are left out; in the others the remaining tokens are scored,
 and documents that the rest of their range's headers could not lift to the bound are left out. (4) The weakest tokens are looked up for
-the documents that are left. Nothing that could be among the best k is left out, so results are those of scoring everything.
+the documents that are left. Nothing that could be among the best k is left out, so results are those of scoring everything. A query of
+many tokens of like weight leaves too much to be looked at; where its weights tell so at once, all its postings are scored and the steps saved.
 """
 
 from __future__ import annotations
@@ -98,42 +99,68 @@ def _scored(rows: DataFrame, k1: float, b: float) -> DataFrame:
     return p.select("query_id", "range", "doc_id", (F.col("weight") * part("tf", "dl", "avgdl", k1, b)).alias("value"))
 
 
-def best(index: dict[str, DataFrame], queries: DataFrame, query_id: str, tokens: Column, k: int = 10, seed_postings: int = 2000, k1: float = K1, b: float = B, work: bool = False) -> DataFrame:
+def best(index: dict[str, DataFrame], queries: DataFrame, query_id: str, tokens: Column, k: int = 10, seed_postings: int = 2000, most_share: float = 0.2, k1: float = K1, b: float = B, work: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): the best k documents of each query, ties by smallest id, as scoring all of them would give. With ``work``,
     (query_id, postings, scored) instead: how many postings the query's tokens have, and how many were scored."""
-    spark, blocks = queries.sparkSession, index["blocks"]
-    w = scratch(weights(index, queries, query_id, tokens, k1, b), "weights")
-    strongest = Window.partitionBy("query_id").orderBy(F.desc("most"), "token")
-    rarest = Window.partitionBy("query_id").orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0)
-    seeds = w.withColumn("nth", F.row_number().over(strongest)).withColumn("until", F.sum("df").over(rarest)).where((F.col("nth") == 1) | (F.col("until") <= seed_postings))
-    first = _scored(blocks.select("token", "range", "postings").join(seeds, "token"), k1, b).groupBy("query_id", "doc_id").agg(F.sum("value").alias("value"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("value"))
-    reached = first.withColumn("nth", F.row_number().over(order)).where(F.col("nth") == k).select("query_id", (F.col("value") - SLACK).alias("bound"))
-    weakest = Window.partitionBy("query_id").orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
-    w = w.withColumn("together", F.sum("most").over(weakest)).join(reached, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
-    w = scratch(w.withColumn("leads", F.col("together") >= F.col("bound")).drop("together"), "bounds")
+    blocks = index["blocks"]
+    body = blocks.select("token", "range", "n", "postings")
+    per_query = Window.partitionBy("query_id")
+    strongest, rarest = per_query.orderBy(F.desc("most"), "token"), per_query.orderBy("df", "token").rowsBetween(Window.unboundedPreceding, 0)
+    weakest = per_query.orderBy("most", "token").rowsBetween(Window.unboundedPreceding, 0)
+    w = weights(index, queries, query_id, tokens, k1, b)
+    w = w.withColumn("seed", (F.row_number().over(strongest) == 1) | (F.sum("df").over(rarest) <= seed_postings)).withColumn("together", F.sum("most").over(weakest))
+    # no bound is above what the seeds can add; where even that one would leave most postings, a query is scored whole
+    highest = F.sum(F.when(F.col("seed"), F.col("most"))).over(per_query)
+    share = F.sum(F.when(F.col("together") >= F.col("highest"), F.col("df"))).over(per_query) / F.sum("df").over(per_query)
+    w = scratch(w.withColumn("highest", highest).withColumn("whole", share > most_share).drop("highest"), "weights")
+    whole = _scored(body.join(w.where("whole"), "token"), k1, b).select("query_id", "doc_id", "value")
+    w = w.where("not whole")
+    if not w.take(1):
+        return _work(index, whole, None, queries, query_id, tokens) if work else _ranked(whole, k)
+    first = _scored(body.join(w.where("seed"), "token"), k1, b).groupBy("query_id", "doc_id").agg(F.sum("value").alias("value"))
+    reached = first.withColumn("nth", F.row_number().over(per_query.orderBy(F.desc("value")))).where(F.col("nth") == k).select("query_id", (F.col("value") - SLACK).alias("bound"))
+    w = w.join(reached, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
+    w = w.withColumn("leads", F.col("together") >= F.col("bound"))
+    # now that bounds are known, the same for what they leave
+    share = F.sum(F.when(F.col("leads"), F.col("df"))).over(per_query) / F.sum("df").over(per_query)
+    w = scratch(w.withColumn("whole", share > most_share), "bounds")
+    few = w.agg(F.sum(F.when(~F.col("whole"), F.col("df"))) / F.sum("df")).first()[0] or 0.0
+    if few < most_share:  # the steps cost more than what they could save
+        w = w.withColumn("whole", F.lit(True))
+    whole = whole.unionByName(_scored(body.join(w.where("whole"), "token"), k1, b).select("query_id", "doc_id", "value"))
+    seeded = w.where("seed").groupBy("query_id").agg(F.sum("df").alias("n"))
+    if few < most_share:
+        return _work(index, whole, seeded, queries, query_id, tokens) if work else _ranked(whole, k)
+    w = w.where("not whole")
     head = blocks.select("token", "range", "n", "max_tf", "min_dl").join(w, "token").withColumn("most", F.col("weight") * part("max_tf", "min_dl", "avgdl", k1, b))
     sums = head.groupBy("query_id", "range").agg(F.sum("most").alias("all"), F.sum(F.when(~F.col("leads"), F.col("most"))).alias("rest"), F.bool_or("leads").alias("led"), F.first("bound").alias("bound"))
-    ranges = scratch(sums.where(F.col("led") & (F.col("all") >= F.col("bound"))).select("query_id", "range", F.coalesce("rest", F.lit(0.0)).alias("rest")), "ranges")
-    body = blocks.select("token", "range", "n", "postings")
-    leading = body.join(w.where("leads"), "token").join(ranges, ["query_id", "range"])
+    ranges = scratch(sums.where(F.col("led") & (F.col("all") >= F.col("bound"))).select("query_id", "range", "bound", F.coalesce("rest", F.lit(0.0)).alias("rest")), "ranges")
+    leading = body.join(w.where("leads").drop("bound"), "token").join(ranges.select("query_id", "range"), ["query_id", "range"])
     partly = _scored(leading, k1, b).groupBy("query_id", "range", "doc_id").agg(F.sum("value").alias("value"))
-    bounds = w.groupBy("query_id").agg(F.first("bound").alias("bound"))
-    hopeful = partly.join(ranges, ["query_id", "range"]).join(bounds, "query_id").where(F.col("value") + F.col("rest") >= F.col("bound"))
+    hopeful = partly.join(ranges, ["query_id", "range"]).where(F.col("value") + F.col("rest") >= F.col("bound"))
     hopeful = scratch(hopeful.select("query_id", "range", "doc_id", "value"), "hopeful")
     places = hopeful.select("query_id", "range").distinct()
     trailing = _scored(body.join(w.where("not leads"), "token").join(places, ["query_id", "range"]), k1, b).join(hopeful.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_semi")
     if work:
-        seeded = seeds.groupBy("query_id").agg(F.sum("df").alias("seeded"))
-        led = leading.groupBy("query_id").agg(F.sum("n").alias("led"))
-        looked = trailing.groupBy("query_id").agg(F.count(F.lit(1)).alias("looked"))
-        total = w.groupBy("query_id").agg(F.sum("df").alias("postings")).join(seeded, "query_id", "left").join(led, "query_id", "left").join(looked, "query_id", "left")
-        return total.select("query_id", "postings", sum((F.coalesce(c, F.lit(0)) for c in ("seeded", "led", "looked")), F.lit(0)).alias("scored"))
-    scored = hopeful.select("query_id", "doc_id", "value").unionByName(trailing.select("query_id", "doc_id", "value")).groupBy("query_id", "doc_id").agg(F.round(F.sum("value"), 6).alias("score"))
+        led = leading.groupBy("query_id").agg(F.sum("n").alias("n"))
+        looked = trailing.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        return _work(index, whole, seeded.unionByName(led).unionByName(looked), queries, query_id, tokens)
+    return _ranked(whole.unionByName(hopeful.select("query_id", "doc_id", "value")).unionByName(trailing.select("query_id", "doc_id", "value")), k)
+
+
+def _ranked(parts: DataFrame, k: int) -> DataFrame:
+    scored = parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("value"), 6).alias("score"))
     nth = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rank", nth).where(F.col("rank") <= k)
 
 
+def _work(index: dict[str, DataFrame], whole: DataFrame, some: DataFrame | None, queries: DataFrame, query_id: str, tokens: Column) -> DataFrame:
+    every = whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+    every = (every if some is None else every.unionByName(some)).groupBy("query_id").agg(F.sum("n").alias("scored"))
+    there = weights(index, queries, query_id, tokens, K1, B).groupBy("query_id").agg(F.sum("df").alias("postings"))
+    return there.join(every, "query_id", "left").select("query_id", "postings", F.coalesce("scored", F.lit(0)).alias("scored"))
+
+
 def score_all(index: dict[str, DataFrame], queries: DataFrame, query_id: str, tokens: Column, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, score) of every document that has a token of the query."""
     rows = index["blocks"].select("token", "range", "postings").join(weights(index, queries, query_id, tokens, k1, b), "token")

@@ -83,13 +83,13 @@ def stable_ids(spark, d):
 
 @query(f"{LISTS}, x as (select b.*, d.source from b join documents d using (doc_id)) select query_id, source, max(score) as score, count(*) as n, array_to_string(list(doc_id order by score desc, doc_id)[1:2], ',') as evidence from x group by query_id, source")
 def group_by_article(spark, d):
-    top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    top = ranking._shared(spark, d).join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return legal.group_evidence(top, ["source"])
 
 
 @query(f"{LISTS} select d.source, round(min(b.score), 6) as least, round(avg(b.score), 6) as mean, count(*) as hits from b join documents d using (doc_id) group by d.source")
 def top_files(spark, d):
-    top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    top = ranking._shared(spark, d).join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return top.groupBy("source").agg(F.round(F.min("score"), 6).alias("least"), F.round(F.avg("score"), 6).alias("mean"), F.count(F.lit(1)).alias("hits"))
 
 
@@ -119,14 +119,14 @@ def difficulty_limits(spark, d):
 
 @query(f"{LISTS}, x as (select *, max(score) over (partition by query_id) as top from b) select query_id, doc_id, score, rank from x where ((score >= 0.35 and score >= 0.75 * top) or rank = 1) and rank <= 5")
 def article_trim(spark, d):
-    return legal.trim(ranking._lists(spark, d)[1])
+    return legal.trim(ranking._shared(spark, d))
 
 
 @query(f"{LISTS}, x as (select b.*, d.lang = 'en' as signal, max(score) over (partition by query_id) as best, max(case when score >= 0.5 then 1 else 0 end) over (partition by query_id) as s from b join documents d using (doc_id)) select query_id, doc_id, score from x where case when s = 1 then score >= 0.5 else score >= least(0.5, greatest(0.08, 0.7 * best)) and signal end")
 def citation_threshold(spark, d):
     from tessera.operators import selection
 
-    top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", (F.col("lang") == "en").alias("signal")), "doc_id")
+    top = ranking._shared(spark, d).join(read(spark, d, "documents").select("doc_id", (F.col("lang") == "en").alias("signal")), "doc_id")
     return selection.citations(top).select("query_id", "doc_id", "score")
 
 
@@ -138,7 +138,7 @@ def heuristic_rerank(spark, d):
 
 @query(f"{LISTS} select query_id, doc_id, round(greatest(0.0, least(1.0, b.score + case when source = 'src0' then -0.25 when source in ('src1', 'src2') then 0.2 when lang = 'de' then 0.05 else 0.0 end)), 6) as boosted from b join documents using (doc_id)")
 def issuer_boost(spark, d):
-    top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
+    top = ranking._shared(spark, d).join(read(spark, d, "documents").select("doc_id", "source", "lang"), "doc_id")
     rules = [(F.col("source") == "src0", -0.25), (F.col("source").isin("src1", "src2"), 0.2), (F.col("lang") == "de", 0.05)]
     return top.select("query_id", "doc_id", legal.boost(F.col("score"), rules).alias("boosted"))
 
@@ -271,7 +271,7 @@ def answer_validate(spark, d):
 
 @query(f"{LISTS}, x as (select b.query_id, b.rank, '[' || b.rank || '] ' || d.source || ': ' || substr(trim(regexp_replace(d.text, '\\s+', ' ', 'g')), 1, 200) as line from b join documents d using (doc_id) where b.rank <= 3) select query_id, string_agg(line, chr(10) order by rank) as answer from x group by query_id")
 def template_answer(spark, d):
-    top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
+    top = ranking._shared(spark, d).join(read(spark, d, "documents").select("doc_id", "source", "text"), "doc_id")
     return corpus.template_answer(top, "query_id", "source", "text", "rank")
 
 
@@ -283,7 +283,7 @@ f as (select query_id, 0 as i, 0::bigint as used, 0 as n, null::bigint as doc_id
 union all select f.query_id, f.i + 1, f.used + case when f.used + k.cost <= 1200 and f.n < 8 then k.cost else 0 end, f.n + case when f.used + k.cost <= 1200 and f.n < 8 then 1 else 0 end, k.doc_id, k.blend, k.rank, f.used + k.cost <= 1200 and f.n < 8 from f join k on k.query_id = f.query_id and k.i = f.i + 1)
 select query_id, doc_id, blend, rank, used from f where taken union all select query_id, doc_id, blend, rank, cost::bigint from z where rank = 1 and query_id not in (select query_id from f where taken)""")
 def adaptive_context_select(spark, d):
-    top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", (F.length("text") % 11).alias("model"), F.expr("length(text) div 8").alias("cost")), "doc_id")
+    top = ranking._shared(spark, d).join(read(spark, d, "documents").select("doc_id", (F.length("text") % 11).alias("model"), F.expr("length(text) div 8").alias("cost")), "doc_id")
     return corpus.adaptive_contexts(top.drop("rank"), "model", "cost").select("query_id", "doc_id", "blend", "rank", "used")
 
 

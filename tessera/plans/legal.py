@@ -186,7 +186,7 @@ def cascade_rerank(spark, d):
 f as (select *, case g when 'same' then 1.15 when 'wrong' then 0.5 when 'trade' then 0.9 else 1.0 end * case when g = 'wrong' and t then 0.5 else 1 end as c, case g when 'same' then 1.35 when 'wrong' then 0.25 when 'trade' then 0.9 else 1.15 end * case when g = 'wrong' and t then 0.1 else 1 end as a from x)
 select query_id, doc_id, case when query_id % 3 <> 0 then round(score * c + 1e-9, 6) else score end as conservative, case when query_id % 3 <> 0 then round(score * a + 1e-9, 6) else score end as aggressive from f""")
 def domain_adjust(spark, d):
-    top = ranking._lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
+    top = ranking._shared(spark, d).join(read(spark, d, "documents").select("doc_id", "lang", "source"), "doc_id")
     group = F.when(F.col("lang") == "en", "same").when(F.col("lang") == "de", "wrong").when(F.col("lang") == "fr", "trade").otherwise("enterprise")
     made = lambda mode: fusion.domain_adjusted(F.col("score"), group, F.col("source") == "src1", F.col("query_id") % 3 != 0, mode).alias(mode)
     return top.select("query_id", "doc_id", made("conservative"), made("aggressive"))

@@ -49,9 +49,14 @@ def _overlap(spark, d):
     return p.select("query_id", "doc_id", F.round(F.col("shared") / F.col("n_query"), 6).alias("score"))
 
 
+def _shared(spark, d, k=50):
+    """The best k documents of each question by shared tokens."""
+    return bm25.top(_overlap(spark, d), k)
+
+
 def _lists(spark, d, k=50):
     """Two candidate lists of each question: by BM25 and by shared tokens."""
-    return _bm25(spark, d, k), bm25.top(_overlap(spark, d), k)
+    return _bm25(spark, d, k), _shared(spark, d, k)
 
 
 LISTS = f"with {BM25_SQL}, {OVERLAP_SQL}, a as (select query_id, doc_id, score, rank from rk where rank <= 50), b as (select query_id, doc_id, score, rank from ovr where rank <= 50)"
@@ -217,7 +222,7 @@ def confidence_signals(spark, d):
 
 @query(f"{LISTS}, w as (select *, max(score) over (partition by query_id) as top, avg(score) over (partition by query_id) as mu, stddev_pop(score) over (partition by query_id) as sd from b), t as (select *, round(case when top >= 0.9 then greatest(0.75, top - 0.5 * sd) when top >= 0.8 then greatest(0.65, mu + 0.3 * sd) else greatest(0.55, mu) end, 6) as threshold from w) select query_id, doc_id, score, threshold from t where score >= threshold")
 def dynamic_threshold_select(spark, d):
-    return selection.dynamic_threshold(_lists(spark, d)[1]).select("query_id", "doc_id", "score", "threshold")
+    return selection.dynamic_threshold(_shared(spark, d)).select("query_id", "doc_id", "score", "threshold")
 
 
 @query(f"""with recursive {BM25_SQL}, c as (select query_id, doc_id, rank, length(text) as cost from rk join documents using (doc_id) where rank <= 20),
@@ -238,13 +243,13 @@ def dynamic_context_select(spark, d):
 
 @query(f"{LISTS}, x as (select b.*, d.source, count(*) over (partition by query_id, source) as n from b join documents d using (doc_id)) select query_id, doc_id, round(case when n >= 3 then least(1.0, score * 1.2) else score end, 6) as boosted from x")
 def evidence_boost(spark, d):
-    top = _lists(spark, d)[1].join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
+    top = _shared(spark, d).join(read(spark, d, "documents").select("doc_id", "source"), "doc_id")
     return selection.evidence_boost(top, ["source"]).select("query_id", "doc_id", "boosted")
 
 
 @query(f"{LISTS}, x as (select *, max(score) over (partition by query_id) as top from b) select query_id, doc_id, score, rank from x where (score >= 0.8 * top or rank <= 2) and rank <= 8")
 def relative_select(spark, d):
-    return selection.relative(_lists(spark, d)[1], 0.8, 2, 8)
+    return selection.relative(_shared(spark, d), 0.8, 2, 8)
 
 
 @query(f"""{LISTS}, x as (select *, length(text) % 7 as model from b join documents using (doc_id) where rank <= 10),

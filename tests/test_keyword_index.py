@@ -48,10 +48,10 @@ def brute(texts, query, k):
 QUERIES = ["w1 w2 w3", "and and w7", "été x_1", "nowhere", "of the", "w10 w11 w12 w13 w14 and w15", "and", ""]
 
 
-@pytest.mark.parametrize("k", [1, 10, 500])
-def test_best_equals_scoring_all(spark, texts, index, k):
+@pytest.mark.parametrize(("k", "share"), [(1, 0.5), (10, 0.5), (500, 0.5), (3, 1.0), (3, 0.0)])
+def test_best_equals_scoring_all(spark, texts, index, k, share):
     asked = spark.createDataFrame(list(enumerate(QUERIES)), "q long, text string")
-    got = keyword_index.best(index, asked, "q", T.tokens(F.col("text")), k, seed_postings=20).collect()
+    got = keyword_index.best(index, asked, "q", T.tokens(F.col("text")), k, seed_postings=20, most_share=share).collect()
     for q, text in enumerate(QUERIES):
         want = brute(texts, [w for w in words(text) if w not in T.STOPWORDS], k)
         mine = sorted((r["rank"], r["doc_id"], r["score"]) for r in got if r["q" if "q" in r else "query_id"] == q)
