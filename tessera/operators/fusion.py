@@ -34,6 +34,17 @@ def weighted(dense: DataFrame, sparse: DataFrame, alpha: float) -> DataFrame:
     return both.select(*KEY, F.round(alpha * F.coalesce("d", F.lit(0.0)) + (1 - alpha) * F.coalesce("s", F.lit(0.0)), 6).alias("score"))
 
 
+def adaptive(dense: DataFrame, sparse: DataFrame, policy: DataFrame, k: int = RRF_K) -> DataFrame:
+    """(query_id, doc_id, score, rank) by each query's own policy (query_id, alpha, top_k, candidate_k, fusion_type): of both lists the first
+    candidate_k count; they are fused by their scores (weighted: alpha and 1 - alpha, a missing score is 0) or else by reciprocal ranks; the first
+    top_k stay. Scores are taken as they come; queries without a policy have no rows."""
+    first = lambda f, name: ranked(f.select(*KEY, "score")).join(policy, "query_id").where(F.col("rank") <= F.col("candidate_k")).select(*KEY, "alpha", "top_k", "fusion_type", F.lit(name).alias("side"), "score", "rank")
+    every = first(dense, "dense").unionByName(first(sparse, "sparse"))
+    value = F.when(F.col("fusion_type") == "weighted", F.when(F.col("side") == "dense", F.col("alpha")).otherwise(1 - F.col("alpha")) * F.col("score")).otherwise(1 / (k + F.col("rank")))
+    fused = every.groupBy(*KEY, "top_k").agg(F.round(F.sum(value), 6).alias("score"))
+    return ranked(fused).where(F.col("rank") <= F.col("top_k")).drop("top_k")
+
+
 def linear(signals: DataFrame, weights: dict[str, float] = LINEAR, sources: Column | None = None, wrong_domain: Column | None = None, k: int | None = None, trusted: Column | None = None) -> DataFrame:
     """Weighted sum of the signal columns, a bonus of .05 for a trusted source, one for several sources where wanted, .2 less for a wrong domain, not below 0,
     scaled over each query's candidates; without candidates without rows."""

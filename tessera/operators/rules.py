@@ -75,14 +75,30 @@ def retrieval_policy(text: Column, n_words: Column) -> Column:
     return F.struct(alpha.alias("alpha"), top_k.alias("top_k"), (top_k * 4).alias("candidate_k"))
 
 
-def edge_confidence(text: Column) -> Column:
-    """1, less .30 without digits or .10 with more than ten of them, .35 for branching words, .10 for short texts; not below 0."""
-    digits = F.regexp_count(text, F.lit(r"\d"))
-    value = 1.0 - F.when(digits == 0, 0.30).when(digits > 10, 0.10).otherwise(0.0) - F.when(F.regexp_like(F.lower(text), F.lit(r"(^|[^\p{L}])(or|oder|ou|hoặc)([^\p{L}]|$)")), 0.35).otherwise(0.0) - F.when(F.length(text) < 200, 0.10).otherwise(0.0)
-    return F.round(F.greatest(value, F.lit(0.0)), 6)
+#: What makes a context hard to read, what branches in it, and numbers of documents (as surveyed, misspellings included).
+COMPLEX = (
+    r"(?iU)ngoại\s+trừ|trừ\s+trường\s+hợp|được\s+áp\s+dụng\s+tương\s+tự\s+nhưng|hoặc|tùy\s+thuộc\s+vào|tùy\s+theo|nếu|trường\s+hợp|trừ\s+khi|ngoài\s+ra|đồng\s+thờì|cũng\s+nhu|áp\s+dụng\s+cho|không\s+áp\s+dụng\s+cho|chỉ\s+áp\s+dụng"
+)
+BRANCHING = r"(?iU)hoặc\s+(?:Điều|khoản|Nghị\s+định|Luật|Thông\s+tư)|tùy\s+(?:thuộc\s+vào|theo)|theo\s+quy\s+định\s+tại\s+(?:Điều\s+\d+\s+và\s+Điều|khoản\s+\d+\s+và\s+khoản)"
+EDGE_NUMBER = r"(?U)\b\d+/\d{4}/[A-ZĐ0-9\-]+\b"
+
+
+def edge_confidence(context: Column, relation: Column) -> Column:
+    """How sure an edge that a pattern found is, and why, as a struct: 1, less .30 for more than two document numbers in its context or .10 for two, .40
+    for words that make it hard to read, .35 for branches, .05 for an exclusion, .10 below 100 characters; not below 0. Null contexts are empty."""
+    c = F.coalesce(context, F.lit(""))
+    n = F.regexp_count(c, F.lit(EDGE_NUMBER))
+    costs = [
+        (n > 2, 0.30, F.concat(F.lit("multiple_doc_numbers("), n.cast("string"), F.lit(")"))), (n == 2, 0.10, F.lit("two_doc_numbers")), (F.regexp_like(c, F.lit(COMPLEX)), 0.40, F.lit("complex_context")),
+        (F.regexp_like(c, F.lit(BRANCHING)), 0.35, F.lit("branching_structure")), (F.coalesce(relation == "EXCLUDED_REF", F.lit(False)), 0.05, F.lit("excluded_ref")), (F.length(c) < 100, 0.10, F.lit("short_context")),
+    ]
+    score = sum((-F.when(there, cost).otherwise(0.0) for there, cost, _ in costs), F.lit(1.0))
+    why = F.array_join(F.filter(F.array(*(F.when(there, name) for there, _, name in costs)), lambda x: x.isNotNull()), "; ")
+    return F.struct(F.round(F.greatest(score, F.lit(0.0)), 6).alias("confidence"), F.when(why == "", "simple_explicit_ref").otherwise(why).alias("reason"))
 
 
 def triage(confidence: Column, least: float = 0.95) -> Column:
+    """auto_pass at or above the least confidence, else flagged for a closer look."""
     return F.when(confidence >= least, "auto_pass").otherwise("flagged")
 
 

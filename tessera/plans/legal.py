@@ -550,3 +550,17 @@ def rerank_signals(spark, d):
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     top = bm25.top(ranking._overlap(spark, d), 10).drop("rank").join(docs, "doc_id").join(asked, "query_id").withColumns({"chunk_id": i, "position": F.lit(1)})
     return topics.rerank(top, _SIGNAL_TOPICS, _SIGNAL_PROFILES).select("query_id", "doc_id", "lexical_overlap", "title_match", "topic_boost", "final_score", "rank")
+
+
+@query(f"""{LISTS}, asked as (select item_id as query_id, case when item_id % 2 = 0 then {_LIST}[item_id % {len(PHRASES)} + 1] else text end as question from benchmark), words as (select *, lower(question) as l, regexp_extract_all(lower(question), '[\\p{{L}}\\p{{N}}_]+') as t from asked),
+f as (select *, len(t) as n, regexp_matches(question, '\\d') or {any_of('l', rules.EXACT_WORDS)} or regexp_matches(question, '(^|[^\\p{{L}}\\p{{N}}_])[A-Z0-9]{{2,10}}($|[^\\p{{L}}\\p{{N}}_])') as exact, {any_of('l', rules.DEPENDS)} as follow from words),
+pol as (select query_id, case when n >= 12 or follow then 0.8 when exact then 0.3 else 0.7 end as alpha, case when follow then 8 else 5 end as top_k, case when follow then 20 else 15 end as candidate_k, query_id % 3 = 0 as weighted from f),
+c as (select b.query_id, doc_id, top_k, case when weighted then alpha * score else 1.0 / (60 + rank) end as v from b join pol on b.query_id = pol.query_id where rank <= candidate_k union all select a.query_id, doc_id, top_k, case when weighted then (1 - alpha) * score / 100 else 1.0 / (60 + rank) end from a join pol on a.query_id = pol.query_id where rank <= candidate_k),
+z as (select query_id, doc_id, top_k, round(sum(v), 6)::double as score from c group by all), o as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from z) select query_id, doc_id, score, rank::int as rank from o where rank <= top_k""")
+def adaptive_hybrid(spark, d):
+    """Features of each question, its policy, both searches and their fusion in one plan; a third of the questions is fused by scores."""
+    asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.when(F.col("item_id") % 2 == 0, F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("item_id") % len(PHRASES) + 1).cast("int"))).otherwise(F.col("text")).alias("question"))
+    o = asked.select("query_id", rules.adaptive_policy(rules.query_features(F.col("question"))).alias("o")).select("query_id", "o.*")
+    sparse, dense = ranking._lists(spark, d)
+    policy = o.withColumn("fusion_type", F.when(F.col("query_id") % 3 == 0, "weighted").otherwise(F.col("fusion_type")))
+    return fusion.adaptive(dense.select("query_id", "doc_id", "score"), sparse.select("query_id", "doc_id", (F.col("score") / 100).alias("score")), policy)

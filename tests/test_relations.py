@@ -4,7 +4,7 @@ import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
-from tessera.operators import relations, routing, validity
+from tessera.operators import relations, routing, rules, validity
 
 
 def one(spark, column, **columns):
@@ -94,3 +94,13 @@ def test_accented_taxonomy(spark):
     for text, reasons in (("Điều 5 luật ĐẤT ĐAI", ""), ("điều 5 luật khác", "satellite_domain_mismatch")):
         seeds = spark.createDataFrame([("q", 1, 0.9, text, "t", "c", "Điều 5", "u"), ("q", 2, 0.7, "x", "t", "c", "a", "u")], seed)
         assert routing.check(questions, seeds, taxonomy).first()["reasons"] == reasons
+
+
+def test_edge_confidence(spark):
+    long = " y" * 60
+    score = lambda c, kind="REFERS_TO": tuple(one(spark, rules.edge_confidence(F.col("c"), F.lit(kind)), c=c))
+    assert score("Điều 5 Luật 1/2020/QH14" + long) == (1.0, "simple_explicit_ref")
+    assert score("1/2020/QH14") == (0.9, "short_context") and score(None, None) == (0.9, "short_context")
+    assert score("1/2020/QH14 2/2020/QH14" + long, "EXCLUDED_REF") == (0.85, "two_doc_numbers; excluded_ref")
+    assert score("1/2020/QH14 2/2020/QH14 2/2020/QH14 HOẶC  KHOẢN", "EXCLUDED_REF") == (0.0, "multiple_doc_numbers(3); complex_context; branching_structure; excluded_ref; short_context")
+    assert score("theo quy định tại khoản 1 và khoản 2" + long) == (0.65, "branching_structure")
