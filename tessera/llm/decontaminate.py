@@ -271,7 +271,9 @@ def remove(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col:
             for b in sliced(batches):
                 yield cleaned(b.columns, b.schema, [automaton.scan(words(t))[0] for t in b.column(at).to_pylist()])
 
-        return docs.mapInArrow(run, docs.schema)
+        # numbers as names meanwhile, for mapInArrow() takes columns by unquoted names
+        plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+        return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
     text = F.col(f"`{text_col}`").cast("string")
     keyed = docs.select(F.sha2(text, 256).alias("key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
     rows = docs.select(F.sha2(text, 256).alias("key"), text.alias("text")).where("text is not null")

@@ -304,7 +304,7 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("length must be from 32 to 65535 bytes")
     gram = length // 4
     secret = Secret.drawn()
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.struct(F.col(text_col).isNull().alias("null_text"), (F.struct(*carry) if carry else F.lit(0)).alias("row")).alias("rest"))
+    rows = docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"), F.struct(F.col(f"`{text_col}`").isNull().alias("null_text"), (F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.lit(0)).alias("row")).alias("rest"))
     rows = rows.select("id", F.xxhash64("text").alias("text_hash"), "text", "rest")
     found = written(find_anchors(rows.drop("rest"), length, gram, secret), "anchors")
     # counts are tables of their own: joins then read both sides from exchanges that can be split where a gram is hot

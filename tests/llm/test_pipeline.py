@@ -134,3 +134,18 @@ def test_queries_leave_the_session_as_it_is(spark):
     for query in queries.QUERIES.values():
         query(spark, SF).count()
         assert settings() == before
+
+
+def test_names_with_dots(spark):
+    """Columns of any name go along through the stages that cut texts."""
+    from tessera.llm import decontaminate, substrings
+
+    passage = " ".join(f"word{i}" for i in range(120))
+    docs = spark.createDataFrame([(1, passage + " a", "x", 1), (2, "b " + passage, "y", 2), (3, "short", None, 3)], "doc_id long, text string, `a.b` string, `row.text` int")
+    items = spark.createDataFrame([(1, "some other benchmark item of more than ten words in a row here"), (2, " ".join(f"word{i}" for i in range(20)))], "item_id long, text string")
+    kept = substrings.remove_repeats(docs, length=200).collect()
+    assert {(r["doc_id"], r["a.b"], r["row.text"]) for r in kept} == {(1, "x", 1), (2, "y", 2), (3, None, 3)} and all(len(r["text"]) < 300 for r in kept)
+    for block in (100_000, 5):
+        clean = decontaminate.remove(docs, items, block_words=block)
+        assert clean.columns == docs.columns
+        assert {(r["doc_id"], r["a.b"], r["row.text"], "word5 " in r["text"]) for r in clean.collect()} == {(1, "x", 1, False), (2, "y", 2, False), (3, None, 3, False)}
