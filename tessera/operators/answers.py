@@ -136,7 +136,7 @@ def acceptable(answer: Column) -> Column:
     denied = F.exists(F.array(*map(F.lit, FORBIDDEN)), lambda p: F.contains(F.lower(answer), p))
     form = F.lit(False)
     for p in FORBIDDEN_FORMS:
-        form = form | F.regexp_like(answer, F.lit(p.replace("(?i)", "(?iu)")))
+        form = form | F.regexp_like(answer, F.lit(p))
     return complete & ~denied & ((F.length(answer) > 300) | ~form)
 
 

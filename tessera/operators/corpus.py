@@ -97,12 +97,12 @@ def template_answer(df: DataFrame, query: str, title: str, text: str, rank: str,
 
 
 def adaptive_contexts(df: DataFrame, model: str, cost: str, alpha: float = 0.15, least: float = 0.55, share: float = 0.8, budget: int = 1200, at_least: int = 1, most: int = 8) -> DataFrame:
-    """Best row of each document by a blend of retrieval and model scores; of those at or above the query's threshold and a share of its best
+    """Best row of each document by a blend of retrieval and model scores (of equal ones that of the higher score, then of the lower cost); of those at or above the query's threshold and a share of its best
     one, in order, every row that still fits the budget (one that does not is skipped), most rows at most; where fewer than at_least are
     taken, the first at_least instead. used: what is spent up to and including a row."""
     w = Window.partitionBy("query_id")
     blend = alpha * F.col("score") + (1 - alpha) * minmax(F.col(model), ["query_id"], 0.5)
-    b = df.withColumn("blend", F.round(blend, 6)).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("blend")))).where("_r = 1").drop("_r")
+    b = df.withColumn("blend", F.round(blend, 6)).withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("blend"), F.desc("score"), F.asc(cost)))).where("_r = 1").drop("_r")
     b = b.withColumn("rank", F.row_number().over(w.orderBy(F.desc("blend"), "doc_id"))).withColumn("_top", F.max("blend").over(w))
     mean, sd = F.avg("blend").over(w), F.stddev_pop("blend").over(w)
     limit = F.when(F.col("_top") >= 0.9, F.greatest(F.lit(0.75), F.col("_top") - 0.5 * sd)).when(F.col("_top") >= 0.8, F.greatest(F.lit(0.65), mean + 0.3 * sd)).otherwise(F.greatest(F.lit(least), mean))
