@@ -31,7 +31,8 @@ from tessera.llm.common import groups, lowest, sliced, written
 #: Fixed values. Lower-case A-Z; the marks .,;:!? and 0x0A to 0x0D end a piece (0xFF, which UTF-8 has not); blanks and tabs part words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else 255 if b in b".,;:!?\n\v\f\r" else b for b in range(256))
 END = b"\xff"
-MOST_WORDS = (1 << 21) - 2
+#: Paths of up to so many words' numbers fit into one 63-bit key; tries with more (of one very long text) are sorted by their columns.
+MOST_WORDS, KEYS = (1 << 21) - 2, 1 << 63
 SHARDS_DDL = "range int, lang string, block binary"
 NODES = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("depth", pa.int32()), ("a", pa.int64()), ("open", pa.bool_()), ("left1", pa.int64()), ("open1", pa.bool_()), ("left2", pa.int64()), ("open2", pa.bool_())])
 NODES_DDL = "lang string, phrase string, depth int, a long, open boolean, left1 long, open1 boolean, left2 long, open2 boolean"
@@ -65,6 +66,11 @@ class Shard:
         self.texts = []
         base = len(words) + 1
         two, three = at[1:-1], np.where(at[1:-1] > 0, at[2:], 0)
+        if base**3 > KEYS:
+            rows = np.stack((at[:-2], two, three), 1)[at[:-2] > 0]
+            rows = rows[np.lexsort(rows.T[::-1])]
+            first = starts(*rows.T)
+            return words, rows[first], np.diff(np.append(first, len(rows)))
         keys, counts = np.unique(((at[:-2] * base + two) * base + three)[at[:-2] > 0], return_counts=True)
         return words, np.stack((keys // base // base, keys // base % base, keys % base), 1), counts
 
@@ -127,7 +133,7 @@ def merge(tries: list[tuple[list[bytes], np.ndarray, np.ndarray]]) -> tuple[list
     # each column's numbers are made dense, so that the three of a path fit into one key (else columns are sorted one by one)
     dense = [np.unique(c, return_inverse=True)[1] for c in paths.T]
     widths = [int(d.max()) + 1 for d in dense]
-    if widths[0] * widths[1] * widths[2] < 1 << 63:
+    if widths[0] * widths[1] * widths[2] < KEYS:
         by = np.argsort((dense[0] * widths[1] + dense[1]) * widths[2] + dense[2], kind="stable")  # merges the sorted runs
     else:
         by = np.lexsort(dense[::-1])

@@ -85,3 +85,22 @@ def test_scores_are_exact(spark):
 
 def test_query_equals_sql(spark):
     oracle.same(queries.op12_collocations(spark, SF), queries.ORACLE["op12_collocations"], oracle.connect(SF))
+
+
+def test_tries_of_more_words_than_fit_a_key(monkeypatch):
+    rng = random.Random(4)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(30)] + ["."], k=200)).encode() for _ in range(6)]
+
+    def tries():
+        out = []
+        for part in (texts[:3], texts[3:]):
+            shard = collocations.Shard()
+            for t in part:
+                shard.add(collocations.tokens(t))
+            out.append(shard.paths())
+        return [*out, collocations.merge(out)]
+
+    want = tries()
+    monkeypatch.setattr(collocations, "KEYS", 100)
+    for a, b in zip(want, tries()):
+        assert a[0] == b[0] and np.array_equal(a[1], b[1]) and np.array_equal(a[2], b[2])
