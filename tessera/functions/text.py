@@ -54,6 +54,11 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def trim(c: Column) -> Column:
+    """Without spaces, of whatever width, at the ends; tabs and line breaks stay."""
+    return F.regexp_replace(c, r"^\p{Zs}+|\p{Zs}+$", "")
+
+
 def squash(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
     return F.trim(F.regexp_replace(c, r"\s+", " "))

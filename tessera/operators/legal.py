@@ -92,7 +92,7 @@ def practicality(answer: Column, steps: str = r"\d", duties: str = r"(?i)\b(must
 
 def chunk_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     """Paragraph chunks with index, content hash, and active."""
-    parts = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(text, "\n"), T.trim), lambda x: x != "")
     return df.select(F.col(key), F.posexplode(parts).alias("chunk_index", "content")).select(key, "chunk_index", F.sha2("content", 256).alias("content_hash"), F.lit(True).alias("is_active"))
 
 

@@ -73,7 +73,7 @@ def neighbours(df: DataFrame, doc: str, chunk: str, position: str) -> DataFrame:
 
 def paragraphs(df: DataFrame, key: str, text: str, least: int = 1) -> DataFrame:
     """(key, chunk_no, chunk_id, content, n_words): the paragraphs of at least so many characters."""
-    parts = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: F.length(x) >= least)
+    parts = F.filter(F.transform(F.split(text, "\n"), T.trim), lambda x: F.length(x) >= least)
     out = df.select(F.col(key), F.posexplode(parts).alias("chunk_no", "content"))
     return out.select(key, "chunk_no", F.concat_ws("_", F.col(key).cast("string"), F.col("chunk_no").cast("string")).alias("chunk_id"), "content", T.word_count(F.col("content")).alias("n_words"))
 

@@ -1,3 +1,5 @@
+from hashlib import sha256
+
 from pyspark.sql import functions as F
 
 from tessera.operators import corpus
@@ -44,3 +46,14 @@ def test_exports(spark):
     assert [r["v"] for r in got] == [None, "v 1"]
     q = spark.createDataFrame([("q7", None, " ask  me "), (None, "t", None), ("x", " ", None)], "id string, question string, text string")
     assert sorted(r["question"] for r in corpus.questions(q, ["question", "text"], ["id"]).collect()) == ["ask me", "t"]
+
+
+def test_chunks_lose_spaces_alone(spark):
+    """Digits that equal a line's number stay, spaces of any width at the ends go."""
+    from tessera.operators import legal, structure
+
+    texts = spark.createDataFrame([(1, "0 ends in 0\n \n  one 1　\n2"), (2, "0\n1")], "id long, t string")
+    want = {(1, 0): "0 ends in 0", (1, 1): "one 1", (1, 2): "2", (2, 0): "0", (2, 1): "1"}
+    got = {(r["id"], r["chunk_index"]): r["content_hash"] for r in legal.chunk_rows(texts, "id", "t").collect()}
+    assert got == {k: sha256(v.encode()).hexdigest() for k, v in want.items()}
+    assert {(r["id"], r["chunk_no"]): r["content"] for r in structure.paragraphs(texts, "id", "t").collect()} == want
