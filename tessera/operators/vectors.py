@@ -44,7 +44,7 @@ def gathered(spark, found: DataFrame) -> DataFrame:
 
 
 def compare(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vector: str, k: int | None, threshold: float | None, block: int = 4096, exclude_self: bool = True) -> DataFrame:
-    """(query_id, vec_id, score): per query the best k rows by cosine, or all at or above a threshold; 0 for zero vectors. Queries of
+    """(query_id, vec_id, score): per query the best k rows by cosine, or all whose score, rounded to six places, is at or above a threshold; 0 for zero vectors. Queries of
     another length than a row are not compared with it. Queries go to the driver and out again in blocks of at most ``block`` vectors, a pass over the rows for each
     block, so that what a task holds does not grow with the queries; where there are several blocks, what each finds is written and its
     queries are given up before the next. Rows are compared where they are read, by matrix product."""
@@ -67,7 +67,7 @@ def compare(rows: DataFrame, queries: DataFrame, row_id: str, query_id: str, vec
                         s = matrix @ unit(np.array(part["v"].iloc[at : at + 1024].tolist(), float)).T
                         if exclude_self:
                             s[names[:, None] == ids[None, :]] = -np.inf
-                        keep = np.isfinite(s) if threshold is None else s >= threshold
+                        keep = np.isfinite(s) if threshold is None else np.round(s, 6) >= threshold
                         if k is not None and s.shape[1] > k:
                             rank = np.argsort(np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 6)), axis=1), axis=1)
                             keep &= rank < k

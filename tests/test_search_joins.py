@@ -59,6 +59,12 @@ def test_search_reads_probed_folders_only(spark, cloud):
     assert "PartitionFilters: [" in plan and "list" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_scores_that_round_up_to_the_threshold(spark):
+    e = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.2999997, (1 - 0.2999997**2) ** 0.5]), (2, [0.2999994, (1 - 0.2999994**2) ** 0.5])], "id long, v array<double>")
+    got = vectors.compare(e, e.where("id = 0"), "id", "id", "v", None, 0.3).collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 0.3)]
+
+
 def test_no_vectors(spark, tmp_path):
     vector_index.write(spark.createDataFrame([], "id long, v array<double>"), "id", "v", f"{tmp_path}/e")
     asked = spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>")
