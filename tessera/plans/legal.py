@@ -102,7 +102,7 @@ CONTEXTS = f"{LISTS}, x as (select b.query_id, b.doc_id, b.score, b.rank, d.text
 
 def _contexts(spark, d):
     i = F.col("doc_id")
-    top = bm25.top(ranking._overlap(spark, d), 10).join(read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("doc_title"), "lang"), "doc_id")
+    top = ranking._shared(spark, d, 10).join(read(spark, d, "documents").select("doc_id", "text", F.col("source").alias("doc_title"), "lang"), "doc_id")
     made = {"doc_number": F.when(i % 4 != 0, F.col("lang")), "article": F.when(i % 3 != 0, F.concat(F.lit("Điều "), (i % 5).cast("string"))), "citation": F.when(i % 2 == 0, F.concat(F.lit("c"), (i % 2).cast("string")))}
     made |= {"source_url": F.when(i % 5 != 0, F.concat(F.lit("u"), (i % 7).cast("string"))), "clause": F.concat(F.lit("k"), (i % 2).cast("string"))}
     return top.withColumns(made)
@@ -444,7 +444,7 @@ def _topic_sql() -> str:
 {_topic_sql()}, t as (select *, topic0 - case when named and dom = 0 and lex1 < 0.12 and tit1 < 0.12 then 0.12 else 0 end as topic from z)
 select query_id, doc_id, round(topic + 1e-9, 4)::double as topic_boost, round(greatest(0, 0.18 * base + 0.22 * least(1.0, lex1) + 0.18 * least(1.0, tit1) + 0.06 * cit + 0.14 * dom + topic) + 1e-9, 6)::double as final_score from t""")
 def context_score(spark, d):
-    top = bm25.top(ranking._overlap(spark, d), 10).join(read(spark, d, "documents"), "doc_id").join(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
+    top = ranking._shared(spark, d, 10).join(read(spark, d, "documents"), "doc_id").join(read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question")), "query_id")
     flag = lambda c: c.cast("double")
     s = rules.context_scores(T.fold(F.col("question")), T.fold(F.col("text")), F.col("source"), F.col("score"), F.col("score"), 0.5 * flag(F.col("source") == "src1"), flag(F.col("doc_id") % 2), flag(F.col("lang") == "en"), TOPICS)
     return top.select("query_id", "doc_id", s.alias("s")).select("query_id", "doc_id", F.col("s.topic_boost").alias("topic_boost"), F.col("s.final_score").alias("final_score"))
@@ -548,7 +548,7 @@ def rerank_signals(spark, d):
     s = F.col("source")
     docs = read(spark, d, "documents").select("doc_id", F.col("text").alias("content"), F.when(m == 0, F.concat(F.lit("Luật "), s)).when(m == 1, F.concat(F.lit("UBND tỉnh "), s)).when(m == 2, F.concat(F.lit("Thông tư "), s, F.lit(" 12/2020/TT-BTC"))).otherwise(s).alias("doc_title"), F.when(F.col("lang") == "en", "business_law").when(F.col("lang") == "fr", "tax_law").otherwise(F.col("lang")).alias("domain"), F.when(i % 3 == 0, "Điều 5").alias("citation"), F.concat(F.lit("https://"), s).alias("source_url"), F.when(m == 0, "59/2020/QH14").alias("doc_number"), F.when(i % 2 == 0, "seed").otherwise("neighbor").alias("context_type"), *(F.lit(None).cast("string").alias(c) for c in ("legal_path", "article", "clause")))
     asked = read(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
-    top = bm25.top(ranking._overlap(spark, d), 10).drop("rank").join(docs, "doc_id").join(asked, "query_id").withColumns({"chunk_id": i, "position": F.lit(1)})
+    top = ranking._shared(spark, d, 10).drop("rank").join(docs, "doc_id").join(asked, "query_id").withColumns({"chunk_id": i, "position": F.lit(1)})
     return topics.rerank(top, _SIGNAL_TOPICS, _SIGNAL_PROFILES).select("query_id", "doc_id", "lexical_overlap", "title_match", "topic_boost", "final_score", "rank")
 
 
